@@ -59,9 +59,4 @@ def predict_all(context: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def evaluate_all(context: DataFrame, group_cols=("model", "horizon_days",
                                                  "contract_type")) -> DataFrame:
     """All baselines scored in one aggregation; context and predictions share their rows."""
-    rows = metrics.labelled(predict_all(context))
-    from loadlens.operators import alarm as al
-
-    return rows.groupBy(*group_cols).agg(
-        *metrics.regression_aggs(),
-        *al.classification(F.col("pred_any"), F.col("true_any")))
+    return metrics.evaluate_rows(predict_all(context), group_cols)

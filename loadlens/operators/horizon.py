@@ -25,7 +25,7 @@ def build_horizon_table(
     table. ``days_observed`` is min(h, days of the month with data); with
     ``observed_basis="present"`` it counts the days with data before the horizon.
     """
-    d = daily
+    d = daily.repartition("customer_id")
     keys = ["customer_id", "year_month"]
     if meter_days:
         d = d.withColumn("meter_day", F.explode(F.array(*[F.lit(m) for m in meter_days])))
@@ -36,29 +36,49 @@ def build_horizon_table(
     else:
         md = F.lit(meter_day or 1)
     start = cal.billing_start(F.col("date"), md)
-    d = d.withColumn("_elapsed", F.datediff(F.col("date"), start)).withColumn(
-        "year_month", F.trunc(start, "MM"))
+    month = _billing_months(d, start, keys, horizons)
+    return _explode_horizons(month, keys, horizons, observed_basis)
+
+
+def _billing_months(d: DataFrame, start: Column, keys: list[str], horizons) -> DataFrame:
+    """One row per billing month with the partial sums of every horizon.
+
+    The daily table is shuffled once, on the customer; the two aggregations and
+    the window below reuse that partitioning. Days with data are a bit set of
+    the day offsets, so a day under two contract types counts once.
+    """
+    owner = [k for k in keys if k != "year_month"]
+    d = d.withColumn("_start", start)
+    d = d.withColumn("_elapsed", F.datediff("date", "_start")).withColumn(
+        "year_month", F.trunc("_start", "MM"))
     x, e = F.col("day_kwh"), F.col("_elapsed")
-    # Two contract types on one day are one day: days are summed before they are counted.
-    by_day = d.groupBy(*keys, "date", "_elapsed").agg(
-        sum0(x).alias("day_kwh"), F.min("contract_type").alias("contract_type"))
-    parts = []
-    for h in horizons:
-        parts += [F.sum(F.when(e < h, x)).alias(f"_p{h}"),
-                  F.count(F.when(e < h, 1)).alias(f"_n{h}")]
-    month = by_day.groupBy(*keys).agg(
+    per_type = d.groupBy(*keys, "contract_type").agg(
         sum0(x).alias("full_month_kwh"),
-        F.min_by("contract_type", "date").alias("contract_type"),
-        F.count(F.lit(1)).alias("days_in_month"),
-        (cal.days_in_month(F.first("year_month"))).alias("calendar_days"),
-        *parts,
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), e)).alias("_days"),
+        *[F.sum(F.when(e < h, x)).alias(f"_p{h}") for h in horizons],
+    )
+    w = W.partitionBy(*owner).orderBy("year_month", "contract_type")
+    per_type = per_type.withColumn("contract_type", F.first("contract_type").over(w))
+    return per_type.groupBy(*keys, "contract_type").agg(
+        F.sum("full_month_kwh").alias("full_month_kwh"),
+        F.bit_or("_days").alias("_days"),
+        *[F.sum(f"_p{h}").alias(f"_p{h}") for h in horizons],
     )
+
+
+def _explode_horizons(month: DataFrame, keys: list[str], horizons, observed_basis: str,
+                      carry: tuple[str, ...] = ()) -> DataFrame:
+    month = month.withColumns({
+        "days_in_month": F.bit_count("_days").cast("bigint"),
+        "calendar_days": cal.days_in_month(F.col("year_month")),
+    })
     rows = month.withColumn("_h", F.explode(F.array(*[
-        F.struct(F.lit(h).alias("h"), F.col(f"_p{h}").alias("p"), F.col(f"_n{h}").alias("n"))
+        F.struct(F.lit(h).alias("h"), F.col(f"_p{h}").alias("p"),
+                 F.bit_count(F.col("_days").bitwiseAND(F.lit((1 << h) - 1))).alias("n"))
         for h in horizons])))
     rows = rows.where(F.col("_h.n") > 0)
-    observed = (F.least(F.col("_h.h"), F.col("days_in_month")) if observed_basis == "elapsed"
-                else F.col("_h.n"))
+    observed = (F.least(F.col("_h.h").cast("bigint"), F.col("days_in_month"))
+                if observed_basis == "elapsed" else F.col("_h.n"))
     return rows.select(
         *keys, "contract_type",
         F.col("_h.h").alias("horizon_days"),
@@ -66,13 +86,37 @@ def build_horizon_table(
         "full_month_kwh", "days_in_month", "calendar_days",
         observed.cast("bigint").alias("days_observed"),
         (F.col("full_month_kwh") - F.col("_h.p")).alias("remainder_kwh"),
+        *carry,
     )
 
 
+def calendar_context(daily: DataFrame, horizons=HORIZONS,
+                     observed_basis: str = "elapsed") -> DataFrame:
+    """Horizon table with alarm context for calendar months, in one lineage.
+
+    Billing month and calendar month coincide here, so the lags are range
+    windows over the same monthly rows: no join and no second roll-up.
+    """
+    keys = ["customer_id", "year_month"]
+    d = daily.repartition("customer_id")
+    month = _billing_months(d, F.trunc("date", "MM"), keys, horizons)
+    w = W.partitionBy("customer_id").orderBy(cal.month_index(F.col("year_month")))
+    x = F.col("full_month_kwh")
+    month = month.withColumns({
+        "prev_month_kwh": F.max(x).over(w.rangeBetween(-1, -1)),
+        "yoy_month_kwh": F.max(x).over(w.rangeBetween(-12, -12)),
+        "ma3_kwh": F.avg(x).over(w.rangeBetween(-3, -1)),
+        "customer_mean_history": F.avg(x).over(w.rangeBetween(W.unboundedPreceding, -1)),
+    })
+    return _explode_horizons(month, keys, horizons, observed_basis,
+                             ("prev_month_kwh", "yoy_month_kwh", "ma3_kwh",
+                              "customer_mean_history"))
+
+
 def one_per_month(monthly: DataFrame) -> DataFrame:
-    """One total per customer and month: the first contract type where there are several."""
+    """One total per customer and month over its contract types."""
     return monthly.groupBy("customer_id", "year_month").agg(
-        F.min_by("monthly_kwh", "contract_type").alias("monthly_kwh"))
+        F.sum("monthly_kwh").alias("monthly_kwh"))
 
 
 def lag_lookup(monthly: DataFrame) -> DataFrame:

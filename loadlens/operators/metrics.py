@@ -53,17 +53,21 @@ def labelled(df: DataFrame) -> DataFrame:
     return al.with_alarms(al.with_alarms(df, PRED, "pred"), TRUE, "true")
 
 
-def evaluate(predictions: DataFrame, context: DataFrame,
-             group_cols=("horizon_days", "contract_type")) -> DataFrame:
-    """Regression and alarm metrics per group in one aggregation."""
-    keys = ["customer_id", "year_month", "horizon_days"]
-    merged = labelled(context.join(predictions, keys))
+def evaluate_rows(rows: DataFrame, group_cols=("horizon_days", "contract_type")) -> DataFrame:
+    """Regression and alarm metrics per group, in one aggregation."""
     group_cols = list(group_cols)
-    return not_null(merged, *group_cols).groupBy(*group_cols).agg(
+    return not_null(labelled(rows), *group_cols).groupBy(*group_cols).agg(
         *regression_aggs(),
         *al.classification(F.col("pred_any"), F.col("true_any")))
 
 
+def evaluate(predictions: DataFrame, context: DataFrame,
+             group_cols=("horizon_days", "contract_type")) -> DataFrame:
+    """Score predictions that come from elsewhere against the context table."""
+    keys = ["customer_id", "year_month", "horizon_days"]
+    return evaluate_rows(context.join(predictions, keys), group_cols)
+
+
 def error_columns(results: DataFrame) -> DataFrame:
     """Signed, absolute and percent error per prediction."""
     err = F.col(PRED) - F.col(TRUE)

@@ -16,10 +16,8 @@ def daily_of(spark, sf):
     return rollup.daily_by_customer(t.readings(spark, sf))
 
 
-def context_of(spark, sf, **kw):
-    daily = daily_of(spark, sf)
-    return hz.attach_alarm_context(hz.build_horizon_table(daily, **kw),
-                                   rollup.monthly_by_customer(daily))
+def context_of(spark, sf):
+    return hz.calendar_context(daily_of(spark, sf))
 
 
 def results_of(spark, sf, model="partial_linear"):
@@ -51,10 +49,12 @@ def horizon_table(spark, sf):
     return hz.build_horizon_table(daily_of(spark, sf))
 
 
-@query("horizon_meter_day_15", HORIZON_COLS, "D3 Q4",
-       ctes.horizon_sql("daily", """CASE WHEN day(date) >= 15
+ctes.add("horizon15", ctes.horizon_sql("daily", """CASE WHEN day(date) >= 15
            THEN (date_trunc('month', date) + INTERVAL 14 DAY)::DATE
            ELSE (date_trunc('month', date) - INTERVAL 1 MONTH + INTERVAL 14 DAY)::DATE END"""))
+
+
+@query("horizon_meter_day_15", HORIZON_COLS, "D3 Q4", "SELECT * FROM horizon15")
 def horizon_meter_day(spark, sf):
     return hz.build_horizon_table(daily_of(spark, sf), meter_day=15)
 
@@ -83,6 +83,23 @@ def alarm_context(spark, sf):
     return context_of(spark, sf)
 
 
+@query("alarm_context_meter_day_15", "customer_id year_month:s horizon_days:i prev_month_kwh:4 "
+       "yoy_month_kwh:4 ma3_kwh:6", "C2 D3", """
+    SELECT h.*, a.monthly_kwh AS prev_month_kwh, y.monthly_kwh AS yoy_month_kwh,
+           (SELECT avg(m.monthly_kwh) FROM monthly m WHERE m.customer_id = h.customer_id
+              AND m.year_month < h.year_month
+              AND m.year_month >= h.year_month - INTERVAL 3 MONTH) AS ma3_kwh
+    FROM horizon15 h
+    LEFT JOIN monthly a ON a.customer_id = h.customer_id
+         AND a.year_month = h.year_month - INTERVAL 1 MONTH
+    LEFT JOIN monthly y ON y.customer_id = h.customer_id
+         AND y.year_month = h.year_month - INTERVAL 12 MONTH""")
+def alarm_context_meter_day(spark, sf):
+    daily = daily_of(spark, sf)
+    return hz.attach_alarm_context(hz.build_horizon_table(daily, meter_day=15),
+                                   rollup.monthly_by_customer(daily))
+
+
 @query("calendar_lags", "customer_id year_month:s monthly_kwh:4 prev_month_kwh:4 "
        "yoy_month_kwh:4 ma3_kwh:6 customer_mean_history:6", "C2 E3 E4 E10", """
     SELECT m.customer_id, m.year_month, m.monthly_kwh, a.monthly_kwh AS prev_month_kwh,
@@ -147,8 +164,17 @@ def baseline_evaluation(spark, sf):
     SELECT horizon_days, contract_type, {ctes.regression()}, {ctes.confusion()}
     FROM labelled WHERE model = 'partial_linear' GROUP BY horizon_days, contract_type""")
 def overuse_alarm_evaluation(spark, sf):
+    rows = context_of(spark, sf).withColumn("pred_monthly_kwh", baselines.partial_linear())
+    return metrics.evaluate_rows(rows)
+
+
+@query("evaluate_prediction_table", f"horizon_days:i contract_type {ctes.REG_COLS} "
+       f"{ctes.conf_cols()}", "C17 D14", f"""
+    SELECT horizon_days, contract_type, {ctes.regression()}, {ctes.confusion()}
+    FROM labelled WHERE model = 'moving_avg3' GROUP BY horizon_days, contract_type""")
+def evaluate_prediction_table(spark, sf):
     ctx = context_of(spark, sf)
-    return metrics.evaluate(baselines.predict(ctx, "partial_linear"), ctx)
+    return metrics.evaluate(baselines.predict(ctx, "moving_avg3"), ctx)
 
 
 SCALE_SQL = """CASE WHEN full_month_kwh < 0 THEN NULL WHEN full_month_kwh < 100 THEN '0-100'

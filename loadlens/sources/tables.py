@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens.functions import calendar as cal
+from loadlens.functions.joins import small_side
 
 # Contract type and branch name by nation key modulo, stations by key modulo.
 CONTRACT_BY_NATION = ("주택용", "주택용(고압)", "일반용(갑)I", "일반용(갑)II", "일반용(을)")
@@ -20,8 +21,26 @@ REGION_STATION = {"AFRICA": 108, "AMERICA": 112, "ASIA": 119, "EUROPE": 133}
 DEFAULT_STATION = 108
 
 
+# Declared schemas spare the file-footer job that inference would start per read.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(values: tuple, index: Column) -> Column:
@@ -62,6 +81,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.floor(slot / 4)
     backfeed = ((F.col("l_suppkey") % 10 == 0) & hour.between(10, 14)
                 & (F.col("l_linenumber") == 1))
+    info = small_side(info, measure=table(spark, sf_dir, "supplier"))
     return li.join(info, F.col("l_suppkey") == F.col("s_suppkey")).select(
         "customer_id",
         (F.col("l_shipdate") + F.make_dt_interval(mins=(slot * 15).cast("int"))).alias("ts"),
