@@ -165,7 +165,7 @@ CTES: dict[str, str] = {
     "typical": f"""
     SELECT station_id, ts, avg(temp_c) AS temp_c, avg(rh_pct) AS rh_pct,
            avg(wind_speed_ms) AS wind_speed_ms, avg(ghi_whm2) AS ghi_whm2
-    FROM (SELECT {case_mod('user_id % 8', t.STATIONS)} AS station_id,
+    FROM (SELECT {case_mod('user_id % 8', t.TYPICAL_STATIONS)} AS station_id,
                  TIMESTAMP '2023-01-01' + to_days(CAST(event_id % 365 AS INTEGER))
                    + to_hours(hour(ts)) AS ts,
                  value / 10.0::DOUBLE - 5.0::DOUBLE AS temp_c,

@@ -17,6 +17,7 @@ CONTRACT_BY_NATION = ("주택용", "주택용(고압)", "일반용(갑)I", "일
 BRANCH_BY_NATION = ("서울본부", "남서울본부", "인천본부", "경기북부", "강원 본부", "대전충남",
                     "부산울산", "해외지사")
 STATIONS = (108, 112, 119, 114, 133, 143, 156, 159)
+TYPICAL_STATIONS = (108, 112, 119, 101, 133, 143, 156, 159)
 REGION_STATION = {"AFRICA": 108, "AMERICA": 112, "ASIA": 119, "EUROPE": 133}
 DEFAULT_STATION = 108
 
@@ -145,7 +146,7 @@ def typical_year_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = (F.lit("2023-01-01").cast("timestamp_ntz")
           + F.make_dt_interval(days=day, hours=F.hour("ts")))
     raw = e.select(
-        pick(STATIONS, F.col("user_id") % 8).alias("station_id"),
+        pick(TYPICAL_STATIONS, F.col("user_id") % 8).alias("station_id"),
         ts.alias("ts"),
         (F.col("value") / 10.0 - 5.0).alias("temp_c"),
         (40.0 + F.col("event_id") % 50).alias("rh_pct"),
