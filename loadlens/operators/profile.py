@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlens.functions import calendar as cal
 from loadlens.functions.chunks import with_previous
+from loadlens.functions.linear import pair_moments, solve, vif_of
 from loadlens.functions.quantiles import exact_quantiles
 from loadlens.functions.scalars import (cdd, count_if, floor_eps, hdd, power_factor, ratio,
                                         safe_corr, sample_skew, sum0, sum_if, true_if)
@@ -319,66 +320,27 @@ def correlation_frame(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairwise-complete correlations in long form, all pairs in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    row = df.agg(*[safe_corr(F.col(a), F.col(b)).alias(f"_{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    items = []
-    for i, (a, b) in enumerate(pairs):
-        for p, q in {(a, b), (b, a)}:
-            items.append(F.struct(F.lit(p).alias("feature_a"), F.lit(q).alias("feature_b"),
-                                  F.col(f"_{i}").alias("corr")))
-    return row.select(F.explode(F.array(*items)).alias("s")).select("s.*")
-
-
-def moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: count, means and the covariance triangle over complete rows."""
-    d = df.na.drop(subset=columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    return d.agg(F.count(F.lit(1)).alias("n"),
-                 F.array(*[F.avg(c) for c in columns]).alias("mean"),
-                 F.array(*[F.covar_samp(a, b) for a, b in pairs]).alias("cov"))
-
-
-def square(triangle, p: int) -> np.ndarray:
-    """Symmetric p by p matrix from its upper triangle, row by row."""
-    m = np.zeros((p, p))
-    m[np.triu_indices(p)] = np.asarray(triangle, dtype=float)
-    return m + np.triu(m, 1).T
-
-
-def vif_of(cov: np.ndarray) -> np.ndarray:
-    """Variance inflation of each variable from the covariance matrix."""
-    p = cov.shape[0]
-    out = np.full(p, np.nan)
-    for i in range(p):
-        o = [j for j in range(p) if j != i]
-        if not o or not np.isfinite(cov).all():
-            continue
-        if cov[i, i] <= 0:
-            out[i] = 1.0
-            continue
-        beta = np.linalg.lstsq(cov[np.ix_(o, o)], cov[o, i], rcond=None)[0]
-        r2 = min(float(beta @ cov[o, i]) / cov[i, i], 1.0)
-        out[i] = 1 / (1 - r2) if r2 < 1 - 1e-12 else np.inf
-    return out
+    """Pairwise-complete correlations in long form, from one pass over the rows."""
+    def rows(_, m):
+        c, p = m.corr(), len(columns)
+        return pd.DataFrame({
+            "feature_a": [a for a in columns for _ in range(p)],
+            "feature_b": columns * p, "corr": c.ravel()})
+
+    out = solve(pair_moments(df, columns), columns, rows,
+                "feature_a string, feature_b string, corr double")
+    return out.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """VIF per column: one aggregation over the rows, then a p by p solve on its one row."""
-    p = len(columns)
-
-    def solve(batches):
-        for pdf in batches:
-            for _, r in pdf.iterrows():
-                if r["n"] < p + 1:
-                    continue
-                v = vif_of(square(r["cov"], p))
-                yield pd.DataFrame({"feature": columns, "vif": v, "r_squared": 1 - 1 / v,
-                                    "multicollinear": v > 10})
-
-    return moments(df, columns).mapInPandas(
-        solve, "feature string, vif double, r_squared double, multicollinear boolean")
+    """VIF per column over complete rows: one pass, then a solve on the p by p moments."""
+    def rows(_, m):
+        v = vif_of(m.cov()) if m.n[0, 0] >= len(columns) + 1 else np.full(len(columns), np.nan)
+        return pd.DataFrame({"feature": columns, "vif": v, "r_squared": 1 - 1 / v,
+                             "multicollinear": v > 10})
+
+    return solve(pair_moments(df.na.drop(subset=columns), columns), columns, rows,
+                 "feature string, vif double, r_squared double, multicollinear boolean")
 
 
 # Name -> statistic of the standard reading table; add an entry to add a statistic.
