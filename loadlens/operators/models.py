@@ -13,7 +13,8 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loadlens.functions.linear import Moments, pair_moments, ridge_solve, solve, vif_of
+from loadlens.functions.linear import (Moments, fold_r2, pair_moments, ridge_solve, solve,
+                                        vif_of)
 from loadlens.functions.scalars import daylight_hours, safe_corr, temperature_loss
 from loadlens.operators import baselines, clean, horizon as hz, metrics
 from loadlens.operators.features import FeatureSpec, KEYS
@@ -276,7 +277,7 @@ def fit_correction(rows: DataFrame, columns: list[str], target: str = "r_target"
                 if rest.n[t, t] < 2 or m.n[t, t] < 2:
                     continue
                 w, b = ridge_solve(rest, columns, target, a, mean, scale)
-                r2.append(_fold_r2(m, i, t, w / scale, b - float((w / scale) @ mean)))
+                r2.append(fold_r2(m, i, t, w / scale, b - float((w / scale) @ mean)))
             scores.append(np.mean(r2) if r2 else -np.inf)
         alpha = float(alphas[int(np.argmax(scores))])
         w, b = ridge_solve(total, columns, target, alpha, mean, scale)
@@ -289,15 +290,6 @@ def fit_correction(rows: DataFrame, columns: list[str], target: str = "r_target"
                  "scale array<double>, cv_r2 double", together=True)
 
 
-def _fold_r2(m: Moments, i: list[int], t: int, w: np.ndarray, b: float) -> float:
-    """R2 of y = xw + b on a fold, from its moments."""
-    n, sy, syy = m.n[t, t], m.s[t, t], m.ss[t, t]
-    sx, xy, xx = m.s[i, t], m.xy[i, t], m.xy[np.ix_(i, i)]
-    sse = (syy - 2 * (w @ xy + b * sy) + w @ xx @ w + 2 * b * (w @ sx) + n * b * b)
-    sst = syy - sy * sy / n
-    return 1 - sse / sst if sst > 0 else 0.0
-
-
 def apply_correction(rows: DataFrame, model: DataFrame, columns: list[str],
                      out: str = "pred_corrected") -> DataFrame:
     """Add the correction; the model is one row and is broadcast."""

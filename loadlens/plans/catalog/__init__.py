@@ -6,7 +6,7 @@ from loadlens.plans.catalog.base import REGISTRY, Query, query  # noqa: F401
 def load_all() -> dict[str, "Query"]:
     """Import every query module and return the registry."""
     from loadlens.plans.catalog import (  # noqa: F401
-        core, cleaning, bills, climate, profiling, modelling,
+        core, cleaning, bills, climate, profiling, modelling, delivery,
     )
 
     return REGISTRY

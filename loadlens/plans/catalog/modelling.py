@@ -178,7 +178,7 @@ def sliding_month_heatmap(spark, sf):
         for m in METER_DAYS])
 
 
-@query("weather_sensitivity", "scenario bias:2 n:i mape_pct:4 rmse:4", "K9 C21")
+@query("weather_sensitivity", "scenario shift:2 n:i mape_pct:4 rmse:4", "K9 C21")
 def weather_sensitivity(spark, sf):
     f, spec = stored_features(spark, sf)
     model = models.train(f, spec, rounds=ROUNDS)

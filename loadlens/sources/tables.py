@@ -104,8 +104,13 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings_hf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense readings of one month, on a 15-minute grid, from the event log."""
+    return shape_events(table(spark, sf_dir, "events"))
+
+
+def shape_events(events: DataFrame) -> DataFrame:
+    """Events, at rest or streaming, as standard readings."""
     user = F.col("user_id")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("U"), user.cast("string")).alias("customer_id"),
         cal.floor_minutes(F.col("ts"), 15).alias("ts"),
         pick(CONTRACT_BY_NATION, user % 5).alias("contract_type"),
