@@ -55,19 +55,32 @@ def season(month: Column) -> Column:
     )
 
 
+SEASONS = ("summer", "spring_fall", "winter")
+
+
+def _period_table() -> Column:
+    """72 periods, by season and hour, as one constant."""
+    return F.array(*[F.lit("on_peak" if h in ON_PEAK_HOURS[s] else
+                           "mid_peak" if h in MID_PEAK_HOURS[s] else "off_peak")
+                     for s in SEASONS for h in range(24)])
+
+
 def classify_tou(hour: Column, season_col: Column) -> Column:
     """Time-of-use period of an hour in a season, before any day rule."""
-    out = None
-    for name in ("summer", "spring_fall", "winter"):
-        for period, hours in (("on_peak", ON_PEAK_HOURS), ("mid_peak", MID_PEAK_HOURS)):
-            hit = (season_col == name) & hour.isin(*hours[name])
-            out = F.when(hit, period) if out is None else out.when(hit, period)
-    return out.otherwise("off_peak")
+    at = F.when(season_col == "summer", 0).when(season_col == "spring_fall", 24).otherwise(48)
+    return F.get(_period_table(), (at + hour).cast("int"))
+
+
+def tou_period(ts: Column) -> Column:
+    """Time-of-use period of a time stamp: two constant lookups, no string comparison."""
+    offset = F.array(*[F.lit(0 if m in SUMMER_MONTHS else 24 if m in SPRING_FALL_MONTHS else 48)
+                       for m in range(1, 13)])
+    return F.get(_period_table(), F.get(offset, F.month(ts) - 1) + F.hour(ts))
 
 
 def tou_with_day_rules(ts: Column, is_holiday: Column | None = None) -> Column:
     """Saturday on-peak counts as mid-peak; Sundays and holidays are off-peak."""
-    base = classify_tou(F.hour(ts), season(F.month(ts)))
+    base = tou_period(ts)
     dow = F.weekday(ts)
     off_day = dow == 6
     if is_holiday is not None:

@@ -22,3 +22,18 @@ def small_side(df: DataFrame, measure: DataFrame | None = None,
     """
     size = estimated_bytes(df if measure is None else measure)
     return F.broadcast(df) if size <= limit else df
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+MIN_SPREAD_BYTES = 2 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core rows of a small input.
+
+    A file of one row group is read by one task however many cores there are.
+    Inputs that fill the cores by themselves are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = estimated_bytes(df)
+    return df.repartition(cores) if MIN_SPREAD_BYTES <= size < cores * SPLIT_BYTES / 8 else df

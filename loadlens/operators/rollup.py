@@ -211,7 +211,7 @@ def monthly_tou_ratios(
     """Share of the month's energy per time-of-use period; an unused period is 0."""
     d = not_null(df, "customer_id", "ts")
     if not apply_day_rules:
-        tou = cal.classify_tou(F.hour("ts"), cal.season(F.month("ts")))
+        tou = cal.tou_period(F.col("ts"))
     elif holidays is None:
         tou = cal.tou_with_day_rules(F.col("ts"))
     else:

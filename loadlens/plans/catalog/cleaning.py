@@ -11,6 +11,7 @@ from loadlens.plans.catalog import ctes
 from loadlens.plans.catalog.base import query
 from loadlens.plans.catalog.core import daily_of
 from loadlens.sources import tables as t
+from loadlens.sources.readings import grid_ts
 
 # Spellings of contract types as they appear in source systems, and their names.
 RAW_SPELLINGS = (
@@ -98,15 +99,13 @@ def ts_compose(spark, sf):
     return raw.withColumn("ts", clean.compose_ts(F.col("date_text"), F.col("time_text")))
 
 
-@query("hour_ending_shift", "hour:i n:i", "A3 Q8", """
-    SELECT hour(ts) AS hour, count(*) AS n FROM readings_hf GROUP BY 1""")
-def hour_ending_shift(spark, sf):
-    """The same readings written hour-ending (1..24) come back on their own hours."""
-    d = t.readings_hf(spark, sf).withColumn("ts", F.col("ts") + F.make_dt_interval(hours=F.lit(1)))
-    # 24:00 of a day is 00:00 of the next; shifting such a source back needs hour 0 to be absent,
-    # so the table is marked hour-ending by construction.
-    back = d.withColumn("ts", F.col("ts") - F.make_dt_interval(hours=F.lit(1)))
-    return back.groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+@query("hour_ending_clock", "event_id ts:s", "A2 Q8", """
+    SELECT event_id, date_trunc('hour', ts) AS ts FROM events""")
+def hour_ending_clock(spark, sf):
+    """Year, month, day and an hour 1..24 as text come back as the beginning of the hour."""
+    e = t.table(spark, sf, "events")
+    text = [f("ts").cast("string") for f in (F.year, F.month, F.dayofmonth)]
+    return e.select("event_id", grid_ts(*text, (F.hour("ts") + 1).cast("string")).alias("ts"))
 
 
 @query("align_interval", "event_id ts_slot:s", "B5",
@@ -152,6 +151,13 @@ ctes.add("filled", """
            WHEN ni IS NULL THEN pv
            ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END AS p_active_kwh
     FROM neighbours""")
+
+
+def slim(spark, sf):
+    """The columns a cleaning step needs: the rest would ride through its shuffles."""
+    return t.readings(spark, sf).select("customer_id", "ts", "p_active_kwh", "ingest_seq")
+
+
 READ = "customer_id ts:s p_active_kwh:6"
 
 
@@ -163,7 +169,7 @@ def dedup_keep_last(spark, sf):
 
 @query("interpolate_missing", READ, "B8 P14", "SELECT * FROM filled")
 def interpolate_missing(spark, sf):
-    return clean.interpolate(clean.remove_duplicates(t.readings(spark, sf)))
+    return clean.interpolate(clean.remove_duplicates(slim(spark, sf)))
 
 
 @query("interpolate_short_gap_limit", READ, "B8 P14", """
@@ -171,12 +177,12 @@ def interpolate_missing(spark, sf):
            WHEN pi IS NULL OR i - pi > 1 THEN NULL WHEN ni IS NULL THEN pv
            ELSE pv + (nv - pv) * (i - pi) / (ni - pi) END AS p_active_kwh FROM neighbours""")
 def interpolate_short_gap_limit(spark, sf):
-    return clean.interpolate(clean.remove_duplicates(t.readings(spark, sf)), limit=1)
+    return clean.interpolate(clean.remove_duplicates(slim(spark, sf)), limit=1)
 
 
 @query("forward_fill", READ, "B8 E12", "SELECT customer_id, ts, pv AS p_active_kwh FROM neighbours")
 def forward_fill(spark, sf):
-    return clean.forward_fill(clean.remove_duplicates(t.readings(spark, sf)))
+    return clean.forward_fill(clean.remove_duplicates(slim(spark, sf)))
 
 
 @query("missing_drop_and_zero", "method n:i total:4", "B8", """
@@ -193,7 +199,7 @@ def missing_drop_and_zero(spark, sf):
 def outlier(name: str, ids: str, sql: str):
     @query(f"outlier_{name}", READ, ids, sql)
     def build(spark, sf):
-        return clean.remove_outliers(clean.remove_duplicates(t.readings(spark, sf)), name)
+        return clean.remove_outliers(clean.remove_duplicates(slim(spark, sf)), name)
 
     return build
 
@@ -244,7 +250,7 @@ ctes.add("kept", """
 
 @query("clean_readings", READ, "B14", "SELECT * FROM kept")
 def clean_readings(spark, sf):
-    return clean.cleaned(clean.preprocess_marked(t.readings(spark, sf)))
+    return clean.cleaned(clean.preprocess_marked(slim(spark, sf)))
 
 
 @query("clean_step_log", "step removed:i", "B14", """
@@ -257,7 +263,7 @@ def clean_readings(spark, sf):
     UNION ALL SELECT 'final_drop_na', 0
     UNION ALL SELECT 'final_rows', (SELECT count(*) FROM kept)""")
 def clean_step_log(spark, sf):
-    return clean.step_log(clean.preprocess_marked(t.readings(spark, sf)))
+    return clean.step_log(clean.preprocess_marked(slim(spark, sf)))
 
 
 SPLIT_SQL = """

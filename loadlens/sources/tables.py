@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens.functions import calendar as cal
-from loadlens.functions.joins import small_side
+from loadlens.functions.joins import small_side, spread
 
 # Contract type and branch name by nation key modulo, stations by key modulo.
 CONTRACT_BY_NATION = ("주택용", "주택용(고압)", "일반용(갑)I", "일반용(갑)II", "일반용(을)")
@@ -73,9 +73,9 @@ def customer_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with nulls, negatives and repeated (customer, ts) rows, 1995-2001."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = spread(table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+        "l_extendedprice", "l_discount", "l_tax", "l_shipdate"))
     info = customer_info(spark, sf_dir)
     slot = F.col("l_orderkey") % 96
     qty = F.col("l_quantity")
