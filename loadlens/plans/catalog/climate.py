@@ -33,10 +33,10 @@ ctes.add("weather_month", degree_sql(
     """, avg(humidity) AS humidity_mean, avg(wind_speed) AS wind_speed_mean,
        avg(solar_mj) AS solar_mj_mean, sum(precip_mm) AS precip_sum,
        count_if(precip_mm > 0) AS rainy_hours"""))
-DEG = ("cdh_total:6 hdh_total:6 temp_mean:6 temp_max:6 temp_min:6 cdh_daytime:6 hdh_daytime:6 "
-       "cdh_evening:6 hdh_evening:6 cdh_night:6 hdh_night:6")
-MEANS = "humidity_mean:6 wind_speed_mean:6 solar_mj_mean:6"
-RAIN = "precip_sum:6 rainy_hours:6"
+DEG = ("cdh_total:8 hdh_total:8 temp_mean:8 temp_max:8 temp_min:8 cdh_daytime:8 hdh_daytime:8 "
+       "cdh_evening:8 hdh_evening:8 cdh_night:8 hdh_night:8")
+MEANS = "humidity_mean:8 wind_speed_mean:8 solar_mj_mean:8"
+RAIN = "precip_sum:8 rainy_hours:8"
 ALL_COLS = [c.split(":")[0] for c in f"{DEG} {MEANS} {RAIN}".split()]
 
 
@@ -450,10 +450,23 @@ ctes.add("mid_sig", """
     WHERE midday_ratio IS NOT NULL""")
 
 
-@query("btm_signal_midday", "customer_id midday_ratio:6 daytime_valley:i", "D31", """
-    SELECT customer_id, midday_ratio, CASE WHEN midday_ratio < (SELECT avg(midday_ratio)
-        - 2 * stddev_samp(midday_ratio) FROM mid_sig) THEN 1 ELSE 0 END AS daytime_valley
+ctes.add("mid_flag", """
+    SELECT customer_id, midday_ratio, CASE WHEN midday_ratio < (SELECT
+        CASE WHEN stddev_samp(midday_ratio) > 0 THEN avg(midday_ratio) - 2 * stddev_samp(midday_ratio)
+             ELSE 0 END FROM mid_sig) THEN 1 ELSE 0 END AS daytime_valley
     FROM mid_sig""")
+ctes.add("sun_usable", """
+    SELECT (SELECT count(*) FROM midday) >= 100 AND (SELECT count(*) FROM solar_hour
+        WHERE hour_ts::DATE BETWEEN (SELECT min(ts)::DATE FROM readings)
+                                AND (SELECT max(ts)::DATE FROM readings)) > 100 AS ok""")
+ctes.add("valley_used", """
+    SELECT customer_id, midday_ratio, est_capacity_kw, daytime_valley FROM valley, sun_usable WHERE ok
+    UNION ALL SELECT customer_id, midday_ratio, 0, daytime_valley FROM mid_flag, sun_usable
+    WHERE NOT ok""")
+
+
+@query("btm_signal_midday", "customer_id midday_ratio:6 daytime_valley:i", "D31",
+       "SELECT * FROM mid_flag")
 def btm_signal_midday(spark, sf):
     return btm.signal_midday(t.readings(spark, sf))
 
@@ -505,7 +518,7 @@ ctes.add("btm_flags", """
           FROM customer_info c
           JOIN (SELECT customer_id, count_if(p_active_kwh < 0) / count(p_active_kwh) AS neg_rate
                 FROM readings GROUP BY customer_id) n USING (customer_id)
-          LEFT JOIN valley v USING (customer_id) LEFT JOIN shift_sig s USING (customer_id)
+          LEFT JOIN valley_used v USING (customer_id) LEFT JOIN shift_sig s USING (customer_id)
           LEFT JOIN summer_flag u USING (customer_id))""")
 
 

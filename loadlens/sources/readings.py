@@ -208,16 +208,15 @@ def _with_info(spark: SparkSession, daily: DataFrame, path: str) -> DataFrame:
 # --- conversion and repair ----------------------------------------------------------------------
 
 def infer_numeric(df: DataFrame, share: float = 0.5) -> DataFrame:
-    """Cast text columns of which more than ``share`` of the values are numbers.
+    """Cast text columns in which more than ``share`` of the rows hold a number.
 
     The shares of all columns come from one pass.
     """
     text = [c for c, t in df.dtypes if t == "string"]
     if not text:
         return df
-    row = df.agg(*[F.avg(F.when(F.col(c).isNotNull(), F.when(
-        clean.to_number(F.col(c)).isNotNull(), 1.0).otherwise(0.0))).alias(c)
-        for c in text]).first()
+    row = df.agg(*[F.avg(F.when(clean.to_number(F.col(c)).isNotNull(), 1.0).otherwise(0.0))
+                   .alias(c) for c in text]).first()
     return df.withColumns({c: clean.to_number(F.col(c)) for c in text
                            if (row[c] or 0.0) > share})
 
