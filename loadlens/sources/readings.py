@@ -229,13 +229,14 @@ def csv_to_parquet(spark: SparkSession, src: str, dst: str) -> DataFrame:
 def broken_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a UTF-8 file that hold undecodable bytes."""
     d = spark.read.text(path)
-    return d.where(F.col("value").contains("�"))
+    return d.where(~F.is_valid_utf8("value")).withColumn("value", F.make_valid_utf8("value"))
 
 
 def repair(spark: SparkSession, src: str, dst: str) -> None:
     """Write the text again without the undecodable characters."""
     d = spark.read.text(src)
-    d.select(F.replace("value", F.lit("�"), F.lit("")).alias("value")).write.mode(
+    valid = F.make_valid_utf8("value")
+    d.select(F.replace(valid, F.lit("\ufffd"), F.lit("")).alias("value")).write.mode(
         "overwrite").text(dst)
 
 
