@@ -15,25 +15,25 @@ from loadlens.session import build_session  # noqa: E402
 
 # Name -> repetitions after one warm-up run.
 HEADLINE = {
-    "ingest_daily": 3,
-    "daily_rollup": 3,
-    "horizon_table": 3,
-    "overuse_alarm_evaluation": 3,
-    "baseline_evaluation": 3,
-    "error_by_dimension": 3,
-    "sliding_evaluation": 3,
-    "interpolate_missing": 3,
-    "outlier_iqr": 3,
-    "ami_monthly": 3,
-    "monthly_tou_ratios": 3,
-    "final_bill": 3,
-    "btm_detect": 3,
-    "monthly_weather_features": 3,
-    "base_temperature_grid": 3,
-    "profile_load_distribution": 3,
-    "profile_data_quality": 3,
-    "profile_correlation_matrix": 3,
-    "feature_matrix": 3,
+    "ingest_daily": 2,
+    "daily_rollup": 2,
+    "horizon_table": 2,
+    "overuse_alarm_evaluation": 2,
+    "baseline_evaluation": 2,
+    "error_by_dimension": 2,
+    "sliding_evaluation": 2,
+    "interpolate_missing": 2,
+    "outlier_iqr": 2,
+    "ami_monthly": 2,
+    "monthly_tou_ratios": 2,
+    "final_bill": 2,
+    "btm_detect": 2,
+    "monthly_weather_features": 2,
+    "base_temperature_grid": 2,
+    "profile_load_distribution": 2,
+    "profile_data_quality": 2,
+    "profile_correlation_matrix": 2,
+    "feature_matrix": 2,
     "residual_model_evaluation": 1,
 }
 

@@ -311,8 +311,8 @@ POLICY_SQL = """
     LEFT JOIN tmy_bias b ON b.station_id = h.station_id AND b.month = month(h.year_month)"""
 
 
-@query("weather_policy_tmy_bias", "customer_id year_month:s horizon_days:i cdh_total:6 "
-       "hdd_remainder:6 cdd_remainder:6 hdd_observed:6", "C10 C11", POLICY_SQL)
+@query("weather_policy_tmy_bias", "customer_id year_month:s horizon_days:i cdh_total:8 "
+       "hdd_remainder:8 cdd_remainder:8 hdd_observed:8", "C10 C11", POLICY_SQL)
 def weather_policy(spark, sf):
     hourly = t.weather_hourly(spark, sf)
     f = horizon_station(spark, sf).join(
