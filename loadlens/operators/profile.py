@@ -367,13 +367,22 @@ STATISTICS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+# Columns a statistic cannot do without; it is skipped where the source lacks them.
+NEEDS = {"power_factor": ("p_reactive_kwh",), "max_demand_ratio": ("max_demand_kw",),
+         "weather_regression": ("temp_c",), "partial_month_stability": ("p_reactive_kwh",)}
+
+
 def run_profile(df: DataFrame, write: Callable[[str, DataFrame], None],
                 skip: frozenset[str] = frozenset()) -> DataFrame:
     """Write every statistic; a failing one is recorded and does not stop the others."""
     rows = []
     for name, stat in STATISTICS.items():
         if name in skip:
-            rows.append((name, "skipped", ""))
+            rows.append((name, "skipped", "on request"))
+            continue
+        missing = [c for c in NEEDS.get(name, ()) if c not in df.columns]
+        if missing:
+            rows.append((name, "skipped", f"no column {', '.join(missing)}"))
             continue
         try:
             write(name, stat(df))

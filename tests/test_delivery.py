@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from loadlens.operators import publish
+from loadlens.operators import profile, publish
 from loadlens.plans import ingest
 from loadlens.session import work_dir
 from loadlens.sources import files, readings as src, weather as ws
@@ -120,6 +120,34 @@ def test_publish_and_smart_load(spark, tmp_path):
     assert back.count() == 18 and spark.read.parquet(f"{out}/daily").count() == 9
 
 
+def test_profile_isolates_failures_and_skips_missing_columns(spark, monkeypatch):
+    def broken(_):
+        raise ValueError("broken statistic")
+
+    keep = ("customer_counts", "weather_regression", "hourly_profile")
+    stats = {k: profile.STATISTICS[k] for k in keep} | {"broken": broken}
+    monkeypatch.setattr(profile, "STATISTICS", stats)
+    seen = []
+    d = profile.run_profile(readings(spark), lambda n, df: seen.append((n, df.count())),
+                            frozenset({"hourly_profile"}))
+    got = {r.name: r.status for r in d.collect()}
+    assert got == {"customer_counts": "ok", "weather_regression": "skipped",
+                   "hourly_profile": "skipped", "broken": "failed"}
+    assert [n for n, _ in seen] == ["customer_counts"]
+
+
+def test_ingest_job_with_weather(spark, tmp_path):
+    raw = str(tmp_path / "raw")
+    readings(spark).write.parquet(raw)
+    hourly = spark.createDataFrame([(108, dt.datetime(2024, 1, 1, 1), 3.0)],
+                                   "station_id int, ts timestamp_ntz, temp_c double")
+    meta = ingest.run(spark, src.SourceConfig("table", raw), str(tmp_path / "out"), hourly)
+    assert meta["status"] == "OK"
+    d = spark.read.parquet(str(tmp_path / "out" / "daily"))
+    assert {str(r.date): r.temp_c for r in d.where("customer_id = 'c0'").collect()} == {
+        "2024-01-01": 3.0, "2024-01-02": None, "2024-01-03": None}
+
+
 def test_stage_resume_and_results(spark, tmp_path):
     calls = []
 
