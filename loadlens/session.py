@@ -46,10 +46,15 @@ def _local_root() -> str:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The cluster names that shared folder. Only where it is unset (tests, a
-    laptop) is a local temporary folder taken instead.
+    The cluster names that shared folder. Only where it is unset on a local
+    master (tests, a laptop) is a temporary folder taken instead.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or \
+                spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_root()
     return os.path.join(root.rstrip("/"), f"{purpose}-{uuid.uuid4().hex}")
 
 
