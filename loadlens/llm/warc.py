@@ -103,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 if out is None:
                     name = (f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
                             f"-{made:04d}.warc.gz")
-                    out = system.open_output_stream(f"{base}/{name}")
+                    out = system.open_output_stream(f"{base}/{name}", compression=None)
                     size, count, made = 0, 0, made + 1
                 payload = (h or "").encode("utf-8", "replace")
                 data = member(record_bytes(i or "", u, payload, r, date), level)

@@ -54,7 +54,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator], Iterator[tup
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(c), f.type) for c, f in zip(cols, arrow)], schema=arrow)
 
-        for row in rows(batches if arrow_in else (b.to_pydict() for b in batches)):
+        for row in rows(batches if arrow_in else _columns(batches)):
             held.append(row)
             if len(held) >= flush:
                 yield made()
@@ -65,6 +65,13 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator], Iterator[tup
     return df.mapInArrow(run, target)
 
 
+def _columns(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[dict]:
+    """Columns as Python lists, a part of a batch at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows).to_pydict()
+
+
 def is_training_row(doc_id: Column) -> Column:
     """Rows a model may learn from: crc32 of the id as text is no multiple of 5."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
