@@ -1,6 +1,7 @@
 """Secret scan with a random forest against false positives, in DataFrame operations only.
 
-Candidates are runs of at least ``MIN_LENGTH`` letters, digits and ``+ / _ -`` with a digit.
+Candidates are runs of at least ``MIN_LENGTH`` letters, digits and ``+ / _ -`` that hold a
+digit, begin like an issued key, or follow ``=`` or ``:``.
 Each gets features of its length, of the transitions between character classes, of how much
 of it dictionary words cover, of paths (slashes, dots and file endings in and around it), and of its
 neighbouring words (credential words, assignment and quotes before it). A random forest is
@@ -26,10 +27,11 @@ from loadlens.session import write_and_read
 MIN_LENGTH = 12
 AROUND = 48
 RUN = "[A-Za-z0-9+/_-]"
-CANDIDATE = rf"(?<!{RUN})(?=[A-Za-z+/_-]*[0-9]){RUN}{{{MIN_LENGTH},}}+={{0,2}}"
 # Words that name a credential, and prefixes of issued keys.
 CREDENTIAL = r"(?i)(passw(or)?d|pwd|passphrase|secret|token|api[_-]?key|apikey|auth|credential|private[_-]?key)"
-ISSUED = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_)"
+ISSUED = "(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_)"
+CANDIDATE = (rf"""(?<!{RUN})(?:(?=[A-Za-z+/_-]*[0-9])|(?={ISSUED})|(?<=[=:]["' ]{{0,2}}))"""
+             rf"{RUN}{{{MIN_LENGTH},}}+={{0,2}}")
 FEATURES = ["length", "digits", "upper", "lower", "marks", "hex", "turns", "turn_share",
             "letter_digit_turns", "case_turns", "distinct_share", "dictionary", "slashes", "path_before",
             "ending_after", "credential_before", "assigned", "quoted", "words_before",
@@ -107,7 +109,7 @@ def rule_label(value: Column, before: Column) -> Column:
     credential = before.rlike(CREDENTIAL + r"""\s*[=:]\s*["']?$""")
     harmless = (value.rlike("^[0-9-]+$") | value.rlike("^[A-Za-z]+[0-9]{1,4}$")
                 | value.rlike("^[0-9]{1,4}[A-Za-z]+$") | value.rlike("/.*/"))
-    return F.when(value.rlike(ISSUED) | credential, F.lit(1.0)).when(harmless, F.lit(0.0))
+    return F.when(value.rlike("^" + ISSUED) | credential, F.lit(1.0)).when(harmless, F.lit(0.0))
 
 
 def train(findings: DataFrame, fit_rows: int = 20_000, trees: int = 20, depth: int = 8):
