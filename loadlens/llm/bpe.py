@@ -3,9 +3,9 @@
 A token sequence is the BPE encoding of a piece exactly if every token is the encoding
 of its own bytes and every two neighbours are the encoding of their joined bytes. The
 encoder finds all vocabulary matches of a piece with one Aho-Corasick pass (bytes mapped
-to Latin-1 characters), takes the longest match first and steps back where neighbours do
-not fit. A position left once without success is never tried again, so the work is linear
-in the piece. Whether two tokens fit is worked out by the merge rule on their few bytes
+to Latin-1 characters), takes the longest match first and steps back to shorter ones where
+neighbours do not fit. A place left once without success is never tried again, so the work
+is linear in the piece. Whether two tokens fit is worked out by the merge rule on their few bytes
 and remembered.
 
 Cases: a null text counts as empty; an empty text has no ids, and the digests of no
@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -52,6 +53,13 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def make_room(cache: dict) -> None:
+    """Drop the older half of a full cache."""
+    if len(cache) >= KEPT:
+        for key in list(islice(cache, KEPT // 2)):
+            del cache[key]
+
+
 class Encoder:
     """Exact BPE of one rank table and split pattern."""
 
@@ -61,10 +69,12 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.matches = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.matches.add_word(token.decode("latin-1"), (rank, len(token)))
+            if len(token) > 255:
+                raise ValueError("a token is longer than 255 bytes")
+            self.matches.add_word(token.decode("latin-1"), rank << 8 | len(token))
         self.matches.make_automaton()
         self._own: dict[int, bool] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.packed = _Pieces(self)
 
     def stands(self, token: int) -> bool:
@@ -74,45 +84,52 @@ class Encoder:
         return self._own[token]
 
     def fits(self, left: int, right: int) -> bool:
-        """Are the two tokens the encoding of their joined bytes?"""
-        pair = (left, right)
-        if pair not in self._fits:
-            if len(self._fits) >= KEPT:
-                self._fits.clear()
+        """Are the two tokens the encoding of their joined bytes? (Then the right one stands.)"""
+        pair = left << 32 | right
+        known = self._fits.get(pair)
+        if known is None:
+            make_room(self._fits)
             joined = self.bytes_of[left] + self.bytes_of[right]
-            self._fits[pair] = merge_by_rank(joined, self.ranks) == [left, right]
-        return self._fits[pair]
+            known = self._fits[pair] = merge_by_rank(joined, self.ranks) == [left, right]
+        return known
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        found: list[list[tuple[int, int]]] = [[] for _ in piece]
-        for end, (token, length) in self.matches.iter(piece.decode("latin-1")):
-            found[end - length + 1].append((token, end + 1))
+        found: list[list[int]] = [[] for _ in piece]  # matches by start, longest last
+        for end, match in self.matches.iter(piece.decode("latin-1")):
+            found[end + 1 - (match & 255)].append(match)
+        known = self._fits.get
         out: list[int] = []
-        trail: list[tuple[int, int]] = []  # start of each token, and its place among the matches
-        closed = bytearray(len(piece) + 1)
-        at, choice = 0, len(found[0]) - 1
+        starts: list[int] = []
+        closed: set[int] = set()
+        at, last, choices = 0, None, found[0]
         while at < len(piece):
-            while choice >= 0:
-                token, end = found[at][choice]
-                if not closed[end] and self.stands(token) and (
-                        not out or self.fits(out[-1], token)):
+            while choices:
+                match = choices.pop()
+                token, end = match >> 8, at + (match & 255)
+                if end in closed:
+                    continue
+                if last is None:
+                    good = self.stands(token)
+                else:
+                    good = known(last << 32 | token)
+                    if good is None:
+                        good = self.fits(last, token)
+                if good:
+                    out.append(token)
+                    starts.append(at)
+                    at, last = end, token
                     break
-                choice -= 1
-            if choice >= 0:
-                out.append(token)
-                trail.append((at, choice))
-                at = end
-                choice = len(found[at]) - 1 if at < len(piece) else -1
-            else:
+            else:  # step back, to the next shorter match there
                 if not out:
                     raise ValueError("a byte of the text is missing from the vocabulary")
-                closed[at] = 1
+                closed.add(at)
                 out.pop()
-                at, choice = trail.pop()
-                choice -= 1
+                at, last = starts.pop(), out[-1] if out else None
+            if at < len(piece):
+                choices = found[at]
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -132,8 +149,7 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.encoder.piece(piece.encode("utf-8")), "<u4").tobytes()
-        if len(self) >= KEPT:
-            self.clear()
+        make_room(self)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
