@@ -221,7 +221,7 @@ def test_toxicity_edge_cases(spark):
         "doc_id long, text string, label string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)]
                                    + [(999, 1), (None, 1), (5, None), (1, 0)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels, "toxic", l1=0.5, epochs=20)
+    model = toxicity.fit(docs, labels, "toxic", epochs=20)
     assert 0 < len(model.slots) < 100
     rows = toxicity.score(docs, model).collect()
     assert len(rows) == 64
