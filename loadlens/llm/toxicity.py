@@ -111,13 +111,18 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     start = float(np.log(positive / (total - positive)))
     g2[-1] = 1.0
     z[-1] = -start * ((beta + 1.0) / alpha + l2)
+    known = spark.sparkContext.broadcast(index)
     for step in range(batches * epochs):
         w = _ftrl(z, g2, alpha, beta, floor, l2)
         g, sq = np.zeros(len(w)), np.zeros(len(w))
-        for r in _gradients(rows.filter(F.col("part") == step % batches), index, w).collect():
+        live = np.flatnonzero(w)
+        current = spark.sparkContext.broadcast((live, w[live]))
+        for r in _gradients(rows.filter(F.col("part") == step % batches), known,
+                            current).collect():
             at = np.frombuffer(r["f"], np.int32)
             g[at] += np.frombuffer(r["g"])
             sq[at] += np.frombuffer(r["s"])
+        current.destroy()  # else a copy of each step stays on every executor
         z += g - (np.sqrt(g2 + sq) - np.sqrt(g2)) / alpha * w
         g2 += sq
     w = _ftrl(z, g2, alpha, beta, floor, l2)
@@ -125,13 +130,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_i
     return Model(index[live], w[:-1][live], float(w[-1]))
 
 
-def _gradients(rows: DataFrame, index: np.ndarray, w: np.ndarray) -> DataFrame:
+def _gradients(rows: DataFrame, known, current) -> DataFrame:
     """One row per task: the coordinates with a gradient, its sum g and its sum of squares s over
     the task's rows, packed. The fitting sample bounds their number."""
-    shared = rows.sparkSession.sparkContext.broadcast((index, w))
 
     def add(batches: Iterator[dict]):
-        own, weights = shared.value
+        own = known.value
+        weights = np.zeros(len(own) + 1)
+        live, values = current.value
+        weights[live] = values
         g, s = np.zeros(len(weights)), np.zeros(len(weights))
         for b in batches:
             for y, f in zip(b["y"], b["f"]):
