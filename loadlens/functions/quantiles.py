@@ -4,7 +4,9 @@
 that can hold a large share of all rows this module first takes a mergeable
 sketch per group, which brackets each wanted rank, and then counts only the
 values inside the brackets. Rows below a bracket collapse to one counter in the
-map-side aggregation, rows above it are not emitted at all.
+map-side aggregation, rows above it are not emitted at all. A bracket is cut into
+order-preserving buckets; their counts say which bucket holds the rank, and only the
+values of that bucket are put in order, so no task orders the values of a whole bracket.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 ACCURACY = 10_000
+BUCKETS = 4096
 
 
 def exact_quantiles(
@@ -50,19 +53,35 @@ def exact_quantiles(
         wide = F.col("_n") > accuracy
         below = wide & F.lit(probs[name] - margin > 0.0) & (F.col("_v") < lo)
         above = wide & F.lit(probs[name] + margin < 1.0) & (F.col("_v") > hi)
+        # Order-preserving bucket of a value in its bracket; what lies below has bucket -1.
+        part = F.floor((F.col("_v") - lo) / F.nullif(hi - lo, F.lit(0.0)) * BUCKETS)
+        part = F.greatest(F.lit(0), F.least(F.coalesce(part, F.lit(0)), F.lit(BUCKETS)))
         slots.append(F.when(~above, F.struct(
-            F.lit(i).alias("i"), F.when(~below, F.col("_v")).alias("x"))))
+            F.lit(i).alias("i"), F.when(below, F.lit(-1)).otherwise(part).cast("int").alias("b"),
+            F.when(~below, F.col("_v")).alias("x"))))
     counted = (
         marked.withColumn("_s", F.explode(F.array_compact(F.array(*slots))))
-        .groupBy(*keys, F.col("_s.i").alias("_p"), F.col("_s.x").alias("_x"))
+        .groupBy(*keys, F.col("_s.i").alias("_p"), F.col("_s.b").alias("_b"),
+                 F.col("_s.x").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     )
-    w = W.partitionBy(*keys, "_p").orderBy(F.col("_x").asc_nulls_first())
-    ranked = counted.withColumn("_hi", F.sum("_c").over(
-        w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_c"))
     prob = F.element_at(F.array(*[F.lit(float(probs[n])) for n in names]), F.col("_p") + 1)
-    ranked = ranked.withColumn("_pos", prob * (F.col("_n") - 1))
+    pos = prob * (F.col("_n") - 1)
+
+    # At most BUCKETS + 2 rows per key and probability are ranked here ...
+    totals = counted.groupBy(*keys, "_p", "_b").agg(
+        F.sum("_c").alias("_t"), F.first("_n").alias("_n"))
+    upto = F.sum("_t").over(W.partitionBy(*keys, "_p").orderBy("_b").rowsBetween(
+        W.unboundedPreceding, W.currentRow))
+    wanted = totals.withColumn("_end", upto).withColumn("_start", F.col("_end") - F.col("_t"))
+    wanted = wanted.where((F.col("_start") <= F.ceil(pos)) & (F.col("_end") > F.floor(pos)))
+    # ... and here only the values of the one or two buckets that hold the wanted ranks.
+    on = [*keys, "_p", "_b"]
+    own = counted.join(wanted.select(*on, "_start"), on)
+    w = W.partitionBy(*on).orderBy(F.col("_x").asc_nulls_first())
+    ranked = own.withColumn("_hi", F.col("_start") + F.sum("_c").over(
+        w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    ranked = ranked.withColumn("_lo", F.col("_hi") - F.col("_c")).withColumn("_pos", pos)
 
     def at(rank):
         return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("_x")))
@@ -72,6 +91,9 @@ def exact_quantiles(
         at(F.ceil("_pos")).alias("_b"),
         F.first(F.col("_pos") - F.floor("_pos")).alias("_f"),
     )
-    spread = spread.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    missed = F.col("_a").isNull() | F.col("_b").isNull()
+    spread = spread.withColumn("_q", F.when(missed, F.raise_error(F.lit(
+        "a rank lies outside its sketch bracket")).cast("double")).otherwise(
+        F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")))
     out = [F.max(F.when(F.col("_p") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)]
     return spread.groupBy(*keys).agg(*out)

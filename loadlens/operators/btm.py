@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loadlens.functions import calendar as cal
 from loadlens.functions.joins import small_side
 from loadlens.functions.scalars import count_if, floor_eps, ratio, sum0, true_if
 from loadlens.operators.clean import safe_groups
+from loadlens.session import write_and_read
 
 X = "p_active_kwh"
 
@@ -20,12 +21,28 @@ def _fleet_low(df: DataFrame, column: str, flag: str) -> DataFrame:
         flag, true_if(F.col(column) < bound).cast("int")).drop("_m", "_sd")
 
 
+def rolled(df: DataFrame) -> DataFrame:
+    """Readings as one row per customer, month and hour of the day: all that the signals
+    without radiation need. A table that is rolled already is returned as it is."""
+    if "_kwh" in df.columns:
+        return df
+    x = F.col(X)
+    return df.groupBy("customer_id", cal.month_start(F.col("ts")).alias("year_month"),
+                      F.hour("ts").alias("hour")).agg(
+        F.sum(x).alias("_kwh"), F.count(x).alias("_n"), count_if(x < 0).alias("_neg"),
+        F.min("contract_type").alias("contract_type"))
+
+
+def _mean(cond) -> Column:
+    """Mean of the readings of the rolled rows that meet a condition; null without any."""
+    return ratio(F.sum(F.when(cond, F.col("_kwh"))), F.sum(F.when(cond, F.col("_n"))))
+
+
 def signal_negative(df: DataFrame) -> DataFrame:
     """Count and rate of negative readings."""
-    x = F.col(X)
-    return df.groupBy("customer_id").agg(
-        count_if(x < 0).alias("neg_count"),
-        F.coalesce(ratio(count_if(x < 0).cast("double"), F.count(x)), F.lit(0.0))
+    return rolled(df).groupBy("customer_id").agg(
+        F.sum("_neg").alias("neg_count"),
+        F.coalesce(ratio(F.sum("_neg").cast("double"), F.sum("_n")), F.lit(0.0))
         .alias("neg_rate"))
 
 
@@ -42,12 +59,12 @@ def solar_ranks(df: DataFrame, solar: DataFrame) -> DataFrame:
     same = F.sum("n").over(W.partitionBy("hour", "solar_mj"))
     below = F.sum("n").over(w.rangeBetween(W.unboundedPreceding, W.currentRow)) - same
     total = F.sum("n").over(W.partitionBy("hour"))
-    return h.select("hour_ts", "solar_mj", ((below + (same + 1) / 2) / total).alias("solar_rank"))
+    return h.select("hour_ts", "solar_mj", "n", ((below + (same + 1) / 2) / total).alias("solar_rank"))
 
 
-def signal_sunny(df: DataFrame, solar: DataFrame) -> DataFrame:
+def signal_sunny(df: DataFrame, solar: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """Load on sunny against cloudy midday hours, its correlation and an estimated capacity."""
-    ranks = solar_ranks(df, solar)
+    ranks = (solar_ranks(df, solar) if ranks is None else ranks).drop("n")
     d = df.where(F.hour("ts").between(10, 15)).withColumn("hour_ts", cal.floor_hour(F.col("ts")))
     d = d.join(small_side(ranks, measure=solar), "hour_ts")
     x, s = F.col(X), F.col("solar_mj")
@@ -79,9 +96,8 @@ def signal_sunny(df: DataFrame, solar: DataFrame) -> DataFrame:
 
 def signal_midday(df: DataFrame) -> DataFrame:
     """Without radiation: midday mean over all-day mean, low against the fleet."""
-    x = F.col(X)
-    g = df.groupBy("customer_id").agg(
-        F.avg(F.when(F.hour("ts").between(10, 15), x)).alias("_mid"), F.avg(x).alias("_day"))
+    g = rolled(df).groupBy("customer_id").agg(
+        _mean(F.col("hour").between(10, 15)).alias("_mid"), _mean(F.lit(True)).alias("_day"))
     g = g.where(F.col("_mid").isNotNull() & F.col("_day").isNotNull()).withColumn(
         "midday_ratio", F.col("_mid") / floor_eps(F.col("_day")))
     return _fleet_low(g, "midday_ratio", "daytime_valley").select(
@@ -89,29 +105,32 @@ def signal_midday(df: DataFrame) -> DataFrame:
         F.lit(0.0).alias("est_capacity_kw"), "daytime_valley")
 
 
-def signal_daytime(df: DataFrame, solar: DataFrame | None) -> DataFrame:
-    """The sunny signal where radiation covers enough hours, else the midday signal."""
+def signal_daytime(df: DataFrame, solar: DataFrame | None, roll: DataFrame | None = None,
+                   min_rows: int = 100, min_hours: int = 100) -> DataFrame:
+    """The sunny signal where radiation covers enough of the data, else the midday signal for
+    the whole fleet: at least ``min_rows`` midday readings with radiation, and more than
+    ``min_hours`` hours of radiation in the span. ``daytime_signal`` says which one was used.
+    """
+    roll = rolled(df) if roll is None else roll
+    midday = signal_midday(roll).withColumn("daytime_signal", F.lit("midday"))
     if solar is None:
-        return signal_midday(df)
+        return midday
     span = df.agg(F.min(F.to_date("ts")).alias("_a"), F.max(F.to_date("ts")).alias("_b"))
     day = F.to_date("hour_ts")
-    in_span = solar.join(F.broadcast(span)).where(
+    in_span = solar.join(F.broadcast(span)).where(  # one row
         (day >= F.col("_a")) & (day <= F.col("_b"))).drop("_a", "_b")
-    midday = df.where(F.hour("ts").between(10, 15)).withColumn(
-        "hour_ts", cal.floor_hour(F.col("ts"))).join(
-        small_side(in_span, measure=solar), "hour_ts")
-    guard = midday.agg((F.count(F.lit(1)) >= 100).alias("_rows")).join(
-        F.broadcast(in_span.agg((F.count(F.lit(1)) > 100).alias("_hours"))))
-    usable = F.broadcast(guard.select((F.col("_rows") & F.col("_hours")).alias("_ok")))
-    a = signal_sunny(df, in_span).join(usable).where("_ok").drop("_ok")
-    b = signal_midday(df).join(usable).where("not _ok").drop("_ok")
-    return a.unionByName(b)
+    in_span = write_and_read(in_span, "radiation")  # a row per hour
+    ranks = write_and_read(solar_ranks(df, in_span), "radiation")
+    hours = in_span.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    rows = ranks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if rows >= min_rows and hours > min_hours:
+        return signal_sunny(df, in_span, ranks).withColumn("daytime_signal", F.lit("sunny"))
+    return midday
 
 
 def signal_level_shift(df: DataFrame) -> DataFrame:
     """Largest drop of the 3-month mean; a customer has one row per month here."""
-    m = df.groupBy("customer_id", cal.month_start(F.col("ts")).alias("year_month")).agg(
-        sum0(F.col(X)).alias("kwh"))
+    m = rolled(df).groupBy("customer_id", "year_month").agg(sum0(F.col("_kwh")).alias("kwh"))
     w = W.partitionBy("customer_id").orderBy("year_month")
     m = m.withColumns({
         "_i": F.row_number().over(w) - 1,
@@ -129,10 +148,9 @@ def signal_level_shift(df: DataFrame) -> DataFrame:
 
 def signal_summer(df: DataFrame) -> DataFrame:
     """July-August mean over spring and autumn mean, low against the fleet."""
-    x, month = F.col(X), F.month("ts")
-    g = df.groupBy("customer_id").agg(
-        F.avg(F.when(month.isin(7, 8), x)).alias("_su"),
-        F.avg(F.when(month.isin(4, 5, 9, 10), x)).alias("_sh"))
+    month = F.month("year_month")
+    g = rolled(df).groupBy("customer_id").agg(
+        _mean(month.isin(7, 8)).alias("_su"), _mean(month.isin(4, 5, 9, 10)).alias("_sh"))
     g = g.where(F.col("_su").isNotNull() & F.col("_sh").isNotNull()).withColumn(
         "summer_ratio", F.col("_su") / floor_eps(F.col("_sh")))
     return _fleet_low(g, "summer_ratio", "summer_inverted").select(
@@ -144,11 +162,14 @@ SIGNALS = ("signal_neg", "signal_valley", "signal_shift", "signal_summer")
 
 def detect(df: DataFrame, solar: DataFrame | None = None,
            neg_threshold: float = 0.001) -> DataFrame:
-    """Flags per customer: four signals, their mean as score, and the verdict."""
-    base = df.groupBy("customer_id").agg(F.min("contract_type").alias("contract_type"))
-    d = base
-    for part in (signal_negative(df), signal_daytime(df, solar), signal_level_shift(df),
-                 signal_summer(df)):
+    """Flags per customer: four signals, their mean as score, and the verdict.
+
+    The readings are rolled up once for all signals; only the radiation joins read them again.
+    """
+    roll = write_and_read(rolled(df), "rolled")
+    d = roll.groupBy("customer_id").agg(F.min("contract_type").alias("contract_type"))
+    for part in (signal_negative(roll), signal_daytime(df, solar, roll), signal_level_shift(roll),
+                 signal_summer(roll)):
         d = d.join(part, "customer_id", "left")
     d = d.fillna(0).withColumns({
         "signal_neg": (F.col("neg_rate") >= neg_threshold).cast("int"),

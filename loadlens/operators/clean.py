@@ -109,7 +109,9 @@ def handle_missing(df: DataFrame, method: str = "interpolate", max_gap_hours: in
     if method == "interpolate":
         out = interpolate(df, X, max_gap_hours * 4)
         if "p_reactive_kwh" in df.columns:
-            out = interpolate(out, "p_reactive_kwh", max_gap_hours * 4)
+            # Written between the two, so that the second fill does not compute the first twice.
+            out = interpolate(write_and_read(out, "interpolated"), "p_reactive_kwh",
+                              max_gap_hours * 4)
         return out
     if method == "ffill":
         return forward_fill(df)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ def prepared(features: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 def _pipeline(spec: FeatureSpec, rounds: int, rate: float, depth: int, subsample: float,
               early_stop: bool, label: str = "_target", bins: int = 64, seed: int = 7,
-              min_leaf: int = 1) -> Pipeline:
+              min_leaf: int = 1, tolerance: float = 0.001) -> Pipeline:
     stages = []
     inputs = [f"_x_{c}" for c in spec.numeric]
     if spec.categorical:
@@ -51,32 +52,45 @@ def _pipeline(spec: FeatureSpec, rounds: int, rate: float, depth: int, subsample
                                     handleInvalid="keep"))
         inputs += [f"_i_{c}" for c in spec.categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    stop = {"validationIndicatorCol": "_is_val", "validationTol": 0.001} if early_stop else {}
+    stop = {"validationIndicatorCol": "_is_val", "validationTol": tolerance} if early_stop else {}
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="_residual",
                        maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample,
                        maxBins=bins, minInstancesPerNode=min_leaf, seed=seed, **stop)
     return Pipeline(stages=[*stages, gbt])
 
 
+def category_bins(d: DataFrame, spec: FeatureSpec, least: int = 64) -> int:
+    """Split candidates needed: trees want one more bin than the largest category has labels
+    (unseen labels share one)."""
+    if not spec.categorical:
+        return least
+    row = d.agg(*[F.count_distinct(f"_s_{c}").alias(c) for c in spec.categorical]).first()
+    return max(least, max(row) + 2)
+
+
 def train(features: DataFrame, spec: FeatureSpec, train_end: Column | None = None,
           rounds: int = 400, rate: float = 0.05, depth: int = 5, subsample: float = 0.9,
           early_stop: bool = True, min_leaf: int = 20) -> PipelineModel:
-    """Boosted trees on the residual; rows after ``train_end`` steer early stopping only.
+    """Boosted trees on the residual, at most ``rounds`` of them.
 
+    Without ``train_end`` the suggested split holds: its validation months stop the boosting
+    (short data have none, and all rounds run) and its test months are not seen at all. With
+    it, later rows are the validation rows.
     The prepared matrix is written once: boosting reads it in every round.
     """
     d = prepared(features, spec)
     if train_end is None:
-        last = d.agg(F.max("year_month").alias("_last"))
-        d = d.join(F.broadcast(last)).withColumn(  # one row
-            "_is_val", F.col("year_month") > clean.default_train_end(F.col("_last"))).drop("_last")
+        d = clean.with_suggested_split(d).where("split <> 'test'").withColumn(
+            "_is_val", F.col("split") == "val").drop("split")
     else:
         d = d.withColumn("_is_val", F.col("year_month") > train_end)
     if not early_stop:
         d = d.where(~F.col("_is_val"))
     cols = [c for c in d.columns if c[0] == "_"]
     d = write_and_read(d.select(*cols), "train")
-    return _pipeline(spec, rounds, rate, depth, subsample, early_stop, min_leaf=min_leaf).fit(d)
+    early_stop = early_stop and not d.where("_is_val").isEmpty()
+    return _pipeline(spec, rounds, rate, depth, subsample, early_stop, min_leaf=min_leaf,
+                     bins=category_bins(d, spec)).fit(d)
 
 
 def predict(model: PipelineModel, features: DataFrame, spec: FeatureSpec,
@@ -93,10 +107,8 @@ def predictions(model: PipelineModel, features: DataFrame, spec: FeatureSpec) ->
 
 
 def test_rows(features: DataFrame) -> DataFrame:
-    """Rows after the default training end."""
-    last = features.agg(F.max("year_month").alias("_last"))
-    return features.join(F.broadcast(last)).where(  # one row
-        F.col("year_month") > clean.default_train_end(F.col("_last"))).drop("_last")
+    """Rows of the suggested test months, which training never sees."""
+    return clean.with_suggested_split(features).where("split = 'test'").drop("split")
 
 
 def save(model: PipelineModel, spec: FeatureSpec, path: str, notes: str = "") -> None:
@@ -134,7 +146,8 @@ def importance(model: PipelineModel, spec: FeatureSpec, spark: SparkSession) ->
 
 
 def permutation_importance(model: PipelineModel, features: DataFrame, spec: FeatureSpec,
-                           columns: tuple[str, ...], seed: int = 7) -> DataFrame:
+                           columns: tuple[str, ...], seed: int = 7,
+                           buckets: int = 256) -> DataFrame:
     """Rise of the mean absolute error when a feature is shuffled between rows.
 
     The shuffle pairs rows by the ranks of two hashes inside hashed buckets of a
@@ -145,7 +158,7 @@ def permutation_importance(model: PipelineModel, features: DataFrame, spec: Feat
 
     keys = [F.col(k) for k in KEYS]
     part = ["year_month", "horizon_days", "_b"]
-    d = features.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(256)))
+    d = features.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
     w1 = W.partitionBy(*part).orderBy(F.xxhash64(*keys, F.lit(seed)))
     w2 = W.partitionBy(*part).orderBy(F.xxhash64(*keys, F.lit(seed + 1)))
     d = d.withColumns({"_r1": F.row_number().over(w1), "_r2": F.row_number().over(w2)})
@@ -176,12 +189,13 @@ def feature_target_correlation(features: DataFrame, columns, target="full_month_
 def select_features(features: DataFrame, columns: list[str], target: str = "full_month_kwh",
                     top_n: int | None = None, corr_threshold: float = 0.85,
                     vif_threshold: float = 10.0, min_corr: float = 0.01,
-                    max_iterations: int = 20) -> DataFrame:
+                    max_iterations: int | None = None) -> DataFrame:
     """Correlation rank, removal of correlated pairs, then of high variance inflation.
 
     One pass yields the pairwise moments; the greedy steps work on that p by p
     table. Variance inflation uses the pairwise correlations, which are positive
-    definite for complete rows.
+    definite for complete rows. Features leave one by one until none is above
+    ``vif_threshold``; ``max_iterations`` can end that earlier.
     """
     names = [*columns, target]
 
@@ -208,7 +222,7 @@ def select_features(features: DataFrame, columns: list[str], target: str = "full
             i = [pos[f] for f in fs]
             return dict(zip(fs, vif_of(np.nan_to_num(c[np.ix_(i, i)]))))
 
-        for _ in range(max_iterations):
+        for _ in range(len(columns) if max_iterations is None else max_iterations):
             v = inflation(current) if len(current) > 1 else {}
             high = [f for f in current if v.get(f, 0) > vif_threshold]
             if not high:
@@ -379,21 +393,32 @@ def random_grid(n: int, seed: int = 7) -> list[dict]:
              "min_leaf": int(rng.integers(10, 101))} for _ in range(n)]
 
 
-def tune(features: DataFrame, spec: FeatureSpec, trials: int = 10, rounds: int = 100,
-         seed: int = 7) -> DataFrame:
-    """Train on the first part, score the validation part; one row per setting, best first."""
-    d = prepared(features, spec)
-    s = clean.suggest_split(d).select("train_end", "val_end")
-    d = clean.time_split(d.join(F.broadcast(s)), F.col("train_end"), F.col("val_end"))
-    d = write_and_read(d.where("split <> 'test'").drop("train_end", "val_end"), "tune")
-    train_rows, val_rows = d.where("split = 'train'"), d.where("split = 'val'")
-    ev = CustomerSpreadEvaluator()
-    rows = []
-    for i, g in enumerate(random_grid(trials, seed)):
-        m = _pipeline(spec, rounds, g["rate"], g["depth"], g["subsample"], False,
-                      min_leaf=g["min_leaf"]).fit(train_rows)
-        rows.append((i, g["rate"], g["depth"], g["subsample"], g["min_leaf"],
-                     ev.evaluate(m.transform(val_rows))))
+def tune(features: DataFrame, spec: FeatureSpec, trials: int = 150, rounds: int = 400,
+         seed: int = 7, fit_rows: int | None = None, at_once: int = 4) -> DataFrame:
+    """Train on the first part, score the validation part; one row per setting, best first.
+
+    ``fit_rows`` bounds the labelled rows that the settings are fitted on, chosen by a hash of
+    the keys; all validation rows are scored. ``at_once`` settings train side by side.
+    """
+    d = clean.with_suggested_split(prepared(features, spec)).where("split <> 'test'")
+    d = write_and_read(d.withColumn("_is_val", F.col("split") == "val"), "tune")
+    val_rows, fitted = d.where("_is_val"), d
+    if fit_rows is not None:
+        share = F.pmod(F.xxhash64(*[F.col(k) for k in KEYS]), F.lit(1 << 30)) / float(1 << 30)
+        fitted = d.where(share * d.count() < fit_rows)
+    ev, bins = CustomerSpreadEvaluator(), category_bins(d, spec)
+    early_stop = not val_rows.isEmpty()
+
+    def trial(g: dict) -> float:
+        m = _pipeline(spec, rounds, g["rate"], g["depth"], g["subsample"], early_stop,
+                      min_leaf=g["min_leaf"], bins=bins).fit(fitted)
+        return ev.evaluate(m.transform(val_rows))
+
+    grid = random_grid(trials, seed)
+    with ThreadPoolExecutor(at_once) as pool:
+        scores = list(pool.map(trial, grid))
+    rows = [(i, g["rate"], g["depth"], g["subsample"], g["min_leaf"], s)
+            for i, (g, s) in enumerate(zip(grid, scores))]
     return features.sparkSession.createDataFrame(
         sorted(rows, key=lambda r: r[-1]),
         "trial int, rate double, depth int, subsample double, min_leaf int, cvrmse_median double")
@@ -416,7 +441,7 @@ SOLAR_COLUMNS = ("solar_mj_mean", "temp_mean", "temp_loss", "month", "year", "mo
                  "daylight_hours", "humidity_mean", "precip_sum")
 
 
-def train_solar(rows: DataFrame, target: str = "btm_mwh", rounds: int = 300) -> PipelineModel:
+def train_solar(rows: DataFrame, target: str = "btm_mwh", rounds: int = 200) -> PipelineModel:
     spec = FeatureSpec().without(FeatureSpec().numeric).plus(SOLAR_COLUMNS)
     d = rows.where(F.col(target) > 0).withColumns(
         {f"_x_{c}": F.coalesce(F.col(c).cast("double"), F.lit(MISSING)) for c in SOLAR_COLUMNS})

@@ -388,7 +388,7 @@ def run_profile(df: DataFrame, write: Callable[[str, DataFrame], None],
             write(name, stat(df))
             rows.append((name, "ok", ""))
         except Exception as e:  # noqa: BLE001 - one statistic must not stop the profile
-            rows.append((name, "failed", str(e).split("\n")[0][:300]))
+            rows.append((name, "failed", str(e)))
     return df.sparkSession.createDataFrame(rows, "name string, status string, detail string")
 
 

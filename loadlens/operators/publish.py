@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from loadlens.functions.scalars import count_if
 from loadlens.operators import baselines, horizon as hz, rollup
@@ -19,13 +20,17 @@ class PublishError(RuntimeError):
     """A table failed its checks and was not published."""
 
 
+def _fingerprint(df: DataFrame, kwh: str) -> list[Column]:
+    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
+    total = F.sum(F.col(kwh)) if kwh in df.columns else F.sum(F.lit(0.0))
+    return [F.count(F.lit(1)).alias("n_rows"), F.coalesce(total, F.lit(0.0)).alias("total_kwh"),
+            F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")
+                       ).cast("string").alias("checksum")]
+
+
 def fingerprint(df: DataFrame, kwh: str = "day_kwh") -> DataFrame:
     """Rows, energy and an order-free checksum, in one pass."""
-    h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    total = F.coalesce(F.sum(F.col(kwh)), F.lit(0.0)) if kwh in df.columns else F.lit(0.0)
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("total_kwh"),
-                  F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
-                  .alias("checksum"))
+    return df.agg(*_fingerprint(df, kwh))
 
 
 def pre_checks(daily: DataFrame) -> list[str]:
@@ -55,30 +60,32 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], out: str,
             tolerance_kwh: float = 1.0) -> dict:
     """Write to staging, read back and compare, move into place, then write meta.json.
 
-    Every table is written once; the comparison reads the staged files. The
-    status in meta.json is OK only when all tables agree.
+    Rows, energy and checksum are observed on the source rows while they are written; the
+    staged files, and then the published ones, must show the same figures. The status in
+    meta.json is OK only when all tables agree.
     """
     meta: dict = {"status": "OK", "tables": {}, "errors": []}
     staging = f"{out}/_staging-{uuid.uuid4().hex}"  # same file system as the target
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{staging}/{name}")
+        seen = Observation(f"publish-{uuid.uuid4().hex}")
+        df.observe(seen, *_fingerprint(df, "day_kwh")).write.mode("overwrite").parquet(
+            f"{staging}/{name}")
+        source = seen.get
         staged = spark.read.parquet(f"{staging}/{name}")
         if name == "daily":
             meta["errors"] += pre_checks(staged)
         missing = set(df.columns) ^ set(staged.columns)
         if missing:
             meta["errors"].append(f"{name}: columns differ: {sorted(missing)}")
-        f = fingerprint(staged).first()
-        meta["tables"][name] = {"rows": f["n_rows"], "total_kwh": f["total_kwh"],
-                                "checksum": f["checksum"], "columns": staged.columns}
+        meta["errors"] += _differences(name, "staged", source, staged, tolerance_kwh)
+        meta["tables"][name] = {"rows": source["n_rows"], "total_kwh": source["total_kwh"],
+                                "checksum": source["checksum"], "columns": staged.columns}
     if not meta["errors"]:
         for name in tables:
             files.rename(spark, f"{staging}/{name}", f"{out}/{name}")
-            again = fingerprint(spark.read.parquet(f"{out}/{name}")).first()
-            want = meta["tables"][name]
-            if (again["n_rows"] != want["rows"] or again["checksum"] != want["checksum"]
-                    or abs(again["total_kwh"] - want["total_kwh"]) > tolerance_kwh):
-                meta["errors"].append(f"{name}: the published table differs from the staged one")
+            own = meta["tables"][name]
+            meta["errors"] += _differences(name, "published", own | {"n_rows": own["rows"]},
+                                           spark.read.parquet(f"{out}/{name}"), tolerance_kwh)
     if meta["errors"]:
         meta["status"] = "FAILED"
     files.write_text(spark, f"{out}/meta.json", json.dumps(meta, ensure_ascii=False, indent=2))
@@ -87,6 +94,14 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], out: str,
     return meta
 
 
+def _differences(name: str, where: str, source: dict, df: DataFrame,
+                 tolerance_kwh: float) -> list[str]:
+    got = fingerprint(df).first()
+    same = (got["n_rows"] == source["n_rows"] and got["checksum"] == source["checksum"]
+            and abs(got["total_kwh"] - source["total_kwh"]) <= tolerance_kwh)
+    return [] if same else [f"{name}: the {where} rows differ from the source rows"]
+
+
 def self_test(daily: DataFrame) -> DataFrame:
     """Size, range, negative days, and a grade per column by its null rate."""
     cols = daily.columns
@@ -119,21 +134,26 @@ def save_result(df: DataFrame, out: str, name: str, description: str = "",
                      json.dumps(meta, ensure_ascii=False, indent=2))
 
 
-def write_by_month(df: DataFrame, path: str, ts: str = "ts") -> None:
+def write_by_month(df: DataFrame, path: str, ts: str = "ts", files_a_month: int = 64) -> None:
     """Readings partitioned by month, clustered by customer inside each file.
 
-    A month is split over many tasks by customer hash, so a large month is not
-    one file and a hot customer is not one partition of the table.
+    A month is split over ``files_a_month`` tasks by a hash of customer and day, so a large
+    month is not one file and a hot customer is not one partition of the table. Choose it as
+    the size of a month over the wanted file size.
     """
     d = df.withColumn("ym", F.date_format(ts, "yyyy-MM"))
-    d.repartition("ym", F.pmod(F.xxhash64("customer_id", F.to_date(ts)), F.lit(64))
+    d.repartition("ym", F.pmod(F.xxhash64("customer_id", F.to_date(ts)), F.lit(files_a_month))
                   ).sortWithinPartitions("customer_id", ts).write.mode(
         "overwrite").partitionBy("ym").parquet(path)
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-          resume: bool = True) -> DataFrame:
-    """A stage result on disk; with ``resume`` a finished one is read, not rebuilt."""
+          resume: bool = True, parameters: dict | None = None) -> DataFrame:
+    """A stage result on disk; with ``resume`` a finished one is read, not rebuilt. What the
+    result depends on goes into ``parameters``: other values are kept in another folder."""
+    if parameters:
+        text = json.dumps(parameters, sort_keys=True, default=str)
+        path = f"{path}-{hashlib.sha256(text.encode()).hexdigest()[:12]}"
     if not (resume and files.exists(spark, f"{path}/_SUCCESS")):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

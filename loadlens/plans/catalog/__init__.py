@@ -7,6 +7,7 @@ def load_all() -> dict[str, "Query"]:
     """Import every query module and return the registry."""
     from loadlens.plans.catalog import (  # noqa: F401
         core, cleaning, bills, climate, profiling, modelling, delivery,
+        exchange,
     )
 
     return REGISTRY

@@ -34,8 +34,8 @@ REGISTRY: dict[str, Query] = {}
 
 def query(name: str, columns: str, ids: str, sql: str | None = None):
     """Register a query. Columns: ``name`` as is, ``name:s`` as text, ``name:i`` as
-    bigint, ``name:N`` rounded to N digits on both sides, ``name:g`` to ten digits, or to
-    none for values of 10,000 and more (ratios with a floored divisor)."""
+    bigint, ``name:N`` rounded to N digits on both sides, ``name:g`` to ten significant
+    digits (ratios with a floored divisor, which differ by many powers of ten)."""
 
     def add(build: Builder) -> Builder:
         if name in REGISTRY:
@@ -63,7 +63,8 @@ def present(df: DataFrame, columns: str) -> DataFrame:
             c = c.cast("bigint")
         elif kind == "g":
             c = c.cast("double")
-            c = F.when(F.abs(c) >= 1e4, F.round(c, 0)).otherwise(F.round(c, 10)) + F.lit(0.0)
+            c = F.when(F.abs(c) < 1e-9, 0.0 * c).otherwise(
+                F.format_string("%.9e", c).try_cast("double")) + F.lit(0.0)
         elif kind:
             c = F.round(c.cast("double"), int(kind)) + F.lit(0.0)
         out.append(c.alias(name))
@@ -79,8 +80,8 @@ def sql_columns(columns: str) -> str:
             out.append(f"CAST({name} AS BIGINT) AS {name}")
         elif kind == "g":
             x = f"CAST({name} AS DOUBLE)"
-            out.append(f"CASE WHEN abs({x}) >= 1e4 THEN round({x}, 0) ELSE round({x}, 10) END "
-                       f"+ 0.0 AS {name}")
+            out.append(f"CASE WHEN abs({x}) < 1e-9 THEN 0.0 * {x} "
+                       f"ELSE CAST(printf('%.9e', {x}) AS DOUBLE) END + 0.0 AS {name}")
         elif kind:
             out.append(f"round(CAST({name} AS DOUBLE), {kind}) + 0.0 AS {name}")
         else:

@@ -57,7 +57,7 @@ def monthly_weather_features(spark, sf):
 
 
 ctes.add("station_weights", ctes.values(
-    [(v, s, w) for v, ws in wx.STATION_WEIGHTS.items() for s, w in zip(wx.STATIONS, ws) if w > 0],
+    [row for row in wx.STATION_WEIGHTS if row[2] > 0],
     "version, station_id, w"))
 
 
@@ -117,9 +117,34 @@ def customer_weather(spark, sf):
         "customer_id", F.when(k % 3 == 0, 100 + k % 60).alias("station_id"),
         F.when(k % 5 == 0, "서울").when(k % 5 == 1, "대구").when(k % 5 == 2, "제주")
         .when(k % 5 == 3, "없음").alias("region"))
-    d = wx.customer_weather(place, t.weather_hourly(spark, sf), ["temp_c"])
-    return d.groupBy("customer_id", "src").agg(F.count(F.lit(1)).alias("n"),
-                                               F.avg("temp_c").alias("temp_mean"))
+    own, series = wx.weather_sources(place, t.weather_hourly(spark, sf), ["temp_c"])
+    each = series.groupBy("src").agg(F.count(F.lit(1)).alias("n"),
+                                     F.avg("temp_c").alias("temp_mean"))
+    return own.select("customer_id", "src").join(F.broadcast(each), "src")  # a row per series
+
+
+@query("customer_reading_weather", "customer_id n:i n_weather:i temp_mean:8", "D22", """
+    SELECT r.customer_id, count(*) AS n, count(w.temp_c) AS n_weather, avg(w.temp_c) AS temp_mean
+    FROM readings r LEFT JOIN (
+      SELECT customer_id, CASE WHEN station_id IN (SELECT station_id FROM weather) THEN 's' || station_id
+             WHEN region IN (SELECT region FROM region_hour) THEN 'r' || region ELSE 'n' END AS src
+      FROM cust_place) c ON c.customer_id = r.customer_id
+    LEFT JOIN (SELECT 's' || station_id AS src, ts, temp_c FROM weather
+          UNION ALL SELECT 'r' || region, ts, temp_c FROM region_hour
+          UNION ALL SELECT 'n', ts, temp_c FROM nation_hour) w
+      ON w.src = c.src AND w.ts = date_trunc('hour', r.ts)
+    GROUP BY r.customer_id""")
+def customer_reading_weather(spark, sf):
+    k = F.col("s_suppkey")
+    place = t.customer_info(spark, sf).select(
+        "customer_id", F.when(k % 3 == 0, 100 + k % 60).alias("station_id"),
+        F.when(k % 5 == 0, "서울").when(k % 5 == 1, "대구").when(k % 5 == 2, "제주")
+        .when(k % 5 == 3, "없음").alias("region"))
+    d = wx.attach_customer_weather(t.readings(spark, sf).select("customer_id", "ts"), place,
+                                   t.weather_hourly(spark, sf), ["temp_c"])
+    return d.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count("temp_c").alias("n_weather"),
+        F.avg("temp_c").alias("temp_mean"))
 
 
 def part_sql(name: str, cond: str) -> str:

@@ -57,6 +57,25 @@ def stream_month_to_date_alarms(spark, sf):
                                      rollup.monthly_by_customer(daily))
 
 
+@query("month_to_date_alarms", "customer_id partial_kwh:4 days_observed:i days_in_month:i "
+       "pred_monthly_kwh:7 pred_any:i", "L3 E5 H12", f"""
+    SELECT *, {ctes.alarm('pred_monthly_kwh', 'pred')} FROM (
+      SELECT h.*, partial_kwh * days_in_month / days_observed AS pred_monthly_kwh,
+             a.monthly_kwh AS prev_month_kwh, y.monthly_kwh AS yoy_month_kwh,
+             (SELECT avg(m.monthly_kwh) FROM monthly m WHERE m.customer_id = h.customer_id
+                AND m.year_month BETWEEN DATE '1997-03-01' AND DATE '1997-05-01') AS ma3_kwh
+      FROM (SELECT customer_id, sum(day_kwh) AS partial_kwh, count(DISTINCT date) AS days_observed,
+                   30 AS days_in_month FROM daily
+            WHERE date BETWEEN DATE '1997-06-01' AND DATE '1997-06-20' GROUP BY customer_id) h
+      LEFT JOIN monthly a ON a.customer_id = h.customer_id AND a.year_month = DATE '1997-05-01'
+      LEFT JOIN monthly y ON y.customer_id = h.customer_id AND y.year_month = DATE '1996-06-01')""")
+def month_to_date_alarms(spark, sf):
+    """The running month of the readings on its twentieth day, for every customer."""
+    daily = daily_of(spark, sf)
+    return jobs.month_to_date_alarms(daily, F.lit("1997-06-20").cast("date"),
+                                     rollup.monthly_by_customer(daily))
+
+
 @query("stream_sliding_hour", "window_start:s contract_type kwh:4 n:i", "L4", """
     SELECT window_start, contract_type, sum(p_active_kwh) AS kwh, count(p_active_kwh) AS n
     FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS window_start
@@ -142,16 +161,35 @@ def meter_export_round_trip(spark, sf):
         F.max("ts").alias("last_ts"))
 
 
-@query("csv_to_parquet", "column_name dtype", "A11 B21", """
-    SELECT * FROM (VALUES ('event_id', 'double'), ('event_type', 'string'), ('value', 'double'),
-                          ('props', 'string')) v(column_name, dtype)
-    WHERE (SELECT count(*) FROM events) > 0""")
+@query("bad_line_report", "lines_read:i lines_bad:i lines_kept:i charset", "A3 A14", """
+    SELECT count(*) + count_if(event_id % 100 = 0) AS lines_read,
+           count_if(event_id % 100 = 0) AS lines_bad, count(*) AS lines_kept, 'utf-8' AS charset
+    FROM events""")
+def bad_line_report(spark, sf):
+    """The event log written as text, with a broken line after every hundredth event."""
+    path = work_dir(spark, "lines")
+    line = F.concat_ws(",", "event_id", "event_type", "value")
+    lines = F.when(F.col("event_id") % 100 == 0, F.array(line, F.lit("broken"))).otherwise(
+        F.array(line))
+    # One column that holds the whole line, with another separator: commas stay as they are.
+    t.table(spark, sf, "events").select(F.explode(lines).alias("event_id,event_type,value")
+                                        ).write.option("header", True).option("sep", "\t").csv(path)
+    d = src.bad_line_report(spark, path)
+    return d.agg(F.sum("lines_read").alias("lines_read"), F.sum("lines_bad").alias("lines_bad"),
+                 F.sum("lines_kept").alias("lines_kept"), F.max("charset").alias("charset"))
+
+
+@query("csv_to_parquet", "event_id:i user_id:i ts:s event_type value:6 props", "A11 B21", """
+    SELECT event_id, user_id, ts, event_type, value, props FROM events""")
 def csv_to_parquet(spark, sf):
+    """All columns of the event log as delimited text, converted with inferred numbers."""
     path, dst = work_dir(spark, "csv"), work_dir(spark, "converted")
-    t.table(spark, sf, "events").select("event_id", "event_type", "value", "props").write.option(
-        "header", True).csv(path)
+    e = t.table(spark, sf, "events")
+    e.select("event_id", "user_id", F.col("ts").cast("string").alias("ts"), "event_type", "value",
+             "props").write.option("header", True).csv(path)
     d = src.csv_to_parquet(spark, path, dst)
-    return spark.createDataFrame(d.dtypes, "column_name string, dtype string")
+    assert dict(d.dtypes)["value"] == "double" and dict(d.dtypes)["event_type"] == "string"
+    return d.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("output_self_test", "column_name n_rows:i n_customers:i first_day:s last_day:s "

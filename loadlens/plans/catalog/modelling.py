@@ -14,7 +14,8 @@ from loadlens.plans.catalog.core import daily_of
 from loadlens.sources import tables as t
 from loadlens.session import write_and_read
 
-ROUNDS = 20  # boosting rounds of the registered jobs; the library default is 400
+ROUNDS = 400  # most boosting rounds; the validation months stop earlier
+SOLAR_ROUNDS = 200
 
 
 def info_of(spark, sf):
@@ -33,7 +34,6 @@ def stored_features(spark, sf):
     return write_and_read(f, "features"), spec
 
 
-NUM = (*ft.BASE, *ft.WEATHER)
 ctes.add("pf_obs_lag", """
     SELECT a.*, a.observed_power_factor - b.observed_power_factor AS pf_vs_prev_month
     FROM ami_obs a LEFT JOIN ami_obs b ON a.customer_id = b.customer_id
@@ -98,6 +98,30 @@ def residual_model_evaluation(spark, sf):
     return metrics.evaluate(preds, f)
 
 
+ctes.add("model_split", """
+    SELECT c.*, CASE WHEN year_month <= train_end THEN 'train' WHEN year_month <= val_end THEN 'val'
+                ELSE 'test' END AS split
+    FROM ctx c, (SELECT lo + to_months(CAST(CASE WHEN n >= 30 THEN 17 WHEN n >= 18 THEN n // 2 - 1
+                        ELSE n * 2 // 3 - 1 END AS INTEGER)) AS train_end,
+                   CASE WHEN n >= 30 THEN lo + INTERVAL 23 MONTH END AS val_end
+                 FROM (SELECT min(year_month) AS lo, date_diff('month', min(year_month),
+                         max(year_month)) + 1 AS n FROM ctx))""")
+
+
+@query("model_split_counts", "split n:i customers:i first_month:s last_month:s", "K3 B20", """
+    SELECT split, count(*) AS n, count(DISTINCT customer_id) AS customers,
+           min(year_month)::DATE AS first_month, max(year_month)::DATE AS last_month
+    FROM model_split GROUP BY split""")
+def model_split_counts(spark, sf):
+    """The months that fit a model, stop its boosting and score it, which never overlap."""
+    from loadlens.operators import clean
+
+    f, _ = features_of(spark, sf)
+    return clean.with_suggested_split(f).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("customer_id").alias("customers"),
+        F.min("year_month").alias("first_month"), F.max("year_month").alias("last_month"))
+
+
 @query("residual_correction", f"stage {ctes.REG_COLS}", "K5 H14")
 def residual_correction(spark, sf):
     f, spec = stored_features(spark, sf)
@@ -242,7 +266,8 @@ def optimized_national_weather(spark, sf):
     return studies.weighted_series(studies.station_weights(load, month), month)
 
 
-STUDY_ROUNDS = 5
+STUDY_ROUNDS = 200
+TRIALS, TRIAL_ROWS = 50, 20_000  # settings tried, and the labelled rows that fit each
 STUDY_COLS = "variant dimension horizon_days:i n:i mape_pct:4 rmse:4 cvrmse_median_pct:4"
 
 
@@ -268,11 +293,44 @@ def ablation(spark, sf):
     return studies.ablation(f, spec, STUDY_ROUNDS)
 
 
+def typical_versions(spark, sf):
+    """Monthly typical-year tables: as they are, shifted, and rescaled to observed days."""
+    typical = wx.typical_hourly(t.typical_year_hourly(spark, sf))
+    month = month_of(spark, sf)
+    raw = wx.typical_monthly(typical)
+    scaled = wx.typical_monthly(wx.forecast_corrected(typical, t.weather_hourly(spark, sf)))
+    return month, {"tmy_raw": raw, "tmy_bias": wx.bias_corrected(raw, month),
+                   "tmy_forecast": scaled}
+
+
+@query("weather_policy_comparison", STUDY_COLS, "K15 D24")
+def weather_policy_comparison(spark, sf):
+    f, spec = stored_features(spark, sf)
+    options = studies.weather_policy_options(*typical_versions(spark, sf))
+    return studies.compare_variants({n: o(f, spec) for n, o in options.items()}, STUDY_ROUNDS)
+
+
+@query("one_factor_ablation", "variant n:i mape_pct:4 cvrmse_median_pct:4 contribution:4 kept",
+       "K15 F2")
+def one_factor_ablation(spark, sf):
+    f, spec = stored_features(spark, sf)
+    flags = btm.ingest_rule(btm.ingest_signals(t.readings(spark, sf)))
+    from loadlens.operators import clean
+
+    chosen = models.select_features(clean.with_suggested_split(f).where("split <> 'test'"),
+                                    list(spec.numeric)).where("status = 'selected'")
+    names = tuple(r["feature"] for r in chosen.select("feature").collect())
+    return studies.one_factor_ablation(f, spec, {
+        "btm": studies.btm_options(flags),
+        "weather": studies.weather_policy_options(*typical_versions(spark, sf)),
+        "selection": studies.selection_option(spec, names)}, STUDY_ROUNDS)
+
+
 @query("hyper_parameter_search", "trial:i rate:6 depth:i subsample:6 min_leaf:i cvrmse_median:4",
        "K16")
 def hyper_parameter_search(spark, sf):
     f, spec = stored_features(spark, sf)
-    return models.tune(f, spec, trials=3, rounds=STUDY_ROUNDS)
+    return models.tune(f, spec, trials=TRIALS, rounds=STUDY_ROUNDS, fit_rows=TRIAL_ROWS)
 
 
 @query("feature_importance", "feature impurity_importance:6 share_pct:4 rank:i", "K17")
@@ -285,9 +343,7 @@ def feature_importance(spark, sf):
 def permutation_importance(spark, sf):
     f, spec = stored_features(spark, sf)
     model = models.train(f, spec, rounds=STUDY_ROUNDS)
-    return models.permutation_importance(model, models.test_rows(f), spec,
-                                         ("partial_kwh", "prev_month_kwh", "days_observed",
-                                          "hdd_observed"))
+    return models.permutation_importance(model, models.test_rows(f), spec, spec.numeric)
 
 
 def solar_rows(spark, sf):
@@ -306,7 +362,7 @@ def solar_rows(spark, sf):
        "temp_loss:6", "K6 H11 H13 E17")
 def solar_generation_model(spark, sf):
     rows = write_and_read(solar_rows(spark, sf), "solar")
-    model = models.train_solar(rows, rounds=ROUNDS)
+    model = models.train_solar(rows, rounds=SOLAR_ROUNDS)
     return models.predict_solar(model, rows)
 
 

@@ -1,12 +1,12 @@
-"""File listing and head bytes through the cluster's own file system client."""
+"""File listing, charsets and headers through the cluster's own file system client."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
-ENCODINGS = ("utf-8", "cp949", "euc-kr")
 HEAD_BYTES = 64 * 1024
 
 
@@ -26,15 +26,22 @@ def _fs(spark: SparkSession, path: str):
 
 
 def list_files(spark: SparkSession, path: str, suffixes=(".csv", ".parquet")) -> list[str]:
-    """The file itself, or the matching files of a directory; names starting with _ are skipped."""
+    """The file itself, or the matching files of a directory and of the folders below it; names
+    starting with _ or . are skipped, folders too."""
     fs, p = _fs(spark, path)
     if not fs.exists(p):
         raise FileNotFoundError(path)
     if fs.getFileStatus(p).isFile():
         return [path]
-    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(p)]
-    return sorted(full for n, full in names
-                  if n.lower().endswith(tuple(suffixes)) and not n.startswith(("_", ".")))
+    found, walk = [], fs.listFiles(p, True)
+    root = len(fs.makeQualified(p).toUri().getPath().rstrip("/"))
+    while walk.hasNext():
+        at = walk.next().getPath()
+        below = at.toUri().getPath()[root:].strip("/").split("/")
+        if below[-1].lower().endswith(tuple(suffixes)) and not any(
+                n.startswith(("_", ".")) for n in below):
+            found.append(at.toString())
+    return sorted(found)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -72,26 +79,50 @@ def read_head(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    """A small metadata file as text."""
-    return read_head(spark, path, 1 << 22).decode("utf-8")
-
-
-def detect_encoding(head: bytes) -> str:
-    """First encoding that decodes the head; broken bytes fall back to UTF-8 replacement."""
-    cut = head.rfind(b"\n")
-    body = head[:cut] if cut > 0 else head
-    for enc in ENCODINGS:
-        try:
-            body.decode(enc)
-            return enc
-        except UnicodeDecodeError:
-            continue
-    return "utf-8"
-
-
-def sniff(head: bytes) -> Layout:
-    """Encoding, delimiter and header of a delimited file."""
-    enc = detect_encoding(head)
-    first = head.decode(enc, errors="replace").lstrip("﻿").splitlines()[0]
+    """A metadata file as text, whole."""
+    fs, p = _fs(spark, path)
+    return read_head(spark, path, int(fs.getFileStatus(p).getLen())).decode("utf-8")
+
+
+def first_line(spark: SparkSession, path: str) -> bytes:
+    """The first line that is not blank, whatever its length."""
+    n = HEAD_BYTES
+    while True:
+        head = read_head(spark, path, n)
+        lines = head.lstrip(b"\r\n").split(b"\n", 1)
+        if len(lines) > 1 or len(head) < n:
+            return lines[0].rstrip(b"\r")
+        n *= 4
+
+
+# Bytes of a text in ASCII and in the two-byte Korean charset.
+KOREAN_LINE = r"(?s)^(?:[\x00-\x7f]|[\x81-\xfe][\x41-\x5a\x61-\x7a\x81-\xfe])*+$"
+
+
+def charsets(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Charset of each file, from all its lines: UTF-8 if every line is valid UTF-8, else CP949
+    (which holds EUC-KR) if every line is made of its one- and two-byte characters, else UTF-8,
+    where broken bytes become the replacement character.
+
+    One distributed pass over the lines; one row per file comes back.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    as_bytes = F.decode(F.col("value").cast("binary"), "ISO-8859-1")  # a character per byte
+    rows = lines.groupBy("file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_and(as_bytes.rlike(KOREAN_LINE)).alias("korean")).collect()
+    found = {plain_path(r["file"]): "cp949" if r["korean"] and not r["utf8"] else "utf-8"
+             for r in rows}
+    return {p: found.get(plain_path(p), "utf-8") for p in paths}
+
+
+def plain_path(uri: str) -> str:
+    """Path of a file without scheme spelling differences."""
+    return "/" + unquote(uri.split(":", 1)[-1]).lstrip("/")
+
+
+def layout_of(line: bytes, charset: str) -> Layout:
+    """Delimiter and header of a delimited file from its first line."""
+    first = line.decode(charset, errors="replace").lstrip("\ufeff")
     sep = "\t" if "\t" in first else ","
-    return Layout(enc, sep, tuple(c.strip().strip('"') for c in first.split(sep)))
+    return Layout(charset, sep, tuple(c.strip().strip('"') for c in first.split(sep)))

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens import schema
+from loadlens.schema import literal_map
 from loadlens.functions.joins import small_side
 from loadlens.operators import clean
 from loadlens.sources import files
@@ -58,31 +59,59 @@ class SourceConfig:
             return SourceConfig.from_dict(yaml.safe_load(f))
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All delimited files of a path as text columns, one read per layout.
+BAD = "_bad_line"
+
 
-    Korean charsets are outside the default charset list of the CSV reader, so
-    the session opts in when such a file is met. Lines with a wrong number of
-    fields are dropped.
+def read_with_bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """All delimited files of a path as text columns, one read per layout, with the raw text of
+    lines that do not fit the header in ``_bad_line`` (null for the others) and the ``_file``.
+
+    Every line is parsed whole, whatever columns a query uses, so a line is bad or good for
+    all queries alike. Korean charsets are outside the default charset list of the CSV reader,
+    and its charset switch is a session setting: it is set when such a file is met.
     """
-    groups: dict[files.Layout, list[str]] = defaultdict(list)
-    for f in files.list_files(spark, path, (".csv", ".tsv", ".txt")):
-        groups[files.sniff(files.read_head(spark, f))].append(f)
-    if not groups:
+    paths = files.list_files(spark, path, (".csv", ".tsv", ".txt"))
+    if not paths:
         raise FileNotFoundError(f"no delimited files in {path}")
+    charset = files.charsets(spark, paths)
+    groups: dict[files.Layout, list[str]] = defaultdict(list)
+    for f in paths:
+        groups[files.layout_of(files.first_line(spark, f), charset[f])].append(f)
     out = None
-    for layout, paths in groups.items():
+    for layout, own in groups.items():
         if layout.encoding != "utf-8":
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        fields = ", ".join(f"`{c}` string" for c in layout.header)
+        fields = ", ".join(f"`{c}` string" for c in (*layout.header, BAD))
         d = (spark.read.schema(fields).option("header", True).option("sep", layout.sep)
-             .option("encoding", layout.encoding).option("mode", "DROPMALFORMED")
+             .option("encoding", layout.encoding).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", BAD).option("columnPruning", False)
              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-             .csv(paths))
+             .csv(own)).withColumn("_file", F.col("_metadata.file_path"))
+        # The reader refuses queries of the bad-line column alone: a count needs another one.
+        any_column = F.coalesce(F.col(f"`{layout.header[0]}`"), F.lit("")) >= ""
+        d = d.withColumn(BAD, F.when(any_column, F.col(BAD)))
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
 
 
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of ``read_with_bad_lines`` that fit their header."""
+    return read_with_bad_lines(spark, path).where(F.col(BAD).isNull()).drop(BAD, "_file")
+
+
+def bad_line_report(spark: SparkSession, path: str) -> DataFrame:
+    """Per file: lines read, kept and bad, and the charset it was read with."""
+    d = read_with_bad_lines(spark, path)
+    counts = d.groupBy(F.col("_file").alias("file")).agg(
+        F.count(F.lit(1)).alias("lines_read"), F.count(BAD).alias("lines_bad"))
+    charset = files.charsets(spark, files.list_files(spark, path, (".csv", ".tsv", ".txt")))
+    known = literal_map({files.plain_path(k): v for k, v in charset.items()})
+    plain = F.regexp_replace(F.url_decode("file"), "^[a-z]+:/*", "/")
+    return counts.select("file", "lines_read", "lines_bad",
+                         (F.col("lines_read") - F.col("lines_bad")).alias("lines_kept"),
+                         F.try_element_at(known, plain).alias("charset"))
+
+
 def load_table(spark: SparkSession, cfg: SourceConfig) -> DataFrame:
     """Standard readings kept as parquet; a text time stamp is cast."""
     d = spark.read.parquet(cfg.path)

@@ -75,13 +75,14 @@ def _field(parts: Column, name: str) -> Column:
     return F.when(F.size(parts) >= 34, value(LONG_LAYOUT)).otherwise(value(SHORT_LAYOUT))
 
 
-def read_epw(spark: SparkSession, path: str, stations: set[str] | None = None
-             ) -> tuple[DataFrame, DataFrame]:
+def read_epw(spark: SparkSession, path: str, stations: set[str] | None = None,
+             glob: str = "*.epw") -> tuple[DataFrame, DataFrame]:
     """(stations, hourly series) of typical-year weather text files.
 
-    Each file's LOCATION line names its station; data lines join it on the file.
+    Each file's LOCATION line names its station; data lines join it on the file. Files are
+    those below ``path`` whose name matches ``glob``.
     """
-    raw = spark.read.text(path, pathGlobFilter="*.epw").select(
+    raw = spark.read.text(path, pathGlobFilter=glob, recursiveFileLookup=True).select(
         "value", F.col("_metadata.file_path").alias("file"))
     parts = F.split("value", ",")
     head = raw.where(F.col("value").startswith("LOCATION")).withColumn("_p", parts)
@@ -129,21 +130,31 @@ def read_typical(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_solar(spark: SparkSession, path: str) -> DataFrame:
-    """Hourly national solar output; an hour-ending clock is shifted to hour-beginning."""
+    """Hourly national solar output; an hour-ending clock is shifted to hour-beginning.
+
+    The clock is judged by the hours as written: 24:00 is the next day's midnight once it is
+    a time stamp, and would look like an hour 0.
+    """
     d = read_delimited(spark, path)
     d = d.select(clean.compose_ts(F.substring("datetime", 1, 10), F.substring("datetime", 12, 5))
-                 .alias("ts"), *[clean.to_number(F.col(c)).alias(c) for c in d.columns
-                                 if c.endswith("_mw")])
-    return clean.hour_ending_to_beginning(d)
+                 .alias("ts"), F.substring("datetime", 12, 2).try_cast("int").alias("_hour"),
+                 *[clean.to_number(F.col(c)).alias(c) for c in d.columns if c.endswith("_mw")])
+    ending = d.agg((F.min("_hour") >= 1).alias("_ending"))  # one row
+    hour = F.make_dt_interval(hours=F.lit(1))
+    return d.join(F.broadcast(ending)).withColumn(
+        "ts", F.when(F.col("_ending"), F.col("ts") - hour).otherwise(F.col("ts"))).drop(
+        "_hour", "_ending")
 
 
 def read_station_folder(spark: SparkSession, path: str) -> DataFrame:
     """Monthly station files (station_<id>.csv) as one table with a station column."""
     out = None
+    found: dict[str, str] = {}
     for f in files.list_files(spark, path, (".csv",)):
-        name = f.rsplit("/", 1)[-1]
-        if not name.startswith("station_"):
-            continue
+        own = [n for n in f.split("/") if n.startswith("station_") and n.endswith(".csv")]
+        if own:  # a file, or a folder of parts
+            found[own[-1]] = f[:f.rindex(own[-1]) + len(own[-1])]
+    for name, f in sorted(found.items()):
         d = read_delimited(spark, f)
         d = d.select(F.lit(int(name[8:-4])).alias("station_id"),
                      F.to_date(F.concat(F.substring("year_month", 1, 7), F.lit("-01")))

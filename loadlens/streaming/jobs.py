@@ -69,8 +69,10 @@ def upsert_days(target: str, keys: tuple[str, ...] = ("customer_id", "contract_t
                 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink that replaces the keys of a batch in a month-partitioned table.
 
-    Only the months of the batch are rewritten. The old and the new version are
-    merged into a side folder first and swapped in afterwards.
+    Only the months of the batch are read and rewritten. The old and the new version are
+    merged into a side folder first, so a failed batch leaves the table as it was until the
+    last write; that write replaces whole month folders, and a reader at that moment can see
+    some of them replaced and others not.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -83,9 +85,9 @@ def upsert_days(target: str, keys: tuple[str, ...] = ("customer_id", "contract_t
             return
         merged = b
         if files.exists(spark, target):
-            months = b.select("ym").distinct()
-            old = spark.read.parquet(target).withColumn("ym", F.col("ym").cast("string"))
-            old = old.join(F.broadcast(months), "ym", "left_semi")  # months of one batch
+            months = [r["ym"] for r in b.select("ym").distinct().collect()]  # of one batch
+            old = spark.read.parquet(target).where(F.col("ym").cast("string").isin(months))
+            old = old.withColumn("ym", F.col("ym").cast("string"))
             merged = old.join(b, list(keys), "left_anti").unionByName(b)
         staged = work_dir(spark, f"merged-{batch_id}")
         merged.write.mode("overwrite").parquet(staged)

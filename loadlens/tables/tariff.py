@@ -2,47 +2,185 @@
 
 from __future__ import annotations
 
-# Residential tiers. Upper bounds (kWh) by season; base charge (won) and
-# energy rate (won/kWh) by tier; rate of the part above 1000 kWh in a super-user month.
-TIER_BOUNDS = {"normal": (200.0, 400.0), "summer": (300.0, 450.0)}
-TIER_BASE = {"res_low": (910.0, 1600.0, 7300.0), "res_high": (730.0, 1260.0, 6060.0)}
-TIER_RATE = {"res_low": (120.0, 214.6, 307.3), "res_high": (105.0, 174.0, 242.3)}
+# Residential tiers. season, tier, upper bound (kWh); the last tier has none.
+TIER_BOUND_ROWS = (
+    ("normal", 1, 200.0),
+    ("normal", 2, 400.0),
+    ("summer", 1, 300.0),
+    ("summer", 2, 450.0),
+)
+# Residential charges. tariff, tier, base charge (won), energy rate (won/kWh).
+TIER_CHARGE_ROWS = (
+    ("res_low", 1, 910.0, 120.0),
+    ("res_low", 2, 1600.0, 214.6),
+    ("res_low", 3, 7300.0, 307.3),
+    ("res_high", 1, 730.0, 105.0),
+    ("res_high", 2, 1260.0, 174.0),
+    ("res_high", 3, 6060.0, 242.3),
+)
+TIER_BOUNDS = {season: tuple(b for s, _, b in TIER_BOUND_ROWS if s == season)
+               for season in ("normal", "summer")}
+TIER_BASE = {tariff: tuple(base for t, _, base, _ in TIER_CHARGE_ROWS if t == tariff)
+             for tariff in ("res_low", "res_high")}
+TIER_RATE = {tariff: tuple(rate for t, _, _, rate in TIER_CHARGE_ROWS if t == tariff)
+             for tariff in ("res_low", "res_high")}
+# Rate of the part above 1000 kWh in a super-user month, and those months.
 SUPER_USER_KWH = 1000.0
 SUPER_USER_RATE = {"res_low": 736.2, "res_high": 601.3}
 SUPER_USER_MONTHS = (7, 8, 12, 1, 2)
 RESIDENTIAL_SUMMER = (7, 8)
 
-# One rate per season. tariff, option, base won/kW, summer, spring_fall, winter.
-FLAT_RATES = """
-gap_i     low       5230 123.6 86.4 110.8
-gap_i     high_a_1  5550 123.3 86.5 109.3
-gap_i     high_a_2  6370 118.8 82.1 104.8
-gap_i     high_b_1  5550 122.6 86.1 108.5
-gap_i     high_b_2  6370 118.1 81.6 104.0
-eul_small low       6160 132.4 91.9 119.0
-eul_small high_a_1  7170 142.6 98.6 130.3
-eul_small high_a_2  8230 138.6 94.3 125.0
-eul_small high_b_1  7170 140.5 97.5 127.3
-eul_small high_b_2  8230 135.2 92.2 122.0
-"""
-
-# Time-of-use rates. tariff, option, base won/kW, then off/mid/on-peak for
-# summer, spring_fall and winter.
-TOU_RATES = """
-gap_ii        high_a_1 6090 76.5 121.2 187.1  76.5  90.9 111.4  80.5 119.7 158.4
-gap_ii        high_a_2 6980 72.0 116.7 182.6  72.0  86.4 106.9  76.0 115.2 153.9
-gap_ii        high_b_1 6090 75.0 118.5 181.4  75.0  89.2 109.0  78.8 116.8 154.1
-gap_ii        high_b_2 6980 70.5 114.0 176.9  70.5  84.7 104.5  74.3 112.3 149.6
-eul_small_tou high_a_1 7170 89.4 140.6 163.1  89.4  96.8 108.1  98.1 128.5 143.3
-eul_small_tou high_a_2 8230 84.1 135.3 157.8  84.1  91.5 102.8  92.8 123.2 138.0
-eul_small_tou high_b_1 7170 88.8 137.4 153.8  88.8  94.7 100.1  97.8 125.1 139.3
-eul_small_tou high_b_2 8230 83.5 132.1 148.5  83.5  89.4  94.8  92.5 119.8 134.0
-eul_large     high_a_1 7220 92.8 145.7 227.8  92.8 115.3 146.0  99.8 145.9 203.4
-eul_large     high_a_2 8320 87.3 140.2 222.3  87.3 109.8 140.5  94.3 140.4 197.9
-eul_large     high_a_3 9810 86.4 139.6 209.9  86.4 108.5 132.2  93.7 139.8 186.7
-eul_large     high_b_1 6630 95.9 148.2 229.4  95.9 118.2 148.5 102.9 148.2 204.4
-eul_large     high_b_2 7380 92.1 144.4 225.6  92.1 114.4 144.7  99.1 144.4 200.6
-"""
+# General tariffs. tariff, option, season, period, energy rate (won/kWh),
+# base charge (won/kW); period is "all" where one rate holds all day.
+RATES = (
+    ("gap_i", "low", "summer", "all", 123.6, 5230.0),
+    ("gap_i", "low", "spring_fall", "all", 86.4, 5230.0),
+    ("gap_i", "low", "winter", "all", 110.8, 5230.0),
+    ("gap_i", "high_a_1", "summer", "all", 123.3, 5550.0),
+    ("gap_i", "high_a_1", "spring_fall", "all", 86.5, 5550.0),
+    ("gap_i", "high_a_1", "winter", "all", 109.3, 5550.0),
+    ("gap_i", "high_a_2", "summer", "all", 118.8, 6370.0),
+    ("gap_i", "high_a_2", "spring_fall", "all", 82.1, 6370.0),
+    ("gap_i", "high_a_2", "winter", "all", 104.8, 6370.0),
+    ("gap_i", "high_b_1", "summer", "all", 122.6, 5550.0),
+    ("gap_i", "high_b_1", "spring_fall", "all", 86.1, 5550.0),
+    ("gap_i", "high_b_1", "winter", "all", 108.5, 5550.0),
+    ("gap_i", "high_b_2", "summer", "all", 118.1, 6370.0),
+    ("gap_i", "high_b_2", "spring_fall", "all", 81.6, 6370.0),
+    ("gap_i", "high_b_2", "winter", "all", 104.0, 6370.0),
+    ("eul_small", "low", "summer", "all", 132.4, 6160.0),
+    ("eul_small", "low", "spring_fall", "all", 91.9, 6160.0),
+    ("eul_small", "low", "winter", "all", 119.0, 6160.0),
+    ("eul_small", "high_a_1", "summer", "all", 142.6, 7170.0),
+    ("eul_small", "high_a_1", "spring_fall", "all", 98.6, 7170.0),
+    ("eul_small", "high_a_1", "winter", "all", 130.3, 7170.0),
+    ("eul_small", "high_a_2", "summer", "all", 138.6, 8230.0),
+    ("eul_small", "high_a_2", "spring_fall", "all", 94.3, 8230.0),
+    ("eul_small", "high_a_2", "winter", "all", 125.0, 8230.0),
+    ("eul_small", "high_b_1", "summer", "all", 140.5, 7170.0),
+    ("eul_small", "high_b_1", "spring_fall", "all", 97.5, 7170.0),
+    ("eul_small", "high_b_1", "winter", "all", 127.3, 7170.0),
+    ("eul_small", "high_b_2", "summer", "all", 135.2, 8230.0),
+    ("eul_small", "high_b_2", "spring_fall", "all", 92.2, 8230.0),
+    ("eul_small", "high_b_2", "winter", "all", 122.0, 8230.0),
+    ("gap_ii", "high_a_1", "summer", "off_peak", 76.5, 6090.0),
+    ("gap_ii", "high_a_1", "summer", "mid_peak", 121.2, 6090.0),
+    ("gap_ii", "high_a_1", "summer", "on_peak", 187.1, 6090.0),
+    ("gap_ii", "high_a_1", "spring_fall", "off_peak", 76.5, 6090.0),
+    ("gap_ii", "high_a_1", "spring_fall", "mid_peak", 90.9, 6090.0),
+    ("gap_ii", "high_a_1", "spring_fall", "on_peak", 111.4, 6090.0),
+    ("gap_ii", "high_a_1", "winter", "off_peak", 80.5, 6090.0),
+    ("gap_ii", "high_a_1", "winter", "mid_peak", 119.7, 6090.0),
+    ("gap_ii", "high_a_1", "winter", "on_peak", 158.4, 6090.0),
+    ("gap_ii", "high_a_2", "summer", "off_peak", 72.0, 6980.0),
+    ("gap_ii", "high_a_2", "summer", "mid_peak", 116.7, 6980.0),
+    ("gap_ii", "high_a_2", "summer", "on_peak", 182.6, 6980.0),
+    ("gap_ii", "high_a_2", "spring_fall", "off_peak", 72.0, 6980.0),
+    ("gap_ii", "high_a_2", "spring_fall", "mid_peak", 86.4, 6980.0),
+    ("gap_ii", "high_a_2", "spring_fall", "on_peak", 106.9, 6980.0),
+    ("gap_ii", "high_a_2", "winter", "off_peak", 76.0, 6980.0),
+    ("gap_ii", "high_a_2", "winter", "mid_peak", 115.2, 6980.0),
+    ("gap_ii", "high_a_2", "winter", "on_peak", 153.9, 6980.0),
+    ("gap_ii", "high_b_1", "summer", "off_peak", 75.0, 6090.0),
+    ("gap_ii", "high_b_1", "summer", "mid_peak", 118.5, 6090.0),
+    ("gap_ii", "high_b_1", "summer", "on_peak", 181.4, 6090.0),
+    ("gap_ii", "high_b_1", "spring_fall", "off_peak", 75.0, 6090.0),
+    ("gap_ii", "high_b_1", "spring_fall", "mid_peak", 89.2, 6090.0),
+    ("gap_ii", "high_b_1", "spring_fall", "on_peak", 109.0, 6090.0),
+    ("gap_ii", "high_b_1", "winter", "off_peak", 78.8, 6090.0),
+    ("gap_ii", "high_b_1", "winter", "mid_peak", 116.8, 6090.0),
+    ("gap_ii", "high_b_1", "winter", "on_peak", 154.1, 6090.0),
+    ("gap_ii", "high_b_2", "summer", "off_peak", 70.5, 6980.0),
+    ("gap_ii", "high_b_2", "summer", "mid_peak", 114.0, 6980.0),
+    ("gap_ii", "high_b_2", "summer", "on_peak", 176.9, 6980.0),
+    ("gap_ii", "high_b_2", "spring_fall", "off_peak", 70.5, 6980.0),
+    ("gap_ii", "high_b_2", "spring_fall", "mid_peak", 84.7, 6980.0),
+    ("gap_ii", "high_b_2", "spring_fall", "on_peak", 104.5, 6980.0),
+    ("gap_ii", "high_b_2", "winter", "off_peak", 74.3, 6980.0),
+    ("gap_ii", "high_b_2", "winter", "mid_peak", 112.3, 6980.0),
+    ("gap_ii", "high_b_2", "winter", "on_peak", 149.6, 6980.0),
+    ("eul_small_tou", "high_a_1", "summer", "off_peak", 89.4, 7170.0),
+    ("eul_small_tou", "high_a_1", "summer", "mid_peak", 140.6, 7170.0),
+    ("eul_small_tou", "high_a_1", "summer", "on_peak", 163.1, 7170.0),
+    ("eul_small_tou", "high_a_1", "spring_fall", "off_peak", 89.4, 7170.0),
+    ("eul_small_tou", "high_a_1", "spring_fall", "mid_peak", 96.8, 7170.0),
+    ("eul_small_tou", "high_a_1", "spring_fall", "on_peak", 108.1, 7170.0),
+    ("eul_small_tou", "high_a_1", "winter", "off_peak", 98.1, 7170.0),
+    ("eul_small_tou", "high_a_1", "winter", "mid_peak", 128.5, 7170.0),
+    ("eul_small_tou", "high_a_1", "winter", "on_peak", 143.3, 7170.0),
+    ("eul_small_tou", "high_a_2", "summer", "off_peak", 84.1, 8230.0),
+    ("eul_small_tou", "high_a_2", "summer", "mid_peak", 135.3, 8230.0),
+    ("eul_small_tou", "high_a_2", "summer", "on_peak", 157.8, 8230.0),
+    ("eul_small_tou", "high_a_2", "spring_fall", "off_peak", 84.1, 8230.0),
+    ("eul_small_tou", "high_a_2", "spring_fall", "mid_peak", 91.5, 8230.0),
+    ("eul_small_tou", "high_a_2", "spring_fall", "on_peak", 102.8, 8230.0),
+    ("eul_small_tou", "high_a_2", "winter", "off_peak", 92.8, 8230.0),
+    ("eul_small_tou", "high_a_2", "winter", "mid_peak", 123.2, 8230.0),
+    ("eul_small_tou", "high_a_2", "winter", "on_peak", 138.0, 8230.0),
+    ("eul_small_tou", "high_b_1", "summer", "off_peak", 88.8, 7170.0),
+    ("eul_small_tou", "high_b_1", "summer", "mid_peak", 137.4, 7170.0),
+    ("eul_small_tou", "high_b_1", "summer", "on_peak", 153.8, 7170.0),
+    ("eul_small_tou", "high_b_1", "spring_fall", "off_peak", 88.8, 7170.0),
+    ("eul_small_tou", "high_b_1", "spring_fall", "mid_peak", 94.7, 7170.0),
+    ("eul_small_tou", "high_b_1", "spring_fall", "on_peak", 100.1, 7170.0),
+    ("eul_small_tou", "high_b_1", "winter", "off_peak", 97.8, 7170.0),
+    ("eul_small_tou", "high_b_1", "winter", "mid_peak", 125.1, 7170.0),
+    ("eul_small_tou", "high_b_1", "winter", "on_peak", 139.3, 7170.0),
+    ("eul_small_tou", "high_b_2", "summer", "off_peak", 83.5, 8230.0),
+    ("eul_small_tou", "high_b_2", "summer", "mid_peak", 132.1, 8230.0),
+    ("eul_small_tou", "high_b_2", "summer", "on_peak", 148.5, 8230.0),
+    ("eul_small_tou", "high_b_2", "spring_fall", "off_peak", 83.5, 8230.0),
+    ("eul_small_tou", "high_b_2", "spring_fall", "mid_peak", 89.4, 8230.0),
+    ("eul_small_tou", "high_b_2", "spring_fall", "on_peak", 94.8, 8230.0),
+    ("eul_small_tou", "high_b_2", "winter", "off_peak", 92.5, 8230.0),
+    ("eul_small_tou", "high_b_2", "winter", "mid_peak", 119.8, 8230.0),
+    ("eul_small_tou", "high_b_2", "winter", "on_peak", 134.0, 8230.0),
+    ("eul_large", "high_a_1", "summer", "off_peak", 92.8, 7220.0),
+    ("eul_large", "high_a_1", "summer", "mid_peak", 145.7, 7220.0),
+    ("eul_large", "high_a_1", "summer", "on_peak", 227.8, 7220.0),
+    ("eul_large", "high_a_1", "spring_fall", "off_peak", 92.8, 7220.0),
+    ("eul_large", "high_a_1", "spring_fall", "mid_peak", 115.3, 7220.0),
+    ("eul_large", "high_a_1", "spring_fall", "on_peak", 146.0, 7220.0),
+    ("eul_large", "high_a_1", "winter", "off_peak", 99.8, 7220.0),
+    ("eul_large", "high_a_1", "winter", "mid_peak", 145.9, 7220.0),
+    ("eul_large", "high_a_1", "winter", "on_peak", 203.4, 7220.0),
+    ("eul_large", "high_a_2", "summer", "off_peak", 87.3, 8320.0),
+    ("eul_large", "high_a_2", "summer", "mid_peak", 140.2, 8320.0),
+    ("eul_large", "high_a_2", "summer", "on_peak", 222.3, 8320.0),
+    ("eul_large", "high_a_2", "spring_fall", "off_peak", 87.3, 8320.0),
+    ("eul_large", "high_a_2", "spring_fall", "mid_peak", 109.8, 8320.0),
+    ("eul_large", "high_a_2", "spring_fall", "on_peak", 140.5, 8320.0),
+    ("eul_large", "high_a_2", "winter", "off_peak", 94.3, 8320.0),
+    ("eul_large", "high_a_2", "winter", "mid_peak", 140.4, 8320.0),
+    ("eul_large", "high_a_2", "winter", "on_peak", 197.9, 8320.0),
+    ("eul_large", "high_a_3", "summer", "off_peak", 86.4, 9810.0),
+    ("eul_large", "high_a_3", "summer", "mid_peak", 139.6, 9810.0),
+    ("eul_large", "high_a_3", "summer", "on_peak", 209.9, 9810.0),
+    ("eul_large", "high_a_3", "spring_fall", "off_peak", 86.4, 9810.0),
+    ("eul_large", "high_a_3", "spring_fall", "mid_peak", 108.5, 9810.0),
+    ("eul_large", "high_a_3", "spring_fall", "on_peak", 132.2, 9810.0),
+    ("eul_large", "high_a_3", "winter", "off_peak", 93.7, 9810.0),
+    ("eul_large", "high_a_3", "winter", "mid_peak", 139.8, 9810.0),
+    ("eul_large", "high_a_3", "winter", "on_peak", 186.7, 9810.0),
+    ("eul_large", "high_b_1", "summer", "off_peak", 95.9, 6630.0),
+    ("eul_large", "high_b_1", "summer", "mid_peak", 148.2, 6630.0),
+    ("eul_large", "high_b_1", "summer", "on_peak", 229.4, 6630.0),
+    ("eul_large", "high_b_1", "spring_fall", "off_peak", 95.9, 6630.0),
+    ("eul_large", "high_b_1", "spring_fall", "mid_peak", 118.2, 6630.0),
+    ("eul_large", "high_b_1", "spring_fall", "on_peak", 148.5, 6630.0),
+    ("eul_large", "high_b_1", "winter", "off_peak", 102.9, 6630.0),
+    ("eul_large", "high_b_1", "winter", "mid_peak", 148.2, 6630.0),
+    ("eul_large", "high_b_1", "winter", "on_peak", 204.4, 6630.0),
+    ("eul_large", "high_b_2", "summer", "off_peak", 92.1, 7380.0),
+    ("eul_large", "high_b_2", "summer", "mid_peak", 144.4, 7380.0),
+    ("eul_large", "high_b_2", "summer", "on_peak", 225.6, 7380.0),
+    ("eul_large", "high_b_2", "spring_fall", "off_peak", 92.1, 7380.0),
+    ("eul_large", "high_b_2", "spring_fall", "mid_peak", 114.4, 7380.0),
+    ("eul_large", "high_b_2", "spring_fall", "on_peak", 144.7, 7380.0),
+    ("eul_large", "high_b_2", "winter", "off_peak", 99.1, 7380.0),
+    ("eul_large", "high_b_2", "winter", "mid_peak", 144.4, 7380.0),
+    ("eul_large", "high_b_2", "winter", "on_peak", 200.6, 7380.0),
+)
 
 # Contract name -> tariff and option, in matching order.
 CONTRACT_TARIFF = (
@@ -99,12 +237,13 @@ RATE_COLUMNS = ("tariff_key", "tariff_type", "base_per_kw",
 
 def rate_rows() -> list[tuple]:
     """One row per general tariff option: key, type, base, 3 flat and 9 period rates."""
+    options: dict[str, dict] = {}
+    for tariff, option, season, period, rate, base in RATES:
+        own = options.setdefault(f"{tariff}/{option}", {"base": base})
+        own[season, period] = rate
     rows = []
-    for line in FLAT_RATES.split("\n"):
-        if f := line.split():
-            rows.append((f"{f[0]}/{f[1]}", "seasonal_flat", float(f[2]),
-                         *map(float, f[3:]), *[0.0] * 9))
-    for line in TOU_RATES.split("\n"):
-        if f := line.split():
-            rows.append((f"{f[0]}/{f[1]}", "tou", float(f[2]), *[0.0] * 3, *map(float, f[3:])))
+    for key, own in options.items():
+        flat = [own.get((s, "all"), 0.0) for s in SEASONS]
+        periods = [own.get((s, p), 0.0) for s in SEASONS for p in PERIODS]
+        rows.append((key, "tou" if any(periods) else "seasonal_flat", own["base"], *flat, *periods))
     return rows

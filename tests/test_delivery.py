@@ -24,7 +24,8 @@ def test_meter_export(spark, tmp_path, encoding, bom):
     # a second file with commas and fewer columns
     (tmp_path / "b.csv").write_text("계약번호,검침년월일,검침시분,유효전력량계\nC3,20240105,930,7\n")
     (tmp_path / "_skip.csv").write_text("x\n1\n")
-    assert files.sniff(files.read_head(spark, str(tmp_path / "a.csv"))).sep == "\t"
+    line = files.first_line(spark, str(tmp_path / "a.csv"))
+    assert files.layout_of(line, encoding).sep == "\t"
     cfg = src.SourceConfig("meter", str(tmp_path), src.METER_COLUMNS)
     got = {(r.customer_id, str(r.ts)): r for r in src.load(spark, cfg).collect()}
     assert len(got) == 4
@@ -92,7 +93,24 @@ def test_conversion_and_repair(spark, tmp_path):
     assert src.broken_lines(spark, str(tmp_path / "bad.txt")).count() == 1
     src.repair(spark, str(tmp_path / "bad.txt"), str(tmp_path / "good"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "good")).collect()) == ["broken", "ok"]
-    assert files.detect_encoding("한글,값\n가,1\n".encode("cp949")) == "cp949"
+
+
+def test_text_ingest_loses_nothing(spark, tmp_path):
+    """Charset from all lines, bad lines counted, and one set of rows for every query."""
+    late = "a,b\n" + "x,1\n" * 40_000 + "가나,2\n"  # the first Korean bytes lie far from the head
+    deep = tmp_path / "month=1"
+    deep.mkdir()
+    (deep / "late.csv").write_bytes(late.encode("cp949"))
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n3\n4,5,6\n7,8\n")
+    d = src.read_delimited(spark, str(tmp_path))
+    assert d.count() == len(d.collect()) == len(d.select("b").collect()) == 40_003
+    assert d.where("a = '가나'").count() == 1
+    got = {r.file.rsplit("/", 1)[1]: (r.lines_read, r.lines_bad, r.lines_kept, r.charset)
+           for r in src.bad_line_report(spark, str(tmp_path)).collect()}
+    assert got == {"late.csv": (40_001, 0, 40_001, "cp949"), "bad.csv": (4, 2, 2, "utf-8")}
+    wide = ",".join(f"column{i}" for i in range(12_000))  # a header longer than the first look
+    (tmp_path / "wide.csv").write_text(f"{wide}\n1\n")
+    assert len(files.layout_of(files.first_line(spark, str(tmp_path / "wide.csv")), "utf-8").header) == 12_000
 
 
 def readings(spark, n=3):

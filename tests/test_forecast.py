@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from loadlens.operators import (alarm, baselines, btm, features as ft, horizon as hz, metrics, models,
+from loadlens.operators import (alarm, baselines, btm, clean, features as ft, horizon as hz, metrics, models,
                                 rollup, studies)
 from loadlens.plans import scoring
 from loadlens.plans.catalog import core, modelling
@@ -126,6 +126,19 @@ def test_model_round_trip_and_floor(spark, matrix):
     assert by_month.select("month").distinct().count() == 12
 
 
+def test_many_categories_and_honest_split(spark, matrix):
+    """Hundreds of labels train, and the months that score a model never fit or stop it."""
+    f, spec = matrix
+    wide = f.withColumn("region_code", F.concat(F.lit("code"), (F.abs(F.xxhash64(
+        "customer_id", "year_month")) % 500).cast("string")))
+    model = models.train(wide, spec, rounds=1)
+    assert model.stages[-1].getNumTrees == 1
+    assert models.category_bins(models.prepared(wide, spec), spec) > 64
+    split = clean.with_suggested_split(f)
+    last = split.where("split <> 'test'").agg(F.max("year_month")).first()[0]
+    assert models.test_rows(f).agg(F.min("year_month")).first()[0] > last
+
+
 def test_selection_drops_copies(spark, matrix):
     f, _ = matrix
     d = f.withColumns({"copy": F.col("partial_kwh") * 2 + 1, "noise": F.lit(0.5)})

@@ -165,3 +165,15 @@ def test_non_negative_solve():
         grad = x.T @ (x @ b - y)
         assert (b >= 0).all() and (grad[b == 0] >= -1e-7).all()
         np.testing.assert_allclose(grad[b > 0], 0, atol=1e-7)
+
+
+def test_quantiles_of_many_distinct_values_without_keys(spark):
+    """A million distinct values in one group: right ranks, and no task orders a whole bracket."""
+    from loadlens.functions.quantiles import exact_quantiles
+
+    n = 1_000_000
+    d = spark.range(n).select((F.col("id") * 7919 % n / 8.0).alias("v"))
+    probs = {"p01": 0.01, "p50": 0.5, "p99": 0.99, "lo": 0.0, "hi": 1.0}
+    row = exact_quantiles(d, [], "v", probs).first()
+    for name, p in probs.items():
+        assert abs(row[name] - p * (n - 1) / 8.0) < 1e-6
