@@ -21,7 +21,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,127 +33,169 @@ from loadlens.session import write_and_read
 ship(__name__)
 
 LONGEST = 8
-# Bytes up to which a word's likelihood cannot leave the range of a double.
-SHORT = 32
-KEPT = 200_000
+KEPT = 300_000
+# Places times words that are worked on at once.
+CELLS = 150_000
+# Words of up to so many bytes are summed without logarithms; scale of a byte's probability.
+SHORT = 40
+BYTE_SCALE = 3.0
 WORDS = r"[^\W\d_]+"
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """Pieces of a rank file that are at most eight bytes and hold no upper-case ASCII."""
+    """Pieces of a rank file that words can hold: every byte, and up to eight bytes of lower-case
+    letters and bytes above ASCII, with or without a space before them."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
+    inner = re.compile(rb" ?[a-z\x80-\xff]+")
     return sorted(p for p in pieces
-                  if 0 < len(p) <= LONGEST and (len(p) == 1 or p == p.lower()))
+                  if len(p) == 1 or len(p) <= LONGEST and inner.fullmatch(p))
+
+
+# In texts of ASCII alone the words are the runs of a-z.
+ASCII_WORDS = {i: " " for i in range(128) if not chr(i).isalpha()}
+
+
+def find_words(text: str | None, find=re.compile(WORDS).findall) -> list[str]:
+    """Lower-cased runs of letters of a text."""
+    if not text:
+        return []
+    low = text.lower()
+    return low.translate(ASCII_WORDS).split() if low.isascii() else find(low)
+
+
+@dataclass
+class Arcs:
+    """Piece matches of some words, ordered by end: word, first and last byte place, piece."""
+
+    lengths: np.ndarray
+    word: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+
+    def by(self, place: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each value of ``place``: the value, its arcs in word order, and where in them a
+        new word begins."""
+        order = np.argsort(place, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(place[order])) + 1, [len(order)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            arcs = order[a:b]
+            w = self.word[arcs]
+            yield int(place[arcs[0]]), arcs, np.concatenate([[0], np.flatnonzero(np.diff(w)) + 1])
 
 
 class Lattice:
-    """All piece matches of many words at once, by sorted integer keys per piece length."""
+    """All piece matches of words, found by one Aho-Corasick pass over many words."""
 
     def __init__(self, pieces: list[bytes]):
         self.count = len(pieces)
-        self.keys: list[np.ndarray] = []
-        self.ids: list[np.ndarray] = []
-        for n in range(1, LONGEST + 1):
-            own = [(int.from_bytes(p, "big"), k) for k, p in enumerate(pieces) if len(p) == n]
-            own.sort()
-            self.keys.append(np.array([x for x, _ in own], np.uint64))
-            self.ids.append(np.array([k for _, k in own], np.int64))
-
-    def ending(self, block: np.ndarray, at: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(size, piece ids) of the pieces that end before column ``at``; ``count`` for none."""
-        key = np.zeros(len(block), np.uint64)
-        for size in range(1, min(LONGEST, at) + 1):
-            key |= block[:, at - size] << np.uint64(8 * (size - 1))
-            keys = self.keys[size - 1]
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                yield size, np.where(keys[place] == key, self.ids[size - 1][place], self.count)
-            else:
-                yield size, np.full(len(block), self.count)
-
-
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, bytes as a matrix) for the words of each byte length, in bounded blocks."""
+        self.find = ahocorasick.Automaton()
+        for k, p in enumerate(pieces):
+            self.find.add_word(p.decode("latin-1"), k << 4 | len(p))
+        self.find.make_automaton()
+
+    def arcs(self, coded: list[bytes]) -> Arcs:
+        """Words are joined by line ends, which longer pieces do not hold."""
+        lengths = np.array([len(w) for w in coded])
+        first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        text = b"\n".join(coded).decode("latin-1")
+        ends, found = np.fromiter(chain.from_iterable(self.find.iter(text)), np.int64
+                                  ).reshape(-1, 2).T
+        word = np.searchsorted(first, ends, side="right") - 1
+        end = ends - first[word] + 1
+        own = end <= lengths[word]  # the line end itself is a byte, too
+        word, end, found = word[own], end[own], found[own]
+        return Arcs(lengths, word, end - (found & 15), end, found >> 4)
+
+
+def chunks(words: list[str]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(places, UTF-8 with a space before) of words of like length, in bounded blocks."""
     coded = [(" " + w).encode("utf-8", "replace") for w in words]
-    order: dict[int, list[int]] = {}
-    for i, w in enumerate(coded):
-        order.setdefault(len(w), []).append(i)
-    for n, places in order.items():
-        step = max(1, 400_000 // n)
-        for a in range(0, len(places), step):
-            own = places[a:a + step]
-            block = np.frombuffer(b"".join(coded[i] for i in own), np.uint8).reshape(len(own), n)
-            yield np.array(own), block.astype(np.uint64)
-
-
-def word_scores(words: list[str], lattice: Lattice, probs: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each word in each language; ``probs`` is (pieces + 1, languages) with
-    a last row of zeros."""
-    out = np.zeros((len(words), probs.shape[1]))
-    for places, block in by_length(words):
-        short = block.shape[1] <= SHORT
-        out[places] = (_plain if short else _scaled)(lattice, block, probs)
+    order = sorted(range(len(words)), key=lambda i: len(coded[i]))
+    while order:
+        n = 1
+        while n < len(order) and (n + 1) * (len(coded[order[n]]) + 1) <= CELLS:
+            n *= 2
+        n = max(1, min(n, len(order)) if n * (len(coded[order[min(n, len(order)) - 1]]) + 1)
+                <= CELLS else n // 2)
+        yield np.array(order[:n]), [coded[i] for i in order[:n]]
+        order = order[n:]
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of the rows of each word."""
+    top = np.maximum.reduceat(values, first)
+    size = np.diff(np.append(first, len(values)))
+    return top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, size, axis=0)), first))
+
+
+def forward(arcs: Arcs, logp: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations up to each place, (place, word,
+    column); ``logp`` has a row for each arc."""
+    sums = np.full((int(arcs.lengths.max()) + 1, len(arcs.lengths), logp.shape[1]), -np.inf)
+    sums[0] = 0.0
+    for at, own, first in arcs.by(arcs.end):
+        sums[at, arcs.word[own[first]]] = _sums(
+            sums[arcs.start[own], arcs.word[own]] + logp[own], first)
+    return sums
+
+
+def _short_scores(arcs: Arcs, logs: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of words of up to ``SHORT`` bytes, from plain products: scaled by
+    ``BYTE_SCALE`` per byte they stay inside the range of a double."""
+    size = arcs.end - arcs.start
+    p = np.exp(logs)[arcs.piece] * np.exp(BYTE_SCALE * size)[:, None]
+    sums = np.zeros((int(arcs.lengths.max()) + 1, len(arcs.lengths), logs.shape[1]))
+    sums[0] = 1.0
+    for at, own, first in arcs.by(arcs.end):
+        w = arcs.word[own]
+        sums[at, w[first]] = np.add.reduceat(sums[arcs.start[own], w] * p[own], first)
+    last = sums[arcs.lengths, np.arange(len(arcs.lengths))]
+    return np.log(last) - BYTE_SCALE * arcs.lengths[:, None]
+
+
+def word_scores(words: list[str], lattice: Lattice, logs: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each word in each language; ``logs`` is (pieces, languages)."""
+    out = np.zeros((len(words), logs.shape[1]))
+    for places, coded in chunks(words):
+        arcs = lattice.arcs(coded)
+        if arcs.lengths.max() <= SHORT:
+            out[places] = _short_scores(arcs, logs)
+        else:
+            out[places] = forward(arcs, logs[arcs.piece])[arcs.lengths, np.arange(len(places))]
     return out
 
 
-def _plain(lattice: Lattice, block: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Forward sums as they are: short words stay far above the smallest double."""
-    sums = [np.ones((len(block), probs.shape[1]))]
-    for at in range(1, block.shape[1] + 1):
-        sums.append(sum(sums[at - size] * probs[piece]
-                        for size, piece in lattice.ending(block, at)))
-    return np.log(sums[-1])
-
-
-def _scaled(lattice: Lattice, block: np.ndarray, probs: np.ndarray) -> np.ndarray:
-    """Forward sums as logarithms, for words of any length; keeps the last eight positions."""
-    logs = [np.zeros((len(block), probs.shape[1]))]
-    for at in range(1, block.shape[1] + 1):
-        base = np.max(logs, axis=0)
-        total = sum(np.exp(logs[-size] - base) * probs[piece]
-                    for size, piece in lattice.ending(block, at))
-        logs = [*logs[-LONGEST + 1:], base + np.log(np.maximum(total, 1e-300))]
-    return logs[-1]
-
-
 def expected_counts(words: list[str], weight: np.ndarray, language: np.ndarray,
-                    lattice: Lattice, probs: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece by language, (pieces + 1, languages)."""
-    out = np.zeros_like(probs)
-    for places, block in by_length(words):
-        rows, n = block.shape
-        lang, w = language[places], weight[places]
-        pieces = {(at, size): piece for at in range(1, n + 1)
-                  for size, piece in lattice.ending(block, at)}
-        used = {key: probs[p, lang] for key, p in pieces.items()}
-        fore, scale = [np.ones(rows)], [np.zeros(rows)]
-        for at in range(1, n + 1):
-            back = range(max(0, at - LONGEST), at)
-            base = np.max([scale[k] for k in back], axis=0)
-            total = sum(fore[k] * np.exp(scale[k] - base) * used[at, at - k] for k in back)
-            fore.append(np.ones(rows))
-            scale.append(base + np.log(np.maximum(total, 1e-300)))
-        after = [None] * (n + 1)
-        after[n] = np.zeros(rows)
-        for at in range(n - 1, -1, -1):
-            ahead = range(at + 1, min(n, at + LONGEST) + 1)
-            base = np.max([after[k] for k in ahead], axis=0)
-            total = sum(np.exp(after[k] - base) * used[k, k - at] for k in ahead)
-            after[at] = base + np.log(np.maximum(total, 1e-300))
-        for (at, size), piece in pieces.items():
-            share = np.exp(scale[at - size] + after[at] - scale[n]) * used[at, size] * w
-            np.add.at(out, (piece, lang), share)
-    return out
+                    lattice: Lattice, logs: np.ndarray) -> np.ndarray:
+    """Expected uses of each piece by language, (pieces, languages), by forward-backward."""
+    width = logs.shape[1]
+    out = np.zeros(lattice.count * width)
+    for places, coded in chunks(words):
+        arcs = lattice.arcs(coded)
+        lang = language[places][arcs.word]
+        logp = logs[arcs.piece, lang][:, None]
+        fore = forward(arcs, logp)
+        # Backwards: the same sums over the mirrored words.
+        size = arcs.lengths[arcs.word]
+        mirror = Arcs(arcs.lengths, arcs.word, size - arcs.end, size - arcs.start, arcs.piece)
+        back = forward(mirror, logp)
+        total = fore[arcs.lengths, np.arange(len(places)), 0]
+        share = np.exp(fore[arcs.start, arcs.word, 0] + logp[:, 0]
+                       + back[size - arcs.end, arcs.word, 0] - total[arcs.word])
+        out += np.bincount(arcs.piece * width + lang, share * weight[places][arcs.word],
+                           minlength=len(out))
+    return out.reshape(lattice.count, width)
 
 
 @dataclass
 class Model:
-    """Languages in text order, pieces, and probabilities (pieces + 1, languages)."""
+    """Languages in text order, pieces, and log-probabilities (pieces, languages)."""
 
     languages: list[str]
     pieces: list[bytes]
-    probs: np.ndarray
+    logs: np.ndarray
 
 
 def sampled(docs: DataFrame, key: str, per_value: int, id_col: str) -> DataFrame:
@@ -179,34 +223,31 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         raise ValueError(f"more than {max_languages} languages")
     languages = sorted(labels)
     if not languages:
-        return Model([], pieces, np.zeros((len(pieces) + 1, 0)))
+        return Model([], pieces, np.zeros((len(pieces), 0)))
     place = {lang: k for k, lang in enumerate(languages)}
 
     def counted(batches: Iterator[dict]):
-        find = re.compile(WORDS).findall
         for b in batches:
             seen: Counter = Counter()
             for text, lang in zip(b["t"], b["l"]):
-                seen.update((place[lang], w) for w in find(text.lower()))
+                seen.update((place[lang], w) for w in find_words(text))
             for (lang, w), n in seen.items():
                 yield lang, w, n
 
     words = map_rows(sampled(own, "l", fit_docs, "i").select("t", "l"),
                      "l int, w string, n bigint", counted)
     words = write_and_read(words.groupBy("l", "w").agg(F.sum("n").alias("n")), "langid")
-    probs = np.full((len(pieces) + 1, len(languages)), 1.0 / len(pieces))
-    probs[-1] = 0.0
+    logs = np.full((len(pieces), len(languages)), -np.log(len(pieces)))
     for _ in range(rounds):
-        counts = np.full_like(probs, smoothing)
-        for r in _count_pieces(words, pieces, probs).collect():
-            counts[r["p"], r["l"]] += r["c"]
-        counts[-1] = 0.0
-        probs = counts / counts.sum(axis=0)
-    return Model(languages, pieces, probs)
+        counts = np.full_like(logs, smoothing)
+        got = _count_pieces(words, pieces, logs).toArrow()
+        counts[got.column("p").to_numpy(), got.column("l").to_numpy()] += got.column("c").to_numpy()
+        logs = np.log(counts / counts.sum(axis=0))
+    return Model(languages, pieces, logs)
 
 
-def _count_pieces(words: DataFrame, pieces: list[bytes], probs: np.ndarray) -> DataFrame:
-    model = words.sparkSession.sparkContext.broadcast((pieces, probs))
+def _count_pieces(words: DataFrame, pieces: list[bytes], logs: np.ndarray) -> DataFrame:
+    model = words.sparkSession.sparkContext.broadcast((pieces, logs))
 
     def rows(batches: Iterator[dict]):
         own, current = model.value
@@ -215,8 +256,8 @@ def _count_pieces(words: DataFrame, pieces: list[bytes], probs: np.ndarray) -> D
         for b in batches:
             total += expected_counts(b["w"], np.array(b["n"], float), np.array(b["l"], int),
                                      lattice, current)
-        for p, lang in np.argwhere(total[:-1] > 1e-6):
-            yield int(p), int(lang), float(total[p, lang])
+        for p, lang in np.argwhere(total > 1e-6).tolist():
+            yield p, lang, float(total[p, lang])
 
     return map_rows(words, "p int, l int, c double", rows).groupBy("p", "l").agg(
         F.sum("c").alias("c"))
@@ -226,11 +267,9 @@ class Scorer:
     """Word likelihoods of one model, remembered per word."""
 
     def __init__(self, model: Model):
-        self.lattice, self.probs = Lattice(model.pieces), model.probs
-        self.width = len(model.languages)
-        self.find = re.compile(WORDS).findall
+        self.lattice, self.logs = Lattice(model.pieces), model.logs
         self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, self.width))
+        self.table = np.zeros((1024, len(model.languages)))
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > KEPT:
@@ -238,20 +277,23 @@ class Scorer:
         new = [w for w in words if w not in self.known]
         base = len(self.known)
         if base + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros((base + len(new), self.width))])
+            self.table = np.concatenate([self.table, np.zeros((base + len(new),
+                                                               self.table.shape[1]))])
         if new:
-            self.table[base:base + len(new)] = word_scores(new, self.lattice, self.probs)
+            self.table[base:base + len(new)] = word_scores(new, self.lattice, self.logs)
         self.known.update((w, base + i) for i, w in enumerate(new))
 
     def batch(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """Log-likelihoods by language of each text; None without a letter."""
-        for a in range(0, len(texts), 256):
-            counts = [Counter(self.find(t.lower())) if t else Counter() for t in texts[a:a + 256]]
-            self.learn({w for c in counts for w in c})
-            for c in counts:
-                letters = any(ch.isalpha() for w in c for ch in w)
-                at = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
-                yield np.fromiter(c.values(), float, len(c)) @ self.table[at] if letters else None
+        for a in range(0, len(texts), 512):
+            found = [find_words(t) for t in texts[a:a + 512]]
+            self.learn(set().union(*found))
+            for words in found:
+                if any(ch.isalpha() for w in words for ch in w):
+                    at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                    yield self.table[at].sum(axis=0)
+                else:
+                    yield None
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
