@@ -1,7 +1,9 @@
 """Secret scan with a random forest against false positives, in DataFrame operations only.
 
 Candidates are runs of at least ``MIN_LENGTH`` letters, digits and ``+ / _ -`` that hold a
-digit, begin like an issued key, or follow ``=`` or ``:``.
+digit, begin like an issued key, or follow ``=`` or ``:``; what is assigned to a name with a
+credential word, up to the closing quote or white space, whatever its length and marks; and the
+password of ``user:password@`` in urls.
 Each gets features of its length, of the transitions between character classes, of how much
 of it dictionary words cover, of paths (slashes, dots and file endings in and around it), and of its
 neighbouring words (credential words, assignment and quotes before it). A random forest is
@@ -30,8 +32,22 @@ RUN = "[A-Za-z0-9+/_-]"
 # Words that name a credential, and prefixes of issued keys.
 CREDENTIAL = r"(?i)(passw(or)?d|pwd|passphrase|secret|token|api[_-]?key|apikey|auth|credential|private[_-]?key)"
 ISSUED = "(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza|npm_)"
-CANDIDATE = (rf"""(?<!{RUN})(?:(?=[A-Za-z+/_-]*[0-9])|(?={ISSUED})|(?<=[=:]["' ]{{0,2}}))"""
-             rf"{RUN}{{{MIN_LENGTH},}}+={{0,2}}")
+# What follows a credential word up to the value assigned to its name. Bounded, for look-behind.
+SUFFIX = "s?[0-9]{0,4}" + "(?:[_-][A-Za-z0-9]{1,20})?" * 3 + "(?i:key|value|string|text)?"
+SIGN = r"""[=:][=>]?\h{0,8}\\{0,2}["']?"""
+ASSIGN = r"""\\{0,2}["'\]]{0,3}\h{0,8}""" + SIGN
+ASSIGNED = (rf"""(?<=[=:>"'\h])(?<={SIGN})(?<={CREDENTIAL.replace("(?i)(", "(?i:")}{SUFFIX}{ASSIGN})"""
+            r"""(?:(?<=["'])|(?![=>\\]|//))(?:(?<=")[^"\r\n]{1,256}?(?=\\{0,2}")"""
+            r"""|(?<=')[^'\r\n]{1,256}?(?=\\{0,2}')|[^\s"']+?(?=\\{0,2}["']|\s|\z))""")
+IN_URL = r"""(?<=:)(?<=://[^\s/:@"']{0,128}:)[^\s/"']+(?=@)"""
+LONG_RUN = (rf"""(?<!{RUN})(?:(?=[A-Za-z+/_-]*[0-9])|(?={ISSUED})|(?<=[=:]["' ]{{0,2}}))"""
+            rf"{RUN}{{{MIN_LENGTH},}}+={{0,2}}")
+CANDIDATE = f"{ASSIGNED}|{IN_URL}|{LONG_RUN}"
+# Group 1 is the text before a candidate, group 2 the candidate; the last match is empty.
+PLACED = rf"(?s)(.*?)({CANDIDATE}|\z)"
+# Paths: all segments are words (also in camel case, with a number behind) or short numbers.
+WORD = "(?:(?:(?:[A-Z]?[a-z]{2,}+)++|[A-Z]{2,}+|[A-Za-z])[0-9]{0,4}|[0-9]{1,8})"
+PATH = rf"^/*{WORD}?(?:[/_-]+{WORD})*/*$"
 FEATURES = ["length", "digits", "upper", "lower", "marks", "hex", "turns", "turn_share",
             "letter_digit_turns", "case_turns", "distinct_share", "dictionary", "slashes", "path_before",
             "ending_after", "credential_before", "assigned", "quoted", "words_before",
@@ -51,15 +67,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, text_hash, start, value, before, after) per occurrence; start counts characters
     from 1, before and after are up to 48 characters of context."""
     text = F.col("t")
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).withColumn(
-        "all", F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).filter(F.size("all") > 0)
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter(
+        text.rlike(CANDIDATE)).withColumn(
+        "all", F.arrays_zip(F.regexp_extract_all(text, F.lit(PLACED), F.lit(1)).alias("skip"),
+                            F.regexp_extract_all(text, F.lit(PLACED), F.lit(2)).alias("v")))
     step = "named_struct('at', {at}, 'out', {out})"
     places = F.expr(
         "aggregate(all, " + step.format(at="1", out="cast(array() as array<struct<s:int,v:string>>)")
         + ", (a, v) -> " + step.format(
-            at="locate(v, t, a.at) + length(v)",
-            out="concat(a.out, array(struct(locate(v, t, a.at) as s, v as v)))")
-        + ", a -> a.out)")
+            at="a.at + length(v.skip) + length(v.v)",
+            out="concat(a.out, array(struct(a.at + length(v.skip) as s, v.v as v)))")
+        + ", a -> filter(a.out, x -> x.v <> ''))")
     each = found.select("id", F.xxhash64("t").alias("text_hash"), "t", F.explode(places).alias("x"))
     start, value = F.col("x.s"), F.col("x.v")
     return each.select("id", "text_hash", start.alias("start"), value.alias("value"),
@@ -81,13 +99,13 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         F.sum(F.length("run")).alias("in_words"))
     turns = (_count(v, "(?<=[A-Za-z])(?=[0-9])") + _count(v, "(?<=[0-9])(?=[A-Za-z])"))
     cases = _count(v, "(?<=[a-z])(?=[A-Z])") + _count(v, "(?<=[A-Z])(?=[a-z])")
-    marks = _count(v, "(?<=[A-Za-z0-9])(?=[+/_=-])") + _count(v, "(?<=[+/_=-])(?=[A-Za-z0-9])")
+    marks = _count(v, "(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])") + _count(v, "(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])")
     length = F.length(v).cast("double")
     flag = lambda c: c.cast("double")
     return found.join(covered, "value", "left").withColumns({
         "length": length,
         "digits": _count(v, "[0-9]") / length, "upper": _count(v, "[A-Z]") / length,
-        "lower": _count(v, "[a-z]") / length, "marks": _count(v, "[+/_=-]") / length,
+        "lower": _count(v, "[a-z]") / length, "marks": _count(v, "[^A-Za-z0-9]") / length,
         "hex": flag(v.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "turns": turns + cases + marks, "turn_share": (turns + cases + marks) / length,
         "letter_digit_turns": turns, "case_turns": cases,
@@ -95,7 +113,7 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         "dictionary": F.coalesce(F.col("in_words"), F.lit(0)) / length,
         "slashes": _count(v, "/"), "path_before": flag(before.rlike(r"[/\\.~]$")),
         "ending_after": flag(after.rlike(r"^\.[A-Za-z]{1,5}\b")),
-        "credential_before": flag(before.rlike(CREDENTIAL + r"\W{0,12}$")),
+        "credential_before": flag(before.rlike(CREDENTIAL + SUFFIX + r"\W{0,12}$")),
         "assigned": flag(before.rlike(r"""[=:]\s*["']?$""")),
         "quoted": flag(before.rlike("""["']$""") & after.rlike("""^["']""")),
         "words_before": _count(before, r"\S+"), "words_after": _count(after, r"\S+"),
@@ -104,12 +122,19 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rule_label(value: Column, before: Column) -> Column:
-    """Labels for findings that rules settle: 1 for issued-key prefixes and for assignments to
-    credential words; 0 for plain numbers, word-like runs, dates, paths; null for the rest."""
-    credential = before.rlike(CREDENTIAL + r"""\s*[=:]\s*["']?$""")
+    """Labels for findings that rules settle: 1 for issued-key prefixes, passwords in urls and
+    assignments to credential words (but for bare words after a colon, as prose has them); 0 for
+    placeholders, plain numbers, word-like runs, dates, paths of word-like segments; null for the
+    rest."""
+    credential = before.rlike(
+        CREDENTIAL + "s?(?:[_-]?(?:access|key|value|string|[0-9]{1,4}))*" + ASSIGN + "$")
+    prose = before.rlike(r":\h*$") & value.rlike("^[A-Za-z]+[.,;!?]?$")
+    placeholder = value.rlike(r"^(?i:null|none|true|false|undefined)[,;]?$|^\$\{[^}]*\}$|^<[^>]*>$|^\*+$")
+    in_url = before.rlike(r"""://[^\s/:@"']*:$""") & ~value.contains("/")
     harmless = (value.rlike("^[0-9-]+$") | value.rlike("^[A-Za-z]+[0-9]{1,4}$")
-                | value.rlike("^[0-9]{1,4}[A-Za-z]+$") | value.rlike("/.*/"))
-    return F.when(value.rlike("^" + ISSUED) | credential, F.lit(1.0)).when(harmless, F.lit(0.0))
+                | value.rlike("^[0-9]{1,4}[A-Za-z]+$") | value.rlike("/.*/") & value.rlike(PATH))
+    return F.when(value.rlike("^" + ISSUED) | in_url | credential & ~prose & ~placeholder,
+                  F.lit(1.0)).when(placeholder | harmless & ~credential, F.lit(0.0))
 
 
 def train(findings: DataFrame, fit_rows: int = 20_000, trees: int = 20, depth: int = 8):
@@ -146,12 +171,28 @@ def scan(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: st
 
 def redact(docs: DataFrame, findings: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret value of a document replaced; longest values first."""
+    """``docs`` with every secret of a document replaced where it was found, and values that are
+    long or hold letters and digits in all other places of the document, longest values first."""
     secrets = findings.filter("is_secret").groupBy(
-        F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")).agg(F.array_sort(
-            F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
+        F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")).agg(
+            F.array_sort(F.collect_set(F.struct("start", "value"))).alias("_places"))
     keyed = docs.withColumn("_key", F.xxhash64(text_col))
     joined = keyed.join(secrets, (F.col("_key") == F.col("_h"))
                         & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    clean = F.aggregate("_values", F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
-    return joined.withColumn(text_col, F.coalesce(clean, F.col(text_col))).select(*docs.columns)
+    text = F.col(text_col)
+
+    def cut(a: Column, x: Column) -> Column:
+        at = x["start"].cast("int")
+        return F.struct((at + F.length(x["value"])).alias("at"), F.concat(
+            a["out"], F.substring(text, a["at"], at - a["at"]), F.lit(mark)).alias("out"))
+
+    clean = F.aggregate(
+        "_places", F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), cut,
+        lambda a: F.concat(a["out"], F.substring(text, a["at"], F.length(text))))
+    wide = F.array_sort(
+        F.filter(F.array_distinct(F.col("_places.value")), lambda v: (F.length(v) >= MIN_LENGTH) | (
+            F.length(v) >= 6) & v.rlike("[0-9]") & v.rlike("[A-Za-z]")),
+        lambda a, b: F.length(b) - F.length(a))
+    joined = joined.withColumn("_clean", clean)
+    clean = F.aggregate(wide, F.col("_clean"), lambda t, v: F.replace(t, v, F.lit(mark)))
+    return joined.withColumn(text_col, F.coalesce(clean, text)).select(*docs.columns)

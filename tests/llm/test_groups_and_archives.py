@@ -310,3 +310,34 @@ def test_secret_candidates_and_forest(spark):
     assert secrets.scan(docs.limit(0), words).count() == 0
     alone = secrets.scan(docs.filter("doc_id = 502"), words).collect()
     assert [r["score"] for r in alone] == [1.0, 1.0]
+
+
+def test_secrets_of_any_length_and_marks(spark):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    cases = [("password=Tr0ub4dor&3", "Tr0ub4dor&3"), ("pwd: hunter2abc", "hunter2abc"),
+             ('password = "S3cr3t!P@ssw0rd#2024" x', "S3cr3t!P@ssw0rd#2024"),
+             ('{"api_key_2": "a b-9", "n": 1}', "a b-9"), ("redis://:q@x@h:6379/0", "q@x"),
+             ("see postgres://admin:pa55w0rd@db/x", "pa55w0rd"), ("my_password1234=zz9", "zz9"),
+             (f"aws_secret_access_key = {key}", key), ("ab a cd ab token=a b", "a")]
+    plain = ["author: Smith wrote", "http://localhost:8080/x", "password:", 'token = ""', "auth://x"]
+    docs = spark.createDataFrame(
+        [(i, t) for i, (t, _) in enumerate(cases)] + [(100 + i, t) for i, t in enumerate(plain)] + [
+            (200, "in /usr/local/share2/DocFiles/read"), (201, "Secret: something else")],
+        "doc_id long, text string")
+    words = secrets.dictionary_words(spark, "/opt/tokenizers/word_bpe_49k.json")
+    found = secrets.candidates(docs).collect()
+    for i, (text, value) in enumerate(cases):
+        assert (text.rindex(value) + 1, value) in [(r["start"], r["value"]) for r in found if r["id"] == i]
+    assert not [r for r in found if 100 <= r["id"] < 200]
+    many = docs.unionByName(spark.range(300, 420).selectExpr(
+        "id as doc_id", "concat('order 12345678901', id, ' went to /usr/local/files', id) as text"))
+    scanned = secrets.scan(many, words)
+    label = {(r["doc_id"], r["value"]): r["label"] for r in scanned.collect()}
+    assert [(i, v) for i, (_, v) in enumerate(cases) if label[i, v] != 1.0] == []
+    assert label[200, "/usr/local/share2/DocFiles/read"] == 0.0 and label[201, "something"] is None
+    text = {r["doc_id"]: r["text"] for r in secrets.redact(many, scanned).collect()}
+    for i, (t, v) in enumerate(cases):
+        at = t.rindex(v)
+        assert text[i].endswith(t[:at][-3:] + "[SECRET]" + t[at + len(v):]), text[i]
+    assert text[8] == "ab a cd ab token=[SECRET] b" and text[200] == "in /usr/local/share2/DocFiles/read"
+    assert dict(secrets.scan(docs.filter("doc_id = 7"), words).select("value", "score").collect())[key] == 1.0
