@@ -6,8 +6,8 @@ over every way to cut it into pieces, of the product of the piece probabilities.
 pass over the bytes of the word gives that sum; words are independent, so a text's score is
 the sum over its words. Piece probabilities are learned by expectation maximisation with
 forward-backward passes over the word counts of a bounded sample of labelled documents per
-language (``fit_docs``); pieces of up to eight bytes are used, which includes every single
-byte, so every text has a likelihood in every language.
+language (``fit_docs``); all pieces that words can hold are used, and every single byte, so
+every text has a likelihood in every language.
 
 Cases: ``und`` with score 0 for null texts and texts without a letter, and for all texts if
 no labelled document exists. Equal posteriors go to the language first in text order.
@@ -32,7 +32,9 @@ from loadlens.session import write_and_read
 
 ship(__name__)
 
-LONGEST = 8
+# What the packed matches can hold; the bits of a length.
+LENGTH_BITS = 16
+LONGEST = (1 << LENGTH_BITS) - 1
 KEPT = 300_000
 # Places times words that are worked on at once.
 CELLS = 150_000
@@ -43,8 +45,8 @@ WORDS = r"[^\W\d_]+"
 
 
 def read_pieces(path: str) -> list[bytes]:
-    """Pieces of a rank file that words can hold: every byte, and up to eight bytes of lower-case
-    letters and bytes above ASCII, with or without a space before them."""
+    """Pieces of a rank file that words can hold: every byte, and runs of lower-case letters
+    and bytes above ASCII, with or without a space before them."""
     with open(path, "rb") as f:
         pieces = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
     inner = re.compile(rb" ?[a-z\x80-\xff]+")
@@ -92,7 +94,7 @@ class Lattice:
         self.count = len(pieces)
         self.find = ahocorasick.Automaton()
         for k, p in enumerate(pieces):
-            self.find.add_word(p.decode("latin-1"), k << 4 | len(p))
+            self.find.add_word(p.decode("latin-1"), k << LENGTH_BITS | len(p))
         self.find.make_automaton()
 
     def arcs(self, coded: list[bytes]) -> Arcs:
@@ -106,7 +108,7 @@ class Lattice:
         end = ends - first[word] + 1
         own = end <= lengths[word]  # the line end itself is a byte, too
         word, end, found = word[own], end[own], found[own]
-        return Arcs(lengths, word, end - (found & 15), end, found >> 4)
+        return Arcs(lengths, word, end - (found & LONGEST), end, found >> LENGTH_BITS)
 
 
 def chunks(words: list[str]) -> Iterator[tuple[np.ndarray, list[bytes]]]:

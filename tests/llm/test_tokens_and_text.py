@@ -237,3 +237,12 @@ def test_training_rows_follow_the_checksum(spark):
     import zlib
     got = spark.range(200).select("id", is_training_row(F.col("id")).alias("t")).collect()
     assert all(r["t"] == (zlib.crc32(str(r["id"]).encode()) % 5 != 0) for r in got)
+
+
+def test_language_pieces_are_not_cut():
+    pieces = langid.read_pieces(PATH)
+    assert max(map(len, pieces)) > 8
+    word = next(p for p in pieces if len(p) > 10 and p.isascii() and p.isalpha())
+    arcs = langid.Lattice(pieces).arcs([word, b"ab"])
+    whole = (arcs.word == 0) & (arcs.start == 0) & (arcs.end == len(word))
+    assert [pieces[k] for k in arcs.piece[whole]] == [word]
