@@ -28,9 +28,11 @@ def _same(a: str, b: str):
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter in any learned language (``und``); others stay,
-    with the predicted language as theirs."""
+    with the predicted language as theirs, or with their own if no language could be learned."""
     model = langid.fit(docs.filter(is_training_row(F.col("doc_id"))),
                        public_tokenizers.path(BYTE_BPE))
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(_key(docs), model, id_col="_k").filter("lang_pred <> 'und'")
     found = write_and_read(found.groupBy("_k").agg(F.first("lang_pred").alias("found")),
                            "pipeline").withColumnRenamed("_k", "_own")

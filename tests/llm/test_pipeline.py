@@ -67,6 +67,14 @@ def test_run_and_registration(spark, folder):
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+def test_language_stage_without_labels(spark, folder):
+    docs = spark.createDataFrame(
+        [(1, "some words", None), (2, "12 ...", None), (3, None, None), (None, "één", None)],
+        "doc_id long, text string, lang string")
+    got = corpus_pipeline.language_stage(spark, docs, folder[0]).collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "some words", None), (None, "één", None)]
+
+
 def test_stages_on_an_empty_table(spark, folder):
     at, _ = folder
     docs = spark.read.parquet(f"{at}/documents.parquet").limit(0)
