@@ -5,7 +5,8 @@ the leaf it reaches by the nearest centre at each node. A query keeps the tree's
 priority queue by the distance of their centres and visits leaves in the order in which they
 come out of it. How many leaves it visits is calibrated: for a bounded sample of vectors that
 are no queries the true neighbours are found by brute force, and visits are widened until
-``recall`` of them lie in the visited leaves.
+``recall`` of them lie in the visited leaves. A query whose leaves hold too few vectors for its
+list goes on to further ones.
 
 Equal vectors are stored once, with the ``k + 1`` smallest ids of each, which is all that a
 list of ``k`` neighbours can need; so a vector that a third of the rows share is one entry.
@@ -57,14 +58,17 @@ class Tree:
             todo += [(int(c), rows[near == c]) for c in own]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves in best-bin-first order."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None,
+               least: int = 0) -> list[int]:
+        """The first ``most`` leaves in best-bin-first order, and more until they hold ``least``
+        ids; ``held`` has the number of ids by node."""
+        queue, out, have = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or have < least):
             _, node = heapq.heappop(queue)
             own = self.children[node]
             if not len(own):
                 out.append(node)
+                have += least if held is None else int(held[node])
                 continue
             for d, c in zip(_squares(q[None, :], self.centres[own])[0].tolist(), own.tolist()):
                 heapq.heappush(queue, (d, c))
@@ -210,12 +214,16 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     trial = index.filter(u * max(total, 1) < calibration_rows).select(
         F.get("ids", F.lit(0)).alias("id"), "v").orderBy("id").limit(4 * calibration_rows)
     visits = calibrate(index, tree, [tuple(r) for r in trial.collect()], k, recall)
-    shared = spark.sparkContext.broadcast(tree)
+    held = np.zeros(len(tree.children), np.int64)
+    for r in index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():
+        held[r["leaf"]] = r["n"]
+    shared = spark.sparkContext.broadcast((tree, held))
 
     def plan(batches: Iterator[dict]):
+        own, n = shared.value
         for b in batches:
             for i, v in zip(b["id"], b["v"]):
-                for leaf in shared.value.visits(np.array(v), visits):
+                for leaf in own.visits(np.array(v), visits, n, k + 1):
                     yield leaf, i, v
 
     asked = map_rows(queries.select("id", "v"), "leaf bigint, id bigint, v array<double>", plan)

@@ -341,3 +341,13 @@ def test_secrets_of_any_length_and_marks(spark):
         assert text[i].endswith(t[:at][-3:] + "[SECRET]" + t[at + len(v):]), text[i]
     assert text[8] == "ab a cd ab token=[SECRET] b" and text[200] == "in /usr/local/share2/DocFiles/read"
     assert dict(secrets.scan(docs.filter("doc_id = 7"), words).select("value", "score").collect())[key] == 1.0
+
+
+def test_visits_go_on_until_enough_vectors(spark):
+    tree = ann.Tree(np.array([[0.0], [1.0], [2.0], [9.0]]),
+                    [np.array([1, 2, 3])] + [np.zeros(0, np.int64)] * 3)
+    held = np.array([0, 2, 3, 50])
+    assert tree.visits(np.array([0.0]), 1) == [1]
+    assert tree.visits(np.array([0.0]), 1, held, 4) == [1, 2]
+    assert tree.visits(np.array([0.0]), 1, held, 11) == [1, 2, 3]
+    assert tree.visits(np.array([9.0]), 2, held, 11) == [3, 2]
