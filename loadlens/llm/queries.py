@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadlens.llm import (ann, bpe, decontaminate, langid, secrets, simhash, suffix, toxicity, urls,
-                          warc)
+from loadlens.llm import (ann, bpe, decontaminate, langid, minhash, runs, secrets, simhash, suffix,
+                          toxicity, trie, urls, warc)
 from loadlens.llm.workers import is_training_row
 from loadlens.session import work_dir
 
@@ -95,9 +97,58 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~is_training_row(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def repeated_order(doc_id: int | None, n: int) -> np.ndarray | None:
+    """For one id in ten: from word a on, the p words after it again and again."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    order = np.arange(n)
+    order[a:] = a + np.arange(n - a) % p
+    return order
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), reorder=repeated_order)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("short"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","),
+        r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumns({"best": best, "lines": lines}).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("best.before")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.short")).alias("period"),
+        F.expr("1000 * best.length div -best.short").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    rows, convs = trie.grafted(
+        trie.numbered(table(spark, sf_dir, "conversations")), base=conv - conv % 100,
+        take=F.crc32(conv.cast("string").cast("binary")) % 6, most=5)
+    nodes, ends = trie.trie(rows, convs)
+    return nodes.join(trie.ends_digests(ends), ["conv", "d"], "left").select(
+        F.col("conv").alias("conv_id"), F.col("d").alias("depth"),
+        F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"),
+        F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_nearest_neighbours, op2_secret_scan, op3_toxicity, op4_simhash, op5_byte_bpe,
-    op6_decontamination, op7_suffix_repeats, op8_url_filter, op9_warc, op10_language)}
+    op6_decontamination, op7_suffix_repeats, op8_url_filter, op9_warc, op10_language,
+    op11_minhash, op12_periodic_runs, op13_prefix_trie)}
 
 _OP6 = r"""
 WITH words AS (
@@ -166,8 +217,114 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM chunks
 """
 
+# CRC-32 of the decimal digits of {id}, bit by bit.
+_CRC = """xor(list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(
+      string_split(CAST({id} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda s, b: list_reduce([xor(s, b), 0, 1, 2, 3, 4, 5, 6, 7],
+      lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+_OP11 = r"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x09-\x0D\x20]+') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+items AS (SELECT r, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM items a JOIN items b ON a.x = b.x AND a.r <> b.r
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT r AS a, r AS b FROM sets
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_id AS (SELECT a AS r, min(doc_id) AS component_id FROM reach JOIN sets ON reach.b = sets.r GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN least_id USING (r)
+"""
+
+_OP12 = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    coalesce(text, ''), '[^\x09-\x0D\x20]+') AS w, """ + _CRC.format(id="doc_id") + r""" AS h
+  FROM documents),
+sized AS (
+  SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n, h % 10 = 0 AND len(w) > 0 AS turned,
+         (h // 10) % greatest(len(w), 1) AS a, (h // 10) % 8 AS m FROM base),
+cut AS (SELECT *, 1 + (n - a) // (3 + m) AS p FROM sized),
+docs AS (
+  SELECT r, doc_id, n, CASE WHEN turned THEN list_transform(range(0, n), lambda i:
+    w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM cut),
+words AS (SELECT r, n, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM docs),
+same AS (
+  SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b
+  ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+marked AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM same),
+stretches AS (
+  SELECT r, q, min(i) AS s, count(*) + q AS l FROM marked GROUP BY r, q, part
+  HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, s, l, min(q) AS q FROM stretches GROUP BY r, s, l),
+listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+         max({'l': l, 's': -s, 'q': -q}) AS best FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, u.i FROM runs, unnest(range(s + q, s + l)) AS u(i)),
+left_over AS (
+  SELECT r, string_agg(x, ' ' ORDER BY i) AS line FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-best.s AS BIGINT) AS start,
+       CAST(best.l AS BIGINT) AS length, CAST(-best.q AS BIGINT) AS period,
+       CAST(1000 * best.l // -best.q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(line, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (r) LEFT JOIN left_over USING (r)
+"""
+
+_OP13 = r"""
+WITH own AS (
+  SELECT conv_id AS c, md5(coalesce(role, '') || chr(10) || coalesce(text, '')) AS k,
+         length(coalesce(text, '')) AS points, row_number() OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT c, n, c - c % 100 AS base, """ + _CRC.format(id="c") + r""" % 6 AS h
+  FROM (SELECT c, count(*) AS n FROM own GROUP BY c)),
+planned AS (
+  SELECT x.c, x.base, x.h, least(x.h, coalesce(b.n, 0)) AS got FROM convs x LEFT JOIN convs b ON b.c = x.base),
+rebuilt AS (
+  SELECT p.c, i AS d, k, points FROM planned p JOIN own ON own.c = p.base AND i <= got
+  UNION ALL SELECT c, i - h + got, k, points FROM planned JOIN own USING (c) WHERE i > h),
+paths AS (
+  SELECT c, d, array_to_string(list(k) OVER (PARTITION BY c ORDER BY d), ',') AS k, points FROM rebuilt
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+nodes AS (SELECT d, k, min(c) AS v, count(*) AS n_convs, max(points) AS points FROM paths GROUP BY d, k),
+named AS (SELECT c, d, v FROM paths JOIN nodes USING (d, k)),
+lengths AS (SELECT c, max(d) AS d FROM named GROUP BY c),
+ends AS (
+  SELECT v, d, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+  FROM lengths JOIN named USING (c, d) GROUP BY v, d),
+linked AS (
+  SELECT n.v, n.d, n_convs, points, p.v AS parent
+  FROM nodes n LEFT JOIN named p ON p.c = n.v AND p.d = n.d - 1),
+kids AS (SELECT parent AS v, d - 1 AS d, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY 1, 2),
+full_nodes AS (
+  SELECT v, d, parent, n_convs, points, coalesce(n_children, 0) AS n_children
+  FROM linked LEFT JOIN kids USING (v, d)),
+sums AS (
+  SELECT t.v, t.d, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+         sum((u.n_convs - 1) * u.points) AS saved
+  FROM full_nodes u JOIN named t ON t.c = u.v AND t.d <= u.d GROUP BY t.v, t.d)
+SELECT v AS conv_id, CAST(d AS BIGINT) AS depth, parent AS parent_conv_id,
+       CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_nodes JOIN sums USING (v, d) LEFT JOIN ends USING (v, d)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": _OP6,
     "op7_suffix_repeats": _OP7,
     "op9_warc": _OP9,
+    "op11_minhash": _OP11,
+    "op12_periodic_runs": _OP12,
+    "op13_prefix_trie": _OP13,
 }
