@@ -40,7 +40,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), words)
     return found.select("doc_id", "start", F.length("value").cast("bigint").alias("n_chars"),
                         F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
-                        "label", "score", "is_secret")
+                        "kind", "label", "held_out", "score", "is_secret")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
