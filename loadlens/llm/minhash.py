@@ -9,10 +9,12 @@ bins in one of 500,000 pairs.
 
 Documents with equal sets are one class before anything else, so copies never multiply. In a
 bucket every class is paired with one centre, drawn by the bucket, and no other: candidate
-edges are stars. They are confirmed on the full sets, and links become components. Classes that
-a star leaves outside the largest component of their bucket are then compared with the members
-of the other components there, so that no link inside a bucket is lost for the choice of the
-centre. Pairs inside one component are never made.
+edges are stars. They are confirmed on the full sets, and links become components. A bucket that
+its star leaves in several components gets another centre, the member whose tests were links most
+often (the original among its copies), until a round joins no components. What is left outside
+the largest component of its bucket is then compared with the members of the other components
+there, so that no link inside a bucket is lost for the choice of centres. Pairs inside one
+component are never made.
 
 Cases: null and empty texts, and texts of white space only, have the empty set and are linked
 with nothing. Null ids stay in the result with ``kept`` false; a component is named by its
@@ -122,23 +124,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                 ).alias("k"), F.col(text_col).alias("t"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
-              width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough. Texts of the classes in
-    question are fetched once; a pair whose sizes alone exclude it is dropped before."""
-    sizes = classes.select("node", "n")
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough; a pair that its sizes
+    alone exclude is dropped before its ``texts`` (node, n, t) meet."""
+    sizes = texts.select("node", "n")
     near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
         sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").filter(
         F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
     near = write_and_read(near, "minhash")
-    asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
-        classes.select("node", "one"), "node").select(
-        "node", F.col("one.id").alias("own_id"), F.col("one.h").alias("own_h"))
-    keyed = _keyed(docs, id_col, text_col)
-    texts = keyed.join(asked, (F.col("k.h") == F.col("own_h"))
-                       & F.col("k.id").eqNullSafe(F.col("own_id"))).groupBy("node").agg(
-        F.any_value("t").alias("t"))
-    texts = write_and_read(texts, "minhash")
     both = near.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").select(
         "a", "b", "ta", "tb")
@@ -158,6 +151,17 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     return write_and_read(map_rows(both, "a bigint, b bigint", compare), "minhash")
 
 
+def _texts(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
+           text_col: str) -> DataFrame:
+    """(node, n, t): one text of each class that shares a bucket."""
+    asked = members.select("node").distinct().join(classes.select("node", "n", "one"), "node")
+    asked = asked.select("node", "n", F.col("one.id").alias("own_id"), F.col("one.h").alias("own_h"))
+    found = _keyed(docs, id_col, text_col).join(
+        asked, (F.col("k.h") == F.col("own_h")) & F.col("k.id").eqNullSafe(F.col("own_id")))
+    return write_and_read(found.groupBy("node").agg(
+        F.min("n").alias("n"), F.any_value("t").alias("t")), "minhash")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     width: int = 2, percent: int = 80, bands: int = BANDS, rows: int = ROWS
                     ) -> DataFrame:
@@ -175,15 +179,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).filter("size > 1")
     members = write_and_read(rows_.join(shared, "key").select(
         "key", "node", "size", F.col("m").bitwiseXOR(F.col("key")).alias("centre")), "minhash")
-    stars = write_and_read(_pairs(members.filter("node <> centre"), "node", "centre"), "minhash")
-    links = confirmed(stars, classes, docs, id_col, text_col, width, percent)
-    roots = _roots(classes, links)
-    rest = _between(members, roots).join(stars, ["a", "b"], "left_anti")
-    rest = write_and_read(rest, "minhash")
+    texts = _texts(members, classes, docs, id_col, text_col)
+    tested = write_and_read(_pairs(members.filter("node <> centre"), "node", "centre"), "minhash")
+    links = confirmed(tested, texts, width, percent)
+    roots = _merged(classes.select("node", F.col("node").alias("root")), links)
+    open_ = _open(members.filter("size > 2").select(
+        "key", "node", (F.col("node") == F.col("centre")).alias("used")), roots)
+    while not open_.isEmpty():
+        hubs = open_.filter("not used").join(_scores(tested, links), "node").groupBy("key").agg(
+            F.max(F.struct("score", F.col("node").bitwiseXOR(F.col("key")).alias("turned"), "node",
+                           "root")).alias("hub")).select(
+            "key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
+        met = open_.join(hubs, "key")
+        fresh = write_and_read(_pairs(met.filter("not used and root <> hub_root"), "node", "hub").join(
+            tested, ["a", "b"], "left_anti"), "minhash")
+        more = confirmed(fresh, texts, width, percent)
+        tested, links = tested.unionByName(fresh), links.unionByName(more)
+        if more.isEmpty():
+            break
+        roots = _merged(roots, more)
+        open_ = _open(met.select("key", "node", (F.col("used") | (F.col("node") == F.col("hub"))
+                                                 ).alias("used")), roots)
+    rest = write_and_read(_between(open_).join(tested, ["a", "b"], "left_anti"), "minhash")
     if not rest.isEmpty():
-        more = confirmed(rest, classes, docs, id_col, text_col, width, percent)
-        links = links.unionByName(more)
-        roots = _roots(classes, links)
+        roots = _merged(roots, confirmed(rest, texts, width, percent))
     named = classes.select("node", "set", "least").join(roots, "node")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("set", "component_id")
@@ -198,23 +217,41 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _roots(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) of all classes."""
-    found = components(links)
-    return write_and_read(classes.select("node").join(found, "node", "left").select(
-        "node", F.coalesce("root", "node").alias("root")), "minhash")
-
-
-def _between(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that its star leaves in different components, one of
-    them outside the component that has most members there."""
-    placed = members.filter("size > 2").join(roots, "node")
-    counts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
-                                     F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_ = write_and_read(placed.join(main, "key").select(
-        "key", "node", "root", "main", "centre"), "minhash")
-    outer = open_.filter("root <> main and node <> centre").select(
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after the components that new links connect have become one."""
+    over = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+    found = components(over.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    found = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return write_and_read(roots.join(found, "root", "left").select(
+        "node", F.coalesce("top", "root").alias("root")), "minhash")
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, used, root): the buckets whose members lie in several components, where two
+    of them have not been centres."""
+    placed = members.join(roots, "node")
+    several = placed.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"),
+        F.count_if(~F.col("used")).alias("new")).filter("low <> high and new > 1").select("key")
+    return write_and_read(placed.join(several, "key").select("key", "node", "used", "root"), "minhash")
+
+
+def _scores(tested: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, score): links of a node times the share of its tests that they are."""
+    ends = lambda df, w: df.select(F.explode(F.array("a", "b")).alias("node"),
+                                   F.lit(w).cast("bigint").alias("linked"))
+    return ends(tested, 0).unionByName(ends(links, 1)).groupBy("node").agg(
+        (F.pow(F.sum("linked"), 2) / F.count_if(F.col("linked") == 0)).alias("score"))
+
+
+def _between(open_: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket that lie in different components, one of them outside the
+    component that has most members there, and neither of which was a centre."""
+    counts = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select(
+        "key", F.col("m.root").alias("main"))
+    own = open_.filter("not used")
+    outer = own.join(main, "key").filter("root <> main").select(
         "key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    pairs = open_.filter("node <> centre").join(outer, "key").filter("root <> x_root")
-    return _pairs(pairs, "node", "x")
+    return _pairs(own.join(outer, "key").filter("root <> x_root"), "node", "x")

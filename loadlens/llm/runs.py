@@ -269,6 +269,8 @@ def find_runs(words: np.ndarray, starts: np.ndarray, min_words: int = 6, exponen
               ) -> tuple[np.ndarray, ...]:
     """(start, end, period) of all runs in the documents that begin at ``starts``, by start,
     then period; ``words`` are the numbered words of all of them in a row."""
+    if min_words < 6 or exponent < 4:
+        raise ValueError("runs are found from 6 words and exponent 4 on")
     if len(words) < min_words:
         return (np.zeros(0, np.int64),) * 3
     starts = np.unique(starts[starts < len(words)])

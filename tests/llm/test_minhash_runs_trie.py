@@ -164,7 +164,7 @@ def test_runs_equal_brute_force():
         docs = [some_words(rng) for _ in range(rng.randrange(1, 7))]
         words = np.array(sum(docs, []), np.int64)
         starts = np.cumsum([0] + [len(d) for d in docs])[:-1]
-        least, exponent = rng.choice([(6, 4), (4, 2), (10, 3)])
+        least, exponent = rng.choice([(6, 4), (8, 5), (11, 4), (6, 7)])
         got = [r for r in zip(*(a.tolist() for a in runs.find_runs(words, starts, least, exponent)))]
         assert got == sorted(got, key=lambda r: (r[0], r[2]))
         assert sorted(got) == sorted((s + o, e + o, q) for d, o in zip(docs, starts.tolist())
@@ -350,3 +350,17 @@ def test_local_totals_on_random_trees():
         leaves, saved = [0] * n, [0] * n
         trie.local_totals([0] * n, above, weight, [1] * n, value, leaves, saved)
         assert saved == want
+
+
+def test_copies_that_only_their_original_links(spark):
+    # Copies differ from each other by too much, and from the original by little.
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(60)]
+    docs = [(1000, " ".join(base))]
+    for i in range(40):
+        t = list(base)
+        for at in rng.sample(range(0, 60, 3), 2):
+            t[at] = f"c{i}x{at}"
+        docs.append((i, " ".join(t)))
+    got = near(spark, docs)
+    assert got == naive_components(docs) and {r[2] for r in got} == {0}
