@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -62,11 +63,30 @@ def test_run_and_registration(spark, folder):
     at, _ = folder
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+    assert {f"op{n}" for n in (11, 12, 13)} <= {n.split("_")[0] for n in names}
     assert names["pipeline"](spark, at).count() == 42
     assert set(__spark_entry__.oracle_sql()) <= set(names)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
+CLASHING = ("copies", "found", "k", "_k", "own", "_own", "_key", "_h", "_clean", "row", "hash",
+            "places", "component_id", "fp", "n_hit", "lang_pred", "a.b")
+
+
+@pytest.mark.parametrize("stage", [s for s in corpus_pipeline.STAGES if s[0] != "tokens"],
+                         ids=lambda s: s[0])
+def test_columns_of_any_name_stay(spark, folder, stage):
+    at, _ = folder
+    plain = spark.read.parquet(f"{at}/documents.parquet")
+    docs = plain.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHING])
+    got = stage[1](spark, docs, at)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert len(rows) == stage[1](spark, plain, at).count() > 0
+    for r in rows:
+        assert [r[c] for c in CLASHING] == [f"own {c}" for c in CLASHING]
+
+
 def test_language_stage_without_labels(spark, folder):
     docs = spark.createDataFrame(
         [(1, "some words", None), (2, "12 ...", None), (3, None, None), (None, "één", None)],
