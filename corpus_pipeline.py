@@ -16,10 +16,17 @@ from loadlens.llm.workers import is_training_row
 from loadlens.session import write_and_read
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """Documents with ``_k``: id and text hash, which tell rows apart but for exact repeats."""
-    return docs.withColumn("_k", F.struct(F.col("doc_id").alias("id"),
-                                          F.xxhash64("text").alias("h")))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, k, text): each document whole, whatever its columns are called, and its id and text
+    hash, which tell rows apart but for exact repeats."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                       F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("k"),
+                       "text")
+
+
+def _rows(keyed: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs``, some of them changed."""
+    return keyed.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _same(a: str, b: str):
@@ -33,32 +40,34 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                        public_tokenizers.path(BYTE_BPE))
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(_key(docs), model, id_col="_k").filter("lang_pred <> 'und'")
-    found = write_and_read(found.groupBy("_k").agg(F.first("lang_pred").alias("found")),
-                           "pipeline").withColumnRenamed("_k", "_own")
-    kept = _key(docs).join(found, _same("_k", "_own"))
-    return kept.withColumn("lang", F.col("found")).select(*docs.columns)
+    keyed = _keyed(docs)
+    found = langid.predict(keyed, model, id_col="k").filter("lang_pred <> 'und'")
+    found = write_and_read(found.groupBy(F.col("k").alias("own")).agg(
+        F.first("lang_pred").alias("found")), "pipeline")
+    return _rows(keyed.join(found, _same("k", "own")), docs, lang=F.col("found"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate component: the one with the smallest id, the
     smallest text hash among equal ids, and one of exact repeats."""
-    own = write_and_read(simhash.fingerprints(_key(docs), id_col="_k"), "pipeline")
-    named = simhash.fingerprint_components(own, "_k").withColumnRenamed("component_id", "_own")
-    first = write_and_read(own.groupBy("_k").agg(F.count(F.lit(1)).alias("copies")).join(
-        named.select("_own").distinct(), _same("_k", "_own")).select("_own", "copies"), "pipeline")
-    kept = _key(docs).join(first, _same("_k", "_own"))
-    alone = kept.filter("copies = 1").select(*docs.columns)
-    repeated = kept.filter("copies > 1").dropDuplicates(["_k"]).select(*docs.columns)
-    return alone.unionByName(repeated)
+    keyed = _keyed(docs)
+    own = write_and_read(simhash.fingerprints(keyed, id_col="k"), "pipeline")
+    named = simhash.fingerprint_components(own, "k").select(F.col("component_id").alias("own")).distinct()
+    first = write_and_read(own.groupBy("k").agg(F.count(F.lit(1)).alias("copies")).join(
+        named, _same("k", "own")).select("own", "copies"), "pipeline")
+    kept = keyed.join(first, _same("k", "own"))
+    alone = kept.filter("copies = 1").select("row")
+    repeated = kept.filter("copies > 1").dropDuplicates(["k"]).select("row")
+    return _rows(alone.unionByName(repeated), docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    hit = decontaminate.decontaminate(_key(docs), table(spark, sf_dir, "benchmark"), id_col="_k")
-    hit = write_and_read(hit.filter("n_hit > 0").select(F.col("_k").alias("_own")).distinct(),
+    keyed = _keyed(docs)
+    hit = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="k")
+    hit = write_and_read(hit.filter("n_hit > 0").select(F.col("k").alias("own")).distinct(),
                          "pipeline")
-    return _key(docs).join(hit, _same("_k", "_own"), "left_anti").select(*docs.columns)
+    return _rows(keyed.join(hit, _same("k", "own"), "left_anti"), docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +75,8 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     words = secrets.dictionary_words(spark, public_tokenizers.path(WORDS))
     found = write_and_read(secrets.scan(docs, words), "pipeline")
     clean = secrets.redact(docs, found)
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    size = F.length("text").cast("bigint")
+    return clean.select(*[size.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
