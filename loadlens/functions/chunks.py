@@ -61,57 +61,55 @@ def with_neighbours(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    value: str,
+    *values: str,
     ts: str = "ts",
 ) -> DataFrame:
-    """Add row position and the nearest non-null values on both sides.
+    """Add row position and, per value column, its nearest non-null values on both sides.
 
     Output columns: ``_i`` (position in the key, from 1), ``_pv``/``_pi`` (value
     and position of the last non-null row at or before), ``_nv``/``_ni`` (first
-    non-null row at or after).
+    non-null row at or after). With several values their names end with the number of
+    the value, from 0. All values share one window and one summary.
     """
+    ends = {v: "" if len(values) == 1 else str(j) for j, v in enumerate(values)}
     d = with_chunk(df, ts)
     part = [*keys, CHUNK]
     w = W.partitionBy(*part).orderBy(*order)
     d = d.withColumn("_k", F.row_number().over(w))
-    seen = F.when(F.col(value).isNotNull(),
-                  F.struct(F.col(value).alias("v"), F.col("_k").alias("k")))
-    d = d.withColumn("_seen", seen)
-    d = d.withColumn("_before", F.last("_seen", True).over(
-        w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    d = d.withColumn("_after", F.first("_seen", True).over(
-        w.rowsBetween(W.currentRow, W.unboundedFollowing)))
-
+    d = d.withColumns({f"_seen{e}": F.when(F.col(v).isNotNull(), F.struct(
+        F.col(v).alias("v"), F.col("_k").alias("k"))) for v, e in ends.items()})
+    back, ahead = (w.rowsBetween(W.unboundedPreceding, W.currentRow),
+                   w.rowsBetween(W.currentRow, W.unboundedFollowing))
+    d = d.withColumns({
+        **{f"_before{e}": F.last(f"_seen{e}", True).over(back) for e in ends.values()},
+        **{f"_after{e}": F.first(f"_seen{e}", True).over(ahead) for e in ends.values()}})
+
+    at = {e: F.when(F.col(f"_seen{e}").isNotNull(), F.col("_k")) for e in ends.values()}
     summary = d.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("_k"))).alias("_first"),
-        F.max_by("_seen", F.when(F.col("_seen").isNotNull(), F.col("_k"))).alias("_last"),
-    )
+        *[F.min_by(f"_seen{e}", at[e]).alias(f"_first{e}") for e in ends.values()],
+        *[F.max_by(f"_seen{e}", at[e]).alias(f"_last{e}") for e in ends.values()])
     ws = W.partitionBy(*keys).orderBy(CHUNK) if keys else W.orderBy(CHUNK)
     past = ws.rowsBetween(W.unboundedPreceding, -1)
+    to_come = ws.rowsBetween(1, W.unboundedFollowing)
     summary = summary.withColumn("_off", F.coalesce(F.sum("_n").over(past), F.lit(0)))
 
     def globally(edge: str) -> Column:
         return F.when(F.col(edge).isNotNull(), F.struct(
             F.col(f"{edge}.v").alias("v"), (F.col(f"{edge}.k") + F.col("_off")).alias("k")))
 
-    summary = (
-        summary.withColumn("_first", globally("_first"))
-        .withColumn("_last", globally("_last"))
-        .withColumn("_pc", F.last("_last", True).over(past))
-        .withColumn("_nc", F.first("_first", True).over(
-            ws.rowsBetween(1, W.unboundedFollowing)))
-        .select(*part, "_off", "_pc", "_nc")
-    )
-    d = d.join(summary, part, "left")
-    inside = {s: F.col(s).isNotNull() for s in ("_before", "_after")}
-    return (
-        d.withColumn("_i", F.col("_k") + F.col("_off"))
-        .withColumn("_pv", F.when(inside["_before"], F.col("_before.v")).otherwise(F.col("_pc.v")))
-        .withColumn("_pi", F.when(inside["_before"], F.col("_before.k") + F.col("_off"))
-                    .otherwise(F.col("_pc.k")))
-        .withColumn("_nv", F.when(inside["_after"], F.col("_after.v")).otherwise(F.col("_nc.v")))
-        .withColumn("_ni", F.when(inside["_after"], F.col("_after.k") + F.col("_off"))
-                    .otherwise(F.col("_nc.k")))
-        .drop("_k", "_seen", "_before", "_after", "_off", "_pc", "_nc", CHUNK)
-    )
+    summary = summary.withColumns({f"{s}{e}": globally(f"{s}{e}") for e in ends.values()
+                                   for s in ("_first", "_last")})
+    summary = summary.select(
+        *part, "_off", *[F.last(f"_last{e}", True).over(past).alias(f"_pc{e}") for e in ends.values()],
+        *[F.first(f"_first{e}", True).over(to_come).alias(f"_nc{e}") for e in ends.values()])
+    d = d.join(summary, part, "left").withColumn("_i", F.col("_k") + F.col("_off"))
+    for e in ends.values():
+        for inside, edge, v, i in (("_before", "_pc", "_pv", "_pi"), ("_after", "_nc", "_nv", "_ni")):
+            own = F.col(inside + e).isNotNull()
+            d = d.withColumns({
+                v + e: F.when(own, F.col(f"{inside}{e}.v")).otherwise(F.col(f"{edge}{e}.v")),
+                i + e: F.when(own, F.col(f"{inside}{e}.k") + F.col("_off")).otherwise(
+                    F.col(f"{edge}{e}.k"))})
+    return d.drop("_k", "_off", CHUNK, *[c + e for e in ends.values() for c in (
+        "_seen", "_before", "_after", "_pc", "_nc")])

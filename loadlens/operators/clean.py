@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlens.functions.chunks import with_neighbours, with_previous
-from loadlens.functions.quantiles import exact_quantiles
+from loadlens.functions.quantiles import group_quantiles
 from loadlens.functions.scalars import count_if, floor_eps, true_if
 from loadlens.session import write_and_read
 
@@ -83,20 +83,24 @@ def remove_duplicates(df: DataFrame, seq: str = "ingest_seq", keep_count: bool =
     return out.select("customer_id", "ts", "_r.*", *(["_copies"] if keep_count else []))
 
 
-def interpolate(df: DataFrame, column: str = X, limit: int = 24,
+def interpolate(df: DataFrame, *columns: str, limit: int = 24,
                 order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Linear fill by row position; of a longer gap only the first ``limit`` rows.
+    """Linear fill of the columns (the energy, unless others are named) by row position; of a
+    longer gap only the first ``limit`` rows. All columns are filled from one window.
 
     The tail after the last value repeats it, rows before the first stay null.
     """
-    d = with_neighbours(df, ["customer_id"], list(order), column)
-    step = F.col("_i") - F.col("_pi")
-    line = F.col("_pv") + (F.col("_nv") - F.col("_pv")) * step / (F.col("_ni") - F.col("_pi"))
-    filled = (F.when(F.col(column).isNotNull(), F.col(column))
-              .when(F.col("_pi").isNull() | (step > limit), None)
-              .when(F.col("_ni").isNull(), F.col("_pv"))
-              .otherwise(line))
-    return d.withColumn(column, filled).drop("_i", "_pv", "_pi", "_nv", "_ni")
+    columns = columns or (X,)
+    d = with_neighbours(df, ["customer_id"], list(order), *columns)
+    filled = {}
+    for j, column in enumerate(columns):
+        pv, pi, nv, ni = (F.col(f"{c}{j}" if len(columns) > 1 else c)
+                          for c in ("_pv", "_pi", "_nv", "_ni"))
+        step = F.col("_i") - pi
+        filled[column] = (F.when(F.col(column).isNotNull(), F.col(column))
+                          .when(pi.isNull() | (step > limit), None).when(ni.isNull(), pv)
+                          .otherwise(pv + (nv - pv) * step / (ni - pi)))
+    return d.withColumns(filled).select(*df.columns)
 
 
 def forward_fill(df: DataFrame, column: str = X, order: tuple[str, ...] = ("ts",)) -> DataFrame:
@@ -107,12 +111,8 @@ def forward_fill(df: DataFrame, column: str = X, order: tuple[str, ...] = ("ts",
 def handle_missing(df: DataFrame, method: str = "interpolate", max_gap_hours: int = 6) -> DataFrame:
     """interpolate (also the reactive column), ffill, drop or zero."""
     if method == "interpolate":
-        out = interpolate(df, X, max_gap_hours * 4)
-        if "p_reactive_kwh" in df.columns:
-            # Written between the two, so that the second fill does not compute the first twice.
-            out = interpolate(write_and_read(out, "interpolated"), "p_reactive_kwh",
-                              max_gap_hours * 4)
-        return out
+        both = [c for c in (X, "p_reactive_kwh") if c in df.columns]
+        return interpolate(df, *both, limit=max_gap_hours * 4)
     if method == "ffill":
         return forward_fill(df)
     if method == "drop":
@@ -130,7 +130,7 @@ def mark_outliers(df: DataFrame, method: str = "iqr", iqr_factor: float = 3.0,
     if method in ("iqr", "quantile"):
         probs = ({"_q1": 0.25, "_q3": 0.75} if method == "iqr"
                  else {"_q1": 0.001, "_q3": 0.999})
-        b = exact_quantiles(df, ["customer_id"], X, probs)
+        b = group_quantiles(df, ["customer_id"], X, probs)
         if method == "iqr":
             iqr = F.col("_q3") - F.col("_q1")
             b = b.select("customer_id",

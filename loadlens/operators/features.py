@@ -19,7 +19,7 @@ AMI = ("observed_peak_ratio", "observed_tou_on_peak", "observed_night_ratio",
        "observed_power_factor", "pf_vs_prev_month", "observed_reactive_ratio")
 SPECIAL = ("n_workday", "n_holiday", "disruption_ratio")
 WEATHER = ("hdd_full", "cdd_full", "hdd_observed", "cdd_observed", "hdd_remainder",
-           "cdd_remainder")
+           "cdd_remainder", "precip_remainder", "rainy_hours_remainder", "solar_remainder")
 CATEGORY_CANDIDATES = ("region_code", "usage_purpose", "industry_code")
 EXTRA_NUMERIC = ("n_households", "contract_power_kw")
 

@@ -11,15 +11,15 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadlens.functions.linear import (Moments, fold_r2, pair_moments, ridge_solve, solve,
                                         vif_of)
 from loadlens.functions.scalars import daylight_hours, safe_corr, temperature_loss
 from loadlens.operators import baselines, clean, horizon as hz, metrics
-from loadlens.operators.features import FeatureSpec, KEYS
-from loadlens.session import write_and_read
+from loadlens.operators.features import FeatureSpec, KEYS, with_base
+from loadlens.session import checkpointed, write_and_read
 
 MISSING = -1e9  # far below every feature: trees send missing values down one side
 PRED = "pred_monthly_kwh"
@@ -42,8 +42,8 @@ def prepared(features: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 
 def _pipeline(spec: FeatureSpec, rounds: int, rate: float, depth: int, subsample: float,
-              early_stop: bool, label: str = "_target", bins: int = 64, seed: int = 7,
-              min_leaf: int = 1, tolerance: float = 0.001) -> Pipeline:
+              label: str = "_target", bins: int = 64, seed: int = 7,
+              min_leaf: int = 1) -> Pipeline:
     stages = []
     inputs = [f"_x_{c}" for c in spec.numeric]
     if spec.categorical:
@@ -52,13 +52,73 @@ def _pipeline(spec: FeatureSpec, rounds: int, rate: float, depth: int, subsample
                                     handleInvalid="keep"))
         inputs += [f"_i_{c}" for c in spec.categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="_features"))
-    stop = {"validationIndicatorCol": "_is_val", "validationTol": tolerance} if early_stop else {}
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="_residual",
                        maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample,
-                       maxBins=bins, minInstancesPerNode=min_leaf, seed=seed, **stop)
+                       maxBins=bins, minInstancesPerNode=min_leaf, seed=seed,
+                       checkpointInterval=10, maxMemoryInMB=512)
     return Pipeline(stages=[*stages, gbt])
 
 
+def best_prefix(errors: list[float], patience: int) -> tuple[int, bool]:
+    """How many first rounds have the least error, looking on until ``patience`` rounds in a row
+    bring no new least; and whether that many were seen, so that more rounds cannot matter."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def first_rounds(model: PipelineModel, n: int) -> PipelineModel:
+    """The model of the first ``n`` boosting rounds, a whole model that can be saved."""
+    whole = model.stages[-1]
+    if n >= whole.getNumTrees:
+        return model
+    sc = SparkSession.active().sparkContext
+    jvm, java = sc._jvm, whole._java_obj
+    trees, weights = java.trees(), java.treeWeights()
+    kept = sc._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    shares = sc._gateway.new_array(jvm.double, n)
+    for i in range(n):
+        kept[i], shares[i] = trees[i], weights[i]
+    part = jvm.org.apache.spark.ml.regression.GBTRegressionModel(
+        whole.uid, kept, shares, java.numFeatures())
+    java.copyValues(part, jvm.org.apache.spark.ml.param.ParamMap.empty())
+    return PipelineModel([*model.stages[:-1], GBTRegressionModel(part)])
+
+
+def error_curve(model: PipelineModel, rows: DataFrame) -> list[float]:
+    """Mean squared error on ``rows`` after each boosting round, in one pass over them."""
+    for stage in model.stages[:-1]:
+        rows = stage.transform(rows)
+    return model.stages[-1].evaluateEachIteration(rows, "squared")
+
+
+def boosted(train_rows: DataFrame, val_rows: DataFrame | None, build: Callable[[int], Pipeline],
+            rounds: int, patience: int) -> PipelineModel:
+    """Boost up to ``rounds`` rounds and keep the prefix that is best on the validation rows.
+
+    Every round's error is looked at, so a round without a gain ends nothing before ``patience``
+    of them in a row. A first fit of four times the patience is enough where the curve has
+    turned by then; otherwise all rounds are run, with the same first trees.
+    """
+    checkpointed(train_rows.sparkSession)  # long boosting cuts its lineage there
+    if val_rows is None:
+        return build(rounds).fit(train_rows)
+    for n in sorted({min(rounds, 4 * patience), rounds}):
+        model = build(n).fit(train_rows)
+        best, turned = best_prefix(error_curve(model, val_rows), patience)
+        if turned:
+            break
+    return first_rounds(model, best)
+
+
+def rounds_of(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
+
+
 def category_bins(d: DataFrame, spec: FeatureSpec, least: int = 64) -> int:
     """Split candidates needed: trees want one more bin than the largest category has labels
     (unseen labels share one)."""
@@ -70,11 +130,12 @@ def category_bins(d: DataFrame, spec: FeatureSpec, least: int = 64) -> int:
 
 def train(features: DataFrame, spec: FeatureSpec, train_end: Column | None = None,
           rounds: int = 400, rate: float = 0.05, depth: int = 5, subsample: float = 0.9,
-          early_stop: bool = True, min_leaf: int = 20) -> PipelineModel:
-    """Boosted trees on the residual, at most ``rounds`` of them.
+          early_stop: bool = True, min_leaf: int = 20, patience: int = 30) -> PipelineModel:
+    """Boosted trees on the residual: of at most ``rounds`` rounds those up to the best on the
+    validation months, where ``patience`` rounds without a new best end the search.
 
-    Without ``train_end`` the suggested split holds: its validation months stop the boosting
-    (short data have none, and all rounds run) and its test months are not seen at all. With
+    Without ``train_end`` the suggested split holds: its validation months choose the rounds
+    (short data have none, and all rounds stay) and its test months are not seen at all. With
     it, later rows are the validation rows.
     The prepared matrix is written once: boosting reads it in every round.
     """
@@ -88,9 +149,11 @@ def train(features: DataFrame, spec: FeatureSpec, train_end: Column | None = Non
         d = d.where(~F.col("_is_val"))
     cols = [c for c in d.columns if c[0] == "_"]
     d = write_and_read(d.select(*cols), "train")
-    early_stop = early_stop and not d.where("_is_val").isEmpty()
-    return _pipeline(spec, rounds, rate, depth, subsample, early_stop, min_leaf=min_leaf,
-                     bins=category_bins(d, spec)).fit(d)
+    val = d.where("_is_val")
+    bins = category_bins(d, spec)
+    return boosted(d.where("not _is_val"), val if early_stop and not val.isEmpty() else None,
+                   lambda n: _pipeline(spec, n, rate, depth, subsample, min_leaf=min_leaf, bins=bins),
+                   rounds, patience)
 
 
 def predict(model: PipelineModel, features: DataFrame, spec: FeatureSpec,
@@ -178,10 +241,15 @@ def permutation_importance(model: PipelineModel, features: DataFrame, spec: Feat
 
 
 def feature_target_correlation(features: DataFrame, columns, target="full_month_kwh") -> DataFrame:
-    return features.agg(*[safe_corr(F.col(c).cast("double"), F.col(target)).alias(c)
+    """One row per feature, with its rank by the strength of the correlation (1 is strongest)."""
+    from pyspark.sql import Window as W
+
+    each = features.agg(*[safe_corr(F.col(c).cast("double"), F.col(target)).alias(c)
                           for c in columns]).select(F.explode(F.array(*[
                               F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr"))
                               for c in columns])).alias("s")).select("s.*")
+    order = W.orderBy(F.abs("corr").desc_nulls_last(), "feature")  # one row per feature
+    return each.withColumn("rank", F.row_number().over(order))
 
 
 # --- feature selection --------------------------------------------------------------------------
@@ -192,14 +260,23 @@ def select_features(features: DataFrame, columns: list[str], target: str = "full
                     max_iterations: int | None = None) -> DataFrame:
     """Correlation rank, removal of correlated pairs, then of high variance inflation.
 
-    One pass yields the pairwise moments; the greedy steps work on that p by p
-    table. Variance inflation uses the pairwise correlations, which are positive
-    definite for complete rows. Features leave one by one until none is above
-    ``vif_threshold``; ``max_iterations`` can end that earlier.
+    One pass yields the moments of all pairs per pattern of missing values; the greedy steps
+    work on those p by p tables. Correlations use the rows where a pair is present. Variance
+    inflation uses complete rows, those that hold all features still in question: the patterns
+    without a gap there are added up, so rows come back as features with gaps leave. Features
+    leave one by one until none is above ``vif_threshold``; ``max_iterations`` can end that
+    earlier.
     """
     names = [*columns, target]
+    usable = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
+    pattern = F.concat(*[F.when(u, "1").otherwise("0") for u in usable])
 
-    def choose(_, m: Moments) -> pd.DataFrame:
+    def choose(parts: dict[str, Moments]) -> pd.DataFrame:
+        def added(keep) -> Moments:
+            blocks = [np.stack([m.n, m.s, m.ss, m.xy]) for g, m in parts.items() if keep(g)]
+            return Moments(sum(blocks) if blocks else np.zeros((4, len(names), len(names))), names)
+
+        m = added(lambda g: True)
         c = m.corr()
         t = len(columns)
         n = m.n[:t, t]
@@ -219,8 +296,8 @@ def select_features(features: DataFrame, columns: list[str], target: str = "full
         current = [f for f in kept if f not in status]
 
         def inflation(fs):
-            i = [pos[f] for f in fs]
-            return dict(zip(fs, vif_of(np.nan_to_num(c[np.ix_(i, i)]))))
+            whole = added(lambda g: all(g[pos[f]] == "1" for f in fs))
+            return dict(zip(fs, vif_of(whole.cov(fs)))) if whole.n.max() > len(fs) else {}
 
         for _ in range(len(columns) if max_iterations is None else max_iterations):
             v = inflation(current) if len(current) > 1 else {}
@@ -237,9 +314,9 @@ def select_features(features: DataFrame, columns: list[str], target: str = "full
             "vif": [float(v.get(f, np.nan)) for f in columns],
             "status": [status.get(f, "selected") for f in columns]})
 
-    return solve(pair_moments(features, names), names, choose,
+    return solve(pair_moments(features.withColumn("_gaps", pattern), names, "_gaps"), names, choose,
                  "feature string, corr_with_target double, rank int, n_valid bigint, vif double, "
-                 "status string")
+                 "status string", together=True)
 
 
 # --- residual correction ------------------------------------------------------------------------
@@ -347,23 +424,43 @@ def residual_patterns(rows: DataFrame, min_n: int = 10, residual: str = "r_targe
 
 # --- sliding evaluation -------------------------------------------------------------------------
 
+Scorer = Callable[[DataFrame, str], DataFrame]
+
+
+def scorers(base: PipelineModel, tuned: PipelineModel, correction: DataFrame,
+            spec: FeatureSpec) -> dict[str, Scorer]:
+    """The linear, base, tuned and corrected models, each as a function that adds its column."""
+
+    def corrected(d: DataFrame, out: str) -> DataFrame:
+        rows, cols = residual_features(predict(base, d, spec))
+        done = apply_correction(rows, correction, cols, "_corrected")
+        return done.withColumn(out, F.greatest("partial_kwh", "_corrected")).select(*d.columns, out)
+
+    return {"linear": lambda d, out: d.withColumn(out, baselines.partial_linear()),
+            "base": lambda d, out: predict(base, d, spec, out),
+            "tuned": lambda d, out: predict(tuned, d, spec, out),
+            "corrected": corrected}
+
+
 def sliding_evaluation(
     daily: DataFrame, monthly: DataFrame, meter_days: tuple[int, ...],
-    models: dict[str, Callable[[DataFrame], DataFrame]] | None = None, horizons=hz.HORIZONS,
+    models: dict[str, Scorer] | None = None, horizons=hz.HORIZONS,
 ) -> DataFrame:
-    """Predictions and errors for every meter day in one job.
+    """Predictions and errors of every model for every meter day in one job.
 
-    Meter days are exploded on the daily table before the horizons are built. A
-    model is a function that adds the prediction column to the context rows.
+    Meter days are exploded on the daily table before the horizons are built, and the rows with
+    their lags are built once: every model adds a column to them, and the columns become rows
+    (``model``) in the end. Features are those known for any meter day.
     """
     rows = hz.build_horizon_table(daily, horizons, meter_days=meter_days)
-    rows = hz.attach_alarm_context(rows, monthly)
-    models = models or {"linear": lambda d: d.withColumn(PRED, baselines.partial_linear())}
-    out = None
-    for name, fn in models.items():
-        part = metrics.error_columns(fn(rows)).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    rows = with_base(hz.attach_alarm_context(rows, monthly))
+    models = models or {"linear": lambda d, out: d.withColumn(out, baselines.partial_linear())}
+    columns = list(rows.columns)
+    for name, add in models.items():
+        rows = add(rows, f"_p_{name}")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"_p_{n}").alias(PRED))
+                               for n in models]))
+    return metrics.error_columns(rows.withColumn("_m", each).select(*columns, "_m.*"))
 
 
 # --- tuning -------------------------------------------------------------------------------------
@@ -394,8 +491,10 @@ def random_grid(n: int, seed: int = 7) -> list[dict]:
 
 
 def tune(features: DataFrame, spec: FeatureSpec, trials: int = 150, rounds: int = 400,
-         seed: int = 7, fit_rows: int | None = None, at_once: int = 4) -> DataFrame:
-    """Train on the first part, score the validation part; one row per setting, best first.
+         seed: int = 7, fit_rows: int | None = None, at_once: int = 4,
+         patience: int = 30) -> DataFrame:
+    """Train on the first part, score the validation part; one row per setting, best first, with
+    the rounds that were kept.
 
     ``fit_rows`` bounds the labelled rows that the settings are fitted on, chosen by a hash of
     the keys; all validation rows are scored. ``at_once`` settings train side by side.
@@ -409,19 +508,21 @@ def tune(features: DataFrame, spec: FeatureSpec, trials: int = 150, rounds: int
     ev, bins = CustomerSpreadEvaluator(), category_bins(d, spec)
     early_stop = not val_rows.isEmpty()
 
-    def trial(g: dict) -> float:
-        m = _pipeline(spec, rounds, g["rate"], g["depth"], g["subsample"], early_stop,
-                      min_leaf=g["min_leaf"], bins=bins).fit(fitted)
-        return ev.evaluate(m.transform(val_rows))
+    def trial(g: dict) -> tuple[int, float]:
+        m = boosted(fitted.where("not _is_val"), val_rows if early_stop else None,
+                    lambda n: _pipeline(spec, n, g["rate"], g["depth"], g["subsample"],
+                                        min_leaf=g["min_leaf"], bins=bins), rounds, patience)
+        return rounds_of(m), ev.evaluate(m.transform(val_rows))
 
     grid = random_grid(trials, seed)
     with ThreadPoolExecutor(at_once) as pool:
         scores = list(pool.map(trial, grid))
-    rows = [(i, g["rate"], g["depth"], g["subsample"], g["min_leaf"], s)
-            for i, (g, s) in enumerate(zip(grid, scores))]
+    rows = [(i, g["rate"], g["depth"], g["subsample"], g["min_leaf"], n, s)
+            for i, (g, (n, s)) in enumerate(zip(grid, scores))]
     return features.sparkSession.createDataFrame(
         sorted(rows, key=lambda r: r[-1]),
-        "trial int, rate double, depth int, subsample double, min_leaf int, cvrmse_median double")
+        "trial int, rate double, depth int, subsample double, min_leaf int, rounds int, "
+        "cvrmse_median double")
 
 
 # --- solar generation ---------------------------------------------------------------------------
@@ -448,7 +549,7 @@ def train_solar(rows: DataFrame, target: str = "btm_mwh", rounds: int = 200) ->
     last = d.agg(F.max("year_month").alias("_last"))
     d = d.join(F.broadcast(last)).where(
         F.col("year_month") <= clean.default_train_end(F.col("_last"))).drop("_last")
-    return _pipeline(spec, rounds, 0.05, 4, 1.0, False, label=target).fit(d)
+    return boosted(d, None, lambda n: _pipeline(spec, n, 0.05, 4, 1.0, label=target), rounds, 0)
 
 
 def predict_solar(model: PipelineModel, rows: DataFrame, out: str = "pred_btm_mwh") -> DataFrame:

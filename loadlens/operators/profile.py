@@ -373,10 +373,12 @@ NEEDS = {"power_factor": ("p_reactive_kwh",), "max_demand_ratio": ("max_demand_k
 
 
 def run_profile(df: DataFrame, write: Callable[[str, DataFrame], None],
-                skip: frozenset[str] = frozenset()) -> DataFrame:
-    """Write every statistic; a failing one is recorded and does not stop the others."""
+                skip: frozenset[str] = frozenset(),
+                statistics: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """Write every statistic (or those given); a failing one is recorded and does not stop the
+    others."""
     rows = []
-    for name, stat in STATISTICS.items():
+    for name, stat in (STATISTICS if statistics is None else statistics).items():
         if name in skip:
             rows.append((name, "skipped", "on request"))
             continue
@@ -399,6 +401,15 @@ def hourly_series_profile(series: DataFrame, value: str) -> DataFrame:
         F.avg(value).alias("mean"), F.sum(value).alias("total"), F.max(value).alias("max"))
 
 
+def hourly_series_years(series: DataFrame, value: str) -> DataFrame:
+    """Per year: first and last time, rows against the hours of the year, and nulls."""
+    last_day = F.make_date(F.col("year"), F.lit(12), F.lit(31))
+    return series.groupBy(F.year("ts").alias("year")).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.count(F.lit(1)).alias("n_rows"), count_if(F.col(value).isNull()).alias("n_null")
+    ).withColumn("expected_rows", F.dayofyear(last_day).cast("bigint") * 24)
+
+
 def hourly_gap_profile(series: DataFrame) -> DataFrame:
     """Gap statistics of a series: shortest, median, longest and most common gap."""
     g = gaps(series, [])
@@ -409,23 +420,49 @@ def hourly_gap_profile(series: DataFrame) -> DataFrame:
         F.broadcast(q)).join(F.broadcast(common))
 
 
-def source_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, null rate, distinct estimate, and numeric range."""
-    cols = _plain_columns(df)
-    types = dict(df.dtypes)
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in cols:
-        num = F.col(c).cast("string").try_cast("double")
-        aggs += [count_if(F.col(c).isNull()).alias(f"_m_{c}"),
-                 F.approx_count_distinct(F.col(c)).alias(f"_d_{c}"),
-                 F.min(num).alias(f"_a_{c}"), F.max(num).alias(f"_b_{c}"),
-                 F.avg(num).alias(f"_v_{c}")]
-    items = F.array(*[F.struct(
-        F.lit(c).alias("name"), F.lit(types[c]).alias("dtype"),
-        ratio(F.col(f"_m_{c}").cast("double"), F.col("_n")).alias("null_rate"),
-        F.col(f"_d_{c}").alias("n_distinct"), F.col(f"_a_{c}").alias("min"),
-        F.col(f"_b_{c}").alias("max"), F.col(f"_v_{c}").alias("mean")) for c in cols])
-    return df.agg(*aggs).select("_n", F.explode(items).alias("s")).select(
-        F.col("_n").alias("n_rows"), "s.*")
+# Standard names that a source's columns are matched with.
+STANDARD = ("customer_id", "ts", "contract_type", "p_active_kwh", "p_reactive_kwh", "p_apparent_kwh",
+            "max_demand_kw", "contract_power_kw", "n_households", "region_code", "region_sub",
+            "supply_method", "usage_purpose", "industry_code")
+
+
+def suggested_name(name: Column, standard=STANDARD, furthest: float = 0.4) -> Column:
+    """The standard name that is nearest by edits, letters and digits alone compared; null if
+    more than ``furthest`` of the longer name would have to change."""
+    plain = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+    ways = []
+    for s in standard:
+        own = s.replace("_", "")
+        far = F.levenshtein(plain, F.lit(own)) / F.greatest(F.length(plain), F.lit(len(own)))
+        ways.append(F.struct(far.alias("far"), F.lit(s).alias("name")))
+    best = F.array_min(F.array(*ways))
+    return F.when(best["far"] <= furthest, best["name"])
+
 
+def source_profile(df: DataFrame, samples: int = 3) -> DataFrame:
+    """Per column: type, rows, null rate, distinct values, sample values, the range, mean and
+    deviation of what reads as a number, and the standard name that the column's is nearest to.
 
+    Rows collapse to one count per column and value before anything is shuffled, so distinct
+    counts are exact and repeated values cost nothing. Sample i is the value with the smallest
+    hash under seed i: the same whatever the order or the number of tasks.
+    """
+    cols = _plain_columns(df)
+    types = dict(df.dtypes)
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(types[c]).alias("dtype"),
+                                         F.col(c).cast("string").alias("value")) for c in cols]))
+    counts = df.select(cells.alias("s")).select("s.*").groupBy("name", "dtype", "value").agg(
+        F.count(F.lit(1)).alias("c"))
+    v, c, x = F.col("value"), F.col("c"), F.col("value").try_cast("double")
+    picks = [F.min_by(v, F.when(v.isNotNull(), F.md5(F.concat(F.lit(str(i)), v).cast("binary"))))
+             for i in range(samples)]
+    n = F.sum(F.when(x.isNotNull(), c))
+    mean = ratio(F.sum(x * c), n)
+    out = counts.groupBy("name", "dtype").agg(
+        F.sum("c").alias("n_rows"),
+        ratio(F.sum(F.when(v.isNull(), c).otherwise(0)).cast("double"), F.sum("c")).alias("null_rate"),
+        F.count(v).alias("n_distinct"),
+        F.array_sort(F.array_distinct(F.array_compact(F.array(*picks)))).alias("samples"),
+        F.min(x).alias("min"), F.max(x).alias("max"), mean.alias("mean"),
+        F.sqrt(F.greatest(ratio(F.sum(x * x * c), n) - mean * mean, F.lit(0.0))).alias("std"))
+    return out.withColumn("suggested", suggested_name(F.col("name")))

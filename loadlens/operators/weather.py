@@ -216,19 +216,28 @@ def split_observed_remainder(hourly: DataFrame, horizons=(10, 20), hdd_base: flo
 
 def degree_features(hourly: DataFrame, horizons=(10, 20),
                     remainder: DataFrame | None = None) -> DataFrame:
-    """HDD and CDD of the mean daily temperature of the month, its observed and its rest.
+    """HDD and CDD of the mean daily temperature of the month, its observed and its rest, and
+    the rain and radiation of the rest (null where the source has none).
 
     ``remainder`` (station_id, month, temp_c) replaces the rest, as a forecast
     of typical weather would.
     """
+    have = {c: F.col(c) if c in hourly.columns else F.lit(None).cast("double")
+            for c in ("precip_mm", "solar_mj")}
     day = hourly.groupBy("station_id", F.to_date("ts").alias("date")).agg(
-        F.avg("temp_c").alias("t"))
+        F.avg("temp_c").alias("t"), F.sum(have["precip_mm"]).alias("precip"),
+        F.count(F.when(have["precip_mm"] > 0, 1)).alias("rainy_hours"),
+        F.sum(have["solar_mj"]).alias("solar"))
+    if "precip_mm" not in hourly.columns:
+        day = day.withColumn("rainy_hours", F.lit(None).cast("bigint"))
     d = day.withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in horizons])))
     seen = F.dayofmonth("date") <= F.col("horizon_days")
     m = d.groupBy("station_id", F.trunc("date", "MM").alias("year_month"), "horizon_days").agg(
         F.avg("t").alias("temp_full_mean"),
         F.avg(F.when(seen, F.col("t"))).alias("temp_observed_mean"),
-        F.avg(F.when(~seen, F.col("t"))).alias("temp_remainder_mean"))
+        F.avg(F.when(~seen, F.col("t"))).alias("temp_remainder_mean"),
+        *[F.sum(F.when(~seen, F.col(c))).alias(f"{c}_remainder")
+          for c in ("precip", "rainy_hours", "solar")])
     if remainder is not None:
         r = remainder.select("station_id", F.col("month").alias("_m"), F.col("temp_c").alias("_t"))
         m = m.withColumn("_m", F.month("year_month")).join(

@@ -305,14 +305,14 @@ def horizon_station(spark, sf):
 
 
 @query("month_weather_join", "customer_id year_month:s horizon_days:i cdh_total:6 hdh_total:6 "
-       "temp_mean:6", "C6 C8 A15", """
+       "temp_mean:9", "C6 C8 A15", """
     SELECT h.customer_id, h.year_month, horizon_days, cdh_total, hdh_total, temp_mean
     FROM horizon_station h LEFT JOIN weather_month USING (station_id, year_month)""")
 def month_weather_join(spark, sf):
     return wx.join_month_weather(horizon_station(spark, sf), month_of(spark, sf))
 
 
-@query("typical_weather_join", "customer_id year_month:s horizon_days:i cdh_total:6 temp_mean:6",
+@query("typical_weather_join", "customer_id year_month:s horizon_days:i cdh_total:6 temp_mean:9",
        "C6 C23", """
     SELECT h.customer_id, h.year_month, horizon_days, cdh_total, temp_mean
     FROM horizon_station h LEFT JOIN tmy_month m
@@ -348,7 +348,7 @@ def weather_policy(spark, sf):
 
 
 @query("wide_station_weather", "year_month:s " + " ".join(
-    f"{c}_s{s}:6" for s in wx.STATIONS for c in ("cdh_total", "hdh_total", "temp_mean")), "C9",
+    f"{c}_s{s}:9" for s in wx.STATIONS for c in ("cdh_total", "hdh_total", "temp_mean")), "C9",
     "SELECT year_month, " + ", ".join(
         f"max({c}) FILTER (WHERE station_id = {s}) AS {c}_s{s}"
         for s in wx.STATIONS for c in ("cdh_total", "hdh_total", "temp_mean"))
@@ -388,7 +388,7 @@ def weather_upsampled(spark, sf):
         F.count(F.lit(1)).alias("n"), F.avg("held").alias("held"), F.avg("line").alias("line"))
 
 
-@query("climatology_scenario", "station_id:i year_month:s temp_mean:6 hdh_total:6", "E14", """
+@query("climatology_scenario", "station_id:i year_month:s temp_mean:9 hdh_total:6", "E14", """
     SELECT station_id, year_month, avg(temp_mean) OVER w AS temp_mean, avg(hdh_total) OVER w AS hdh_total
     FROM weather_month WINDOW w AS (PARTITION BY month(year_month))""")
 def climatology_scenario(spark, sf):

@@ -52,7 +52,7 @@ def stream_dedup(spark, sf):
 def stream_month_to_date_alarms(spark, sf):
     target = work_dir(spark, "days")
     jobs.run_upsert(jobs.daily_stream(event_stream(spark, sf)), target, work_dir(spark, "state"))
-    daily = spark.read.parquet(target)
+    daily = jobs.read_upserted(spark, target)
     return jobs.month_to_date_alarms(daily, F.lit("2024-01-31").cast("date"),
                                      rollup.monthly_by_customer(daily))
 

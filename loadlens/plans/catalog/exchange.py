@@ -67,13 +67,23 @@ def epw_files(spark, sf):
     return ws.read_epw(spark, path, glob="part-*")[1]
 
 
-@query("holiday_file", "date:s name category", "A8", "SELECT * FROM holiday")
+@query("holiday_file", "date:s name category n_orders:i amount:2", "A8", """
+    SELECT h.date, name, category, count(o_orderkey) AS n_orders,
+           sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS amount
+    FROM holiday h JOIN orders ON (month(o_orderdate), day(o_orderdate)) = (month(h.date), day(h.date))
+      AND year(o_orderdate) <= year(h.date) GROUP BY ALL""")
 def holiday_file(spark, sf):
+    """The holiday calendar written, read back, and joined with the orders of the same day in
+    that year and the years before."""
     d = t.holidays(spark).withColumn("date", text(F.col("date")))
-    years = t.table(spark, sf, "orders").select(F.year("o_orderdate").alias("y")).agg(
-        F.min("y").alias("a"))
-    known = d.join(F.broadcast(years)).where("year(date) >= a - 100").drop("a")  # one row
-    return ws.read_holidays(spark, write_csv(known, work_dir(spark, "holidays")))
+    read = ws.read_holidays(spark, write_csv(d, work_dir(spark, "holidays")))
+    # Orders become one row per date before they meet the calendar.
+    days = t.table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
+    same = ((F.month("day") == F.month("date")) & (F.dayofmonth("day") == F.dayofmonth("date"))
+            & (F.year("day") <= F.year("date")))
+    return read.join(days, same).groupBy("date", "name", "category").agg(
+        F.sum("n").alias("n_orders"), F.sum("v").alias("amount"))
 
 
 @query("solar_output_file", "ts:s total_solar_mw:6 market_solar_mw:6", "A10", """
@@ -164,3 +174,58 @@ def repaired_text(spark, sf):
     bad = src.broken_lines(spark, path).agg(F.count(F.lit(1)).alias("n_marked"))
     good = spark.read.text(fixed).join(e.select(F.col("line").alias("value")), "value", "left_semi")
     return good.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(bad))  # one row each
+
+
+# Contract types in the two-byte Korean charset of old exports.
+KOREAN_BYTES = {"residential": "주택용", "general": "일반용", "industrial": "산업용"}
+
+
+def korean_bytes(name: str):
+    return F.unhex(F.lit(KOREAN_BYTES[name].encode("cp949").hex()))
+
+
+@query("damaged_export", "charset contract_type n:i kwh:2 lines_read:i lines_bad:i lines_damaged:i "
+       "bytes_replaced:i", "A3 A13 A12 P1", """
+    WITH rows AS (
+      SELECT event_id, CAST(value AS DECIMAL(18, 6)) AS kwh, event_id % 2 AS file,
+             event_id % 40 < 2 AS damaged, event_id % 110 < 2 AS short,
+             CASE event_id % 3 WHEN 0 THEN '주택용' WHEN 1 THEN '일반용' ELSE '산업용' END AS contract_type
+      FROM events),
+    counts AS (
+      SELECT file, count(*) AS lines_read, count_if(short) AS lines_bad,
+             count_if(damaged) AS lines_damaged, 2 * count_if(damaged) AS bytes_replaced
+      FROM rows GROUP BY file)
+    SELECT CASE file WHEN 0 THEN 'cp949' ELSE 'utf-8' END AS charset, contract_type, count(*) AS n,
+           sum(kwh) AS kwh, any_value(lines_read) AS lines_read, any_value(lines_bad) AS lines_bad,
+           any_value(lines_damaged) AS lines_damaged, any_value(bytes_replaced) AS bytes_replaced
+    FROM rows JOIN counts USING (file) WHERE NOT short GROUP BY file, contract_type""")
+def damaged_export(spark, sf):
+    """Meter exports in CP949 and UTF-8, one line in twenty with two broken bytes and some with
+    a field too many: every file is read in its own charset, and what is damaged is counted."""
+    path = work_dir(spark, "damaged")
+    e = t.table(spark, sf, "events")
+    k = F.col("event_id")
+    names = list(KOREAN_BYTES)
+    kind = lambda make: F.when(k % 3 == 0, make(names[0])).when(
+        k % 3 == 1, make(names[1])).otherwise(make(names[2]))
+    plain = lambda n: F.lit(KOREAN_BYTES[n]).cast("binary")
+    noise = F.when(k % 40 < 2, F.unhex(F.lit("FFFF"))).otherwise(F.unhex(F.lit("")))
+    extra = F.when(k % 110 < 2, F.lit(",9")).otherwise(F.lit(""))
+    head = F.concat_ws(",", text(k), text(F.col("value").cast("decimal(18,6)")), F.lit("x")).cast("binary")
+    for name, own, make in (("old", 0, korean_bytes), ("new", 1, plain)):
+        title = "번호,양,메모,계약종별".encode("cp949" if own == 0 else "utf-8").hex()
+        line = F.concat(head, noise, F.lit(",").cast("binary"), kind(make), extra.cast("binary"))
+        folder = F.floor(k / 100_000).alias("folder")  # a file each, the header first
+        rows = e.where(k % 2 == own).select(folder, k.alias("k"), line.alias("b"))
+        top = rows.select("folder").distinct().select(
+            "folder", F.lit(-1).cast("bigint").alias("k"), F.unhex(F.lit(title)).alias("b"))
+        top.unionByName(rows).repartition("folder").sortWithinPartitions("folder", "k").select(
+            "folder", F.col("b").cast("string").alias("value")).write.partitionBy(
+            "folder").text(f"{path}/{name}")
+    good = src.read_delimited(spark, path)
+    report = src.bad_line_report(spark, path).groupBy("charset").agg(*[
+        F.sum(c).alias(c) for c in ("lines_read", "lines_bad", "lines_damaged", "bytes_replaced")])
+    charset = F.when(F.col("번호").cast("bigint") % 2 == 0, "cp949").otherwise("utf-8")
+    rolled = good.groupBy(charset.alias("charset"), F.col("계약종별").alias("contract_type")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("양").cast("decimal(18,6)")).alias("kwh"))
+    return rolled.join(F.broadcast(report), "charset")  # a row per charset

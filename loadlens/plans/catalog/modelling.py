@@ -12,9 +12,9 @@ from loadlens.plans.catalog.base import query
 from loadlens.plans.catalog.climate import month_of
 from loadlens.plans.catalog.core import daily_of
 from loadlens.sources import tables as t
-from loadlens.session import write_and_read
+from loadlens.session import work_dir, write_and_read
 
-ROUNDS = 400  # most boosting rounds; the validation months stop earlier
+ROUNDS = 400  # most boosting rounds; the validation months choose how many are kept
 SOLAR_ROUNDS = 200
 
 
@@ -73,10 +73,12 @@ def ami_month_join(spark, sf):
                                rollup.ami_monthly(t.readings(spark, sf), t.holidays(spark)))
 
 
-@query("feature_target_correlation", "feature corr:7", "K17 E16 P13", "\nUNION ALL\n".join(f"""
+@query("feature_target_correlation", "feature corr:7 rank:i", "K17 E16 P13",
+       "SELECT *, row_number() OVER (ORDER BY abs(corr) DESC, feature) AS rank FROM ("
+       + "\nUNION ALL\n".join(f"""
     SELECT '{c}' AS feature, corr({c}, full_month_kwh) AS corr
     FROM ctx LEFT JOIN hist_mean USING (customer_id, year_month)""" for c in (
-    "partial_kwh", "prev_month_kwh", "yoy_month_kwh", "ma3_kwh", "customer_mean_history")))
+    "partial_kwh", "prev_month_kwh", "yoy_month_kwh", "ma3_kwh", "customer_mean_history")) + ")")
 def feature_target_correlation(spark, sf):
     from loadlens.operators import horizon as hz
 
@@ -84,18 +86,19 @@ def feature_target_correlation(spark, sf):
         "partial_kwh", "prev_month_kwh", "yoy_month_kwh", "ma3_kwh", "customer_mean_history"))
 
 
-@query("feature_selection", "feature corr_with_target:6 rank:i n_valid:i status", "K7 F4 B22")
+@query("feature_selection", "feature corr_with_target:6 rank:i n_valid:i vif:4 status", "K7 F4 B22")
 def feature_selection(spark, sf):
     f, spec = features_of(spark, sf)
     return models.select_features(f, list(spec.numeric))
 
 
-@query("residual_model_evaluation", f"horizon_days:i contract_type {ctes.REG_COLS}", "K2 K4 C15")
+@query("residual_model_evaluation", f"horizon_days:i contract_type rounds:i {ctes.REG_COLS}",
+       "K2 K4 C15")
 def residual_model_evaluation(spark, sf):
     f, spec = stored_features(spark, sf)
     model = models.train(f, spec, rounds=ROUNDS)
     preds = models.predictions(model, models.test_rows(f), spec)
-    return metrics.evaluate(preds, f)
+    return metrics.evaluate(preds, f).withColumn("rounds", F.lit(models.rounds_of(model)))
 
 
 ctes.add("model_split", """
@@ -122,7 +125,30 @@ def model_split_counts(spark, sf):
         F.min("year_month").alias("first_month"), F.max("year_month").alias("last_month"))
 
 
-@query("residual_correction", f"stage {ctes.REG_COLS}", "K5 H14")
+@query("model_round_trip", "horizon_days:i n:i n_changed:i n_below_partial:i n_missing:i "
+       "columns_kept:i", "K3 K4 C15", """
+    SELECT horizon_days, count(*) AS n, 0 AS n_changed, 0 AS n_below_partial, 0 AS n_missing,
+           1 AS columns_kept FROM model_split WHERE split = 'test' GROUP BY horizon_days""")
+def model_round_trip(spark, sf):
+    """A model written with its feature list and read back: the predictions of all test rows
+    before and after, none of them below what was already used."""
+    f, spec = stored_features(spark, sf)
+    model = models.train(f, spec, rounds=10)
+    path = work_dir(spark, "model")
+    models.save(model, spec, path)
+    again, spec2 = models.load(spark, path)
+    rows = models.test_rows(f)
+    a = models.predict(model, rows, spec).select(*ft.KEYS, "partial_kwh", models.PRED)
+    b = models.predict(again, rows, spec2).select(*ft.KEYS, F.col(models.PRED).alias("later"))
+    p, q = F.col(models.PRED), F.col("later")
+    return a.join(b, list(ft.KEYS), "left").groupBy("horizon_days").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~p.eqNullSafe(q)).alias("n_changed"),
+        F.count_if(p < F.col("partial_kwh")).alias("n_below_partial"),
+        F.count_if(p.isNull()).alias("n_missing")).withColumn(
+        "columns_kept", F.lit(int(set(spec.all) == set(spec2.all))))
+
+
+@query("residual_correction", f"stage rounds:i {ctes.REG_COLS}", "K5 H14")
 def residual_correction(spark, sf):
     f, spec = stored_features(spark, sf)
     model = models.train(f, spec, rounds=ROUNDS)
@@ -134,7 +160,8 @@ def residual_correction(spark, sf):
     rows = rows.join(F.broadcast(last))  # one row
     early = F.col("year_month") <= default_train_end(F.col("_last"))
     fitted = models.fit_correction(rows.where(early), cols)
-    return models.correction_report(models.apply_correction(rows.where(~early), fitted, cols))
+    return models.correction_report(models.apply_correction(
+        rows.where(~early), fitted, cols)).withColumn("rounds", F.lit(models.rounds_of(model)))
 
 
 @query("linear_residual_patterns", "dimension value:i n:i mean_residual:6 std_residual:6", "D53", """
@@ -171,6 +198,36 @@ def sliding_evaluation(spark, sf):
     return rows.groupBy("meter_day", "horizon_days").agg(*metrics.regression_aggs())
 
 
+SLIDING_SPEC = ft.FeatureSpec().without(("customer_mean_history",))  # known for any meter day
+
+
+def sliding_scorers(spark, sf, daily, rounds, tuning_trials=4):
+    """Models of calendar months that score the rows of every meter day: boosted with the usual
+    settings, with the best of some random settings, and corrected linearly."""
+    from loadlens.operators import horizon as hz
+
+    f = write_and_read(ft.with_base(hz.calendar_context(daily)), "features")
+    base = studies.study_model(f, SLIDING_SPEC, rounds)
+    best = models.tune(f, SLIDING_SPEC, trials=tuning_trials, rounds=rounds, fit_rows=TRIAL_ROWS,
+                       patience=studies.STUDY_PATIENCE).first()
+    tuned = models.train(f, SLIDING_SPEC, rounds=rounds, rate=best["rate"], depth=best["depth"],
+                         subsample=best["subsample"], min_leaf=best["min_leaf"],
+                         patience=studies.STUDY_PATIENCE)
+    rows, cols = models.residual_features(models.predict(base, f, SLIDING_SPEC))
+    seen = rows.join(models.test_rows(f).select(*ft.KEYS), list(ft.KEYS), "left_anti")
+    fitted = write_and_read(models.fit_correction(seen, cols), "correction")
+    return models.scorers(base, tuned, fitted, SLIDING_SPEC)
+
+
+@query("sliding_model_evaluation", f"model meter_day:i horizon_days:i {ctes.REG_COLS}", "K8 D15")
+def sliding_model_evaluation(spark, sf):
+    daily = write_and_read(daily_of(spark, sf), "daily")
+    rows = models.sliding_evaluation(
+        daily, rollup.monthly_by_customer(daily), METER_DAYS,
+        sliding_scorers(spark, sf, daily, STUDY_ROUNDS))
+    return rows.groupBy("model", "meter_day", "horizon_days").agg(*metrics.regression_aggs())
+
+
 ctes.add("by_date", f"""
     SELECT year_month, meter_day, {ctes.regression()} FROM sliding
     GROUP BY year_month, meter_day HAVING count(*) >= 10""")
@@ -202,12 +259,15 @@ def sliding_month_heatmap(spark, sf):
         for m in METER_DAYS])
 
 
-@query("weather_sensitivity", "scenario shift:2 n:i mape_pct:4 rmse:4", "K9 C21")
+@query("weather_sensitivity", "scenario shift:2 month:i rounds:i n:i mape_pct:4 rmse:4", "K9 C21")
 def weather_sensitivity(spark, sf):
+    """Every scenario over all test rows (month null) and by month."""
     f, spec = stored_features(spark, sf)
-    model = models.train(f, spec, rounds=ROUNDS)
-    return studies.weather_sensitivity(models.test_rows(f), spec,
-                                       lambda d: models.predict(model, d, spec))[0]
+    model = studies.study_model(f, spec, STUDY_ROUNDS)
+    overall, by_month = studies.weather_sensitivity(models.test_rows(f), spec,
+                                                    lambda d: models.predict(model, d, spec))
+    both = by_month.unionByName(overall, allowMissingColumns=True)
+    return both.withColumn("rounds", F.lit(models.rounds_of(model)))
 
 
 @query("station_weights", "mode station_id:i n_months:i weight:6 r_squared:6", "K10")
@@ -258,7 +318,7 @@ def weather_optimization(spark, sf):
                                         rollup.monthly_by_customer(daily_of(spark, sf)))
 
 
-@query("optimized_national_weather", "mode year_month:s cdh_total:4 hdh_total:4 temp_mean:4",
+@query("optimized_national_weather", "mode year_month:s cdh_total:4 hdh_total:4 temp_mean:9",
        "K12 A24")
 def optimized_national_weather(spark, sf):
     month = month_of(spark, sf)
@@ -268,7 +328,7 @@ def optimized_national_weather(spark, sf):
 
 STUDY_ROUNDS = 200
 TRIALS, TRIAL_ROWS = 50, 20_000  # settings tried, and the labelled rows that fit each
-STUDY_COLS = "variant dimension horizon_days:i n:i mape_pct:4 rmse:4 cvrmse_median_pct:4"
+STUDY_COLS = "variant dimension horizon_days:i rounds:i n:i mape_pct:4 rmse:4 cvrmse_median_pct:4"
 
 
 @query("weather_version_comparison", STUDY_COLS, "K13 F2")
@@ -279,7 +339,7 @@ def weather_version_comparison(spark, sf):
         f, spec, wx.national_versions(month), wx.wide_stations(month)), STUDY_ROUNDS)
 
 
-@query("btm_strategy_comparison", "variant mape_mean:4 f1_mean:4", "K14 D55")
+@query("btm_strategy_comparison", "variant rounds:i mape_mean:4 f1_mean:4", "K14 D55")
 def btm_strategy_comparison(spark, sf):
     f, spec = stored_features(spark, sf)
     flags = btm.ingest_rule(btm.ingest_signals(t.readings(spark, sf)))
@@ -287,7 +347,7 @@ def btm_strategy_comparison(spark, sf):
         studies.btm_strategy_variants(f, spec, flags), STUDY_ROUNDS))
 
 
-@query("ablation", "variant n:i mape_pct:4 cvrmse_median_pct:4 contribution:4", "K15 F2")
+@query("ablation", "variant rounds:i n:i mape_pct:4 cvrmse_median_pct:4 contribution:4", "K15 F2")
 def ablation(spark, sf):
     f, spec = stored_features(spark, sf)
     return studies.ablation(f, spec, STUDY_ROUNDS)
@@ -310,7 +370,7 @@ def weather_policy_comparison(spark, sf):
     return studies.compare_variants({n: o(f, spec) for n, o in options.items()}, STUDY_ROUNDS)
 
 
-@query("one_factor_ablation", "variant n:i mape_pct:4 cvrmse_median_pct:4 contribution:4 kept",
+@query("one_factor_ablation", "variant rounds:i n:i mape_pct:4 cvrmse_median_pct:4 contribution:4 kept",
        "K15 F2")
 def one_factor_ablation(spark, sf):
     f, spec = stored_features(spark, sf)
@@ -326,24 +386,28 @@ def one_factor_ablation(spark, sf):
         "selection": studies.selection_option(spec, names)}, STUDY_ROUNDS)
 
 
-@query("hyper_parameter_search", "trial:i rate:6 depth:i subsample:6 min_leaf:i cvrmse_median:4",
+@query("hyper_parameter_search", "trial:i rate:6 depth:i subsample:6 min_leaf:i rounds:i "
+       "cvrmse_median:4",
        "K16")
 def hyper_parameter_search(spark, sf):
     f, spec = stored_features(spark, sf)
-    return models.tune(f, spec, trials=TRIALS, rounds=STUDY_ROUNDS, fit_rows=TRIAL_ROWS)
+    return models.tune(f, spec, trials=TRIALS, rounds=STUDY_ROUNDS, fit_rows=TRIAL_ROWS,
+                       patience=studies.STUDY_PATIENCE)
 
 
-@query("feature_importance", "feature impurity_importance:6 share_pct:4 rank:i", "K17")
+@query("feature_importance", "feature impurity_importance:6 share_pct:4 rank:i rounds:i", "K17")
 def feature_importance(spark, sf):
     f, spec = stored_features(spark, sf)
-    return models.importance(models.train(f, spec, rounds=STUDY_ROUNDS), spec, spark)
+    model = studies.study_model(f, spec, STUDY_ROUNDS)
+    return models.importance(model, spec, spark).withColumn("rounds", F.lit(models.rounds_of(model)))
 
 
-@query("permutation_importance", "feature mae_increase:6", "K17")
+@query("permutation_importance", "feature mae_increase:6 rounds:i", "K17")
 def permutation_importance(spark, sf):
     f, spec = stored_features(spark, sf)
-    model = models.train(f, spec, rounds=STUDY_ROUNDS)
-    return models.permutation_importance(model, models.test_rows(f), spec, spec.numeric)
+    model = studies.study_model(f, spec, STUDY_ROUNDS)
+    return models.permutation_importance(model, models.test_rows(f), spec, spec.numeric).withColumn(
+        "rounds", F.lit(models.rounds_of(model)))
 
 
 def solar_rows(spark, sf):

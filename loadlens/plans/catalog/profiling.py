@@ -11,6 +11,7 @@ from loadlens.plans.catalog import ctes
 from loadlens.plans.catalog.base import query
 from loadlens.plans.catalog.climate import generation, month_of, station_readings
 from loadlens.plans.catalog.core import context_of, daily_of, results_of
+from loadlens.session import work_dir
 from loadlens.sources import tables as t
 
 PLAIN = ("customer_id", "contract_type", "p_active_kwh", "region_code", "contract_power_kw")
@@ -280,15 +281,73 @@ def profile_vif(spark, sf):
     return pf.vif(*pf.correlation_frame(weather_readings(spark, sf)))
 
 
-@query("source_profile", "name dtype n_rows:i null_rate:8 min:4 max:4 mean:4", "A16",
-       "\nUNION ALL\n".join(f"""
-    SELECT '{c}' AS name, '{ty}' AS dtype, count(*) AS n_rows,
-           avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) AS null_rate,
-           min(TRY_CAST({c} AS DOUBLE)) AS min, max(TRY_CAST({c} AS DOUBLE)) AS max,
-           avg(TRY_CAST({c} AS DOUBLE)) AS mean FROM readings"""
-                            for c, ty in zip(PLAIN, ("string", "string", "double", "string", "double"))))
+# A source whose columns are named otherwise than the standard ones.
+SOURCE_NAMES = {"CustomerID": ("customer_id", "string"), "contract": ("contract_type", "string"),
+                "active_kwh": ("p_active_kwh", "double"), "region": ("region_code", "string"),
+                "ContractPower_kW": ("contract_power_kw", "double"),
+                "p_reactiv_lag": ("p_reactive_lag", "double"), "time": ("ts", "timestamp_ntz")}
+PLAIN_NAME = "regexp_replace(lower({}), '[^a-z0-9]', '', 'g')"
+
+
+@query("source_profile", "name dtype n_rows:i null_rate:8 n_distinct:i samples:s min:4 max:4 mean:4 "
+       "std:4 suggested", "A16", """
+    WITH one AS (""" + "\nUNION ALL\n".join(f"""
+      SELECT '{n}' AS name, '{ty}' AS dtype, count(*) AS n_rows,
+             avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0 END) AS null_rate,
+             count(DISTINCT {c}) AS n_distinct,
+             '[' || array_to_string(list_sort(list_distinct([{', '.join(
+                 f"min_by({c}::VARCHAR, md5('{i}' || {c}::VARCHAR))" for i in range(3))}])), ', ')
+               || ']' AS samples,
+             min(TRY_CAST({c}::VARCHAR AS DOUBLE)) AS min, max(TRY_CAST({c}::VARCHAR AS DOUBLE)) AS max,
+             avg(TRY_CAST({c}::VARCHAR AS DOUBLE)) AS mean,
+             stddev_pop(TRY_CAST({c}::VARCHAR AS DOUBLE)) AS std FROM readings"""
+    for n, (c, ty) in SOURCE_NAMES.items()) + f"""),
+    near AS (
+      SELECT name, s AS suggested, levenshtein({PLAIN_NAME.format("name")}, {PLAIN_NAME.format("s")})
+        / greatest(length({PLAIN_NAME.format("name")}), length({PLAIN_NAME.format("s")})) AS far
+      FROM one, (SELECT unnest([{', '.join(f"'{x}'" for x in pf.STANDARD)}]) AS s))
+    SELECT one.*, CASE WHEN far <= 0.4 THEN suggested END AS suggested FROM one JOIN near USING (name)
+    QUALIFY row_number() OVER (PARTITION BY name ORDER BY far, suggested) = 1""")
 def source_profile(spark, sf):
-    return pf.source_profile(t.readings(spark, sf).select(*PLAIN))
+    r = t.readings(spark, sf)
+    return pf.source_profile(r.select(*[F.col(c).alias(n) for n, (c, _) in SOURCE_NAMES.items()]))
+
+
+@query("profile_runner", "name status n_rows:i", "D51", """
+    SELECT 'schema' AS name, 'ok' AS status, 5 AS n_rows
+    UNION ALL SELECT 'broken', 'failed', NULL
+    UNION ALL SELECT 'max_demand_ratio', 'skipped', NULL
+    UNION ALL SELECT 'customer_counts', 'ok', count(DISTINCT contract_type) FROM readings
+    UNION ALL SELECT 'hourly_profile', 'skipped', NULL
+    UNION ALL SELECT 'data_quality', 'ok', 1""")
+def profile_runner(spark, sf):
+    """Statistics in their order: one fails, one lacks its column, one is left out on request,
+    and the others are written all the same."""
+    def broken(d):
+        return d.select(F.raise_error(F.lit("no such statistic")).cast("string").alias("x"))
+
+    names = ("schema", "broken", "max_demand_ratio", "customer_counts", "hourly_profile", "data_quality")
+    chosen = {n: pf.STATISTICS.get(n, broken) for n in names}
+    out = work_dir(spark, "profile")
+    r = t.readings(spark, sf).select(*PLAIN, "ts", "ingest_seq")
+    chosen["schema"] = lambda d: pf.schema_stats(d.select(*PLAIN))
+    done = pf.run_profile(r, lambda n, d: d.write.parquet(f"{out}/{n}"),
+                          frozenset(["hourly_profile"]), chosen)
+    written = None
+    for n in names:
+        if n in ("schema", "customer_counts", "data_quality"):
+            d = spark.read.parquet(f"{out}/{n}").agg(F.count(F.lit(1)).alias("n_rows")).withColumn(
+                "name", F.lit(n))
+            written = d if written is None else written.unionByName(d)
+    return done.join(F.broadcast(written), "name", "left")  # a row per statistic
+
+
+@query("hourly_series_years", "year:i first_ts:s last_ts:s n_rows:i n_null:i expected_rows:i", "A17", """
+    SELECT year(ts) AS year, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, 0 AS n_null,
+           24 * dayofyear(make_date(year(ts), 12, 31)) AS expected_rows
+    FROM gen_hour GROUP BY year(ts)""")
+def hourly_series_years(spark, sf):
+    return pf.hourly_series_years(generation(spark, sf), "total_solar_mw")
 
 
 @query("hourly_series_profile", "year_month:s n_rows:i n_null:i mean:6 total:4 max:4", "A17", """

@@ -63,3 +63,9 @@ def write_and_read(df: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(df.sparkSession, purpose)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(spark: SparkSession) -> None:
+    """Name a shared checkpoint folder to the context where the cluster has named none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_dir(spark, "checkpoints"))

@@ -7,8 +7,6 @@ from urllib.parse import unquote
 
 from pyspark.sql import SparkSession, functions as F
 
-HEAD_BYTES = 64 * 1024
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -60,6 +58,11 @@ def rename(spark: SparkSession, src: str, dst: str) -> None:
         raise OSError(f"cannot move {src} to {dst}")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _fs(spark, path)
     stream = fs.create(p, True)
@@ -69,51 +72,66 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
-def read_head(spark: SparkSession, path: str, n: int = HEAD_BYTES) -> bytes:
+def read_text(spark: SparkSession, path: str) -> str:
+    """A metadata file as text, whole."""
     fs, p = _fs(spark, path)
     stream = fs.open(p)
     try:
-        return bytes(stream.readNBytes(n))
+        return bytes(stream.readNBytes(int(fs.getFileStatus(p).getLen()))).decode("utf-8")
     finally:
         stream.close()
 
 
-def read_text(spark: SparkSession, path: str) -> str:
-    """A metadata file as text, whole."""
-    fs, p = _fs(spark, path)
-    return read_head(spark, path, int(fs.getFileStatus(p).getLen())).decode("utf-8")
+# One character of a text in ASCII and the two-byte Korean charset.
+KOREAN = r"[\x00-\x7f]|[\x81-\xfe][\x41-\x5a\x61-\x7a\x81-\xfe]"
 
 
-def first_line(spark: SparkSession, path: str) -> bytes:
-    """The first line that is not blank, whatever its length."""
-    n = HEAD_BYTES
-    while True:
-        head = read_head(spark, path, n)
-        lines = head.lstrip(b"\r\n").split(b"\n", 1)
-        if len(lines) > 1 or len(head) < n:
-            return lines[0].rstrip(b"\r")
-        n *= 4
-
+@dataclass(frozen=True)
+class Survey:
+    """What one pass over a text file's lines tells: its charset, the lines, those that the
+    charset cannot decode whole, the bytes that it replaces, and the first line not blank."""
 
-# Bytes of a text in ASCII and in the two-byte Korean charset.
-KOREAN_LINE = r"(?s)^(?:[\x00-\x7f]|[\x81-\xfe][\x41-\x5a\x61-\x7a\x81-\xfe])*+$"
+    charset: str
+    lines: int
+    lines_damaged: int
+    bytes_replaced: int
+    first: bytes
 
 
-def charsets(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Charset of each file, from all its lines: UTF-8 if every line is valid UTF-8, else CP949
-    (which holds EUC-KR) if every line is made of its one- and two-byte characters, else UTF-8,
-    where broken bytes become the replacement character.
+def surveys(spark: SparkSession, paths: list[str]) -> dict[str, Survey]:
+    """Charset and first line of each file from all its lines, in one distributed pass that
+    brings one row per file to the driver; files without a line that is not blank are left out.
 
-    One distributed pass over the lines; one row per file comes back.
+    Of UTF-8 and CP949 (which holds EUC-KR) that charset is chosen in which fewer bytes are
+    damaged, then UTF-8: a broken byte here and there does not decide about a whole file, and
+    what the choice cannot decode is counted.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
     as_bytes = F.decode(F.col("value").cast("binary"), "ISO-8859-1")  # a character per byte
+    korean = as_bytes.rlike(f"(?s)^(?:{KOREAN})*+$")
+    utf8 = F.is_valid_utf8("value")
+    bad = {  # only damaged lines are looked at byte by byte
+        "utf8": F.when(utf8, 0).otherwise(F.regexp_count(
+            F.make_valid_utf8("value"), F.lit("\ufffd"))),
+        "cp949": F.when(korean, 0).otherwise(F.length(F.regexp_replace(
+            as_bytes, f"(?s){KOREAN}", "")))}
+    blank = F.col("value").rlike(r"^\s*$")
     rows = lines.groupBy("file").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_and(as_bytes.rlike(KOREAN_LINE)).alias("korean")).collect()
-    found = {plain_path(r["file"]): "cp949" if r["korean"] and not r["utf8"] else "utf-8"
-             for r in rows}
-    return {p: found.get(plain_path(p), "utf-8") for p in paths}
+        F.count(F.lit(1)).alias("lines"), F.count_if(~utf8).alias("utf8_lines"),
+        F.count_if(~korean).alias("cp949_lines"),
+        *[F.sum(c).alias(f"{n}_bytes") for n, c in bad.items()],
+        F.min_by(F.when(~blank, F.col("value").cast("binary")),
+                 F.when(~blank, F.col("at"))).alias("first")).collect()
+    out = {}
+    for r in rows:
+        kind = "cp949" if r["cp949_bytes"] < r["utf8_bytes"] else "utf8"
+        if r["first"] is not None:
+            out[plain_path(r["file"])] = Survey("utf-8" if kind == "utf8" else kind, r["lines"],
+                                                r[f"{kind}_lines"], int(r[f"{kind}_bytes"]),
+                                                bytes(r["first"]).rstrip(b"\r"))
+    return {p: out[plain_path(p)] for p in paths if plain_path(p) in out}
 
 
 def plain_path(uri: str) -> str:

@@ -62,21 +62,30 @@ class SourceConfig:
 BAD = "_bad_line"
 
 
-def read_with_bad_lines(spark: SparkSession, path: str) -> DataFrame:
+def survey(spark: SparkSession, path: str) -> dict[str, files.Survey]:
+    """Charset, line counts and header line of the delimited files of a path, in one pass."""
+    paths = files.list_files(spark, path, (".csv", ".tsv", ".txt"))
+    if not paths:
+        raise FileNotFoundError(f"no delimited files in {path}")
+    return files.surveys(spark, paths)
+
+
+def read_with_bad_lines(spark: SparkSession, path: str,
+                        known: dict[str, files.Survey] | None = None) -> DataFrame:
     """All delimited files of a path as text columns, one read per layout, with the raw text of
     lines that do not fit the header in ``_bad_line`` (null for the others) and the ``_file``.
 
     Every line is parsed whole, whatever columns a query uses, so a line is bad or good for
     all queries alike. Korean charsets are outside the default charset list of the CSV reader,
-    and its charset switch is a session setting: it is set when such a file is met.
+    and its charset switch is a session setting: it is set when such a file is met. Bytes that
+    the charset cannot decode become the replacement character. ``known`` are the files' surveys,
+    if they were made before.
     """
-    paths = files.list_files(spark, path, (".csv", ".tsv", ".txt"))
-    if not paths:
-        raise FileNotFoundError(f"no delimited files in {path}")
-    charset = files.charsets(spark, paths)
     groups: dict[files.Layout, list[str]] = defaultdict(list)
-    for f in paths:
-        groups[files.layout_of(files.first_line(spark, f), charset[f])].append(f)
+    for f, s in (survey(spark, path) if known is None else known).items():
+        groups[files.layout_of(s.first, s.charset)].append(f)
+    if not groups:
+        raise ValueError(f"the delimited files in {path} are empty")
     out = None
     for layout, own in groups.items():
         if layout.encoding != "utf-8":
@@ -100,16 +109,19 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bad_line_report(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: lines read, kept and bad, and the charset it was read with."""
-    d = read_with_bad_lines(spark, path)
-    counts = d.groupBy(F.col("_file").alias("file")).agg(
+    """Per file: lines read, kept and bad; the charset it was read with, the lines that this
+    charset could not decode whole, and the bytes that were replaced in them."""
+    known = survey(spark, path)
+    counts = read_with_bad_lines(spark, path, known).groupBy(F.col("_file").alias("file")).agg(
         F.count(F.lit(1)).alias("lines_read"), F.count(BAD).alias("lines_bad"))
-    charset = files.charsets(spark, files.list_files(spark, path, (".csv", ".tsv", ".txt")))
-    known = literal_map({files.plain_path(k): v for k, v in charset.items()})
     plain = F.regexp_replace(F.url_decode("file"), "^[a-z]+:/*", "/")
-    return counts.select("file", "lines_read", "lines_bad",
-                         (F.col("lines_read") - F.col("lines_bad")).alias("lines_kept"),
-                         F.try_element_at(known, plain).alias("charset"))
+    facts = spark.createDataFrame(
+        [(files.plain_path(p), s.charset, s.lines_damaged, s.bytes_replaced) for p, s in known.items()],
+        "plain string, charset string, lines_damaged bigint, bytes_replaced bigint")
+    return counts.withColumn("plain", plain).join(facts, "plain", "left").select(
+        "file", "lines_read", "lines_bad",
+        (F.col("lines_read") - F.col("lines_bad")).alias("lines_kept"), "charset",
+        "lines_damaged", "bytes_replaced")
 
 
 def load_table(spark: SparkSession, cfg: SourceConfig) -> DataFrame:

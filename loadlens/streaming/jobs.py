@@ -2,11 +2,12 @@
 
 All state is keyed by customer and bounded by the watermark. Results of a batch
 are upserted by replacing whole (customer, day) keys, so a replayed batch changes
-nothing.
+nothing, and readers see the table before a batch or after it, never in between.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -65,38 +66,85 @@ def run_available(stream: DataFrame, sink: str, checkpoint: str, mode: str = "ap
     return stream.sparkSession.read.schema(stream.schema).parquet(sink)
 
 
+# --- upserted tables ------------------------------------------------------------------------------
+
+VERSIONS = "versions"   # one small text file per version: month, tab, folder of its rows
+KEEP_VERSIONS = 3       # readers of the last versions still find their files
+
+
+def versions(spark: SparkSession, target: str) -> list[str]:
+    """The version files of a table, oldest first; files being written do not count."""
+    at = f"{target}/{VERSIONS}"
+    return files.list_files(spark, at, (".tsv",)) if files.exists(spark, at) else []
+
+
+def month_folders(spark: SparkSession, version: str) -> dict[str, str]:
+    lines = files.read_text(spark, version).splitlines()
+    return dict(line.split("\t", 1) for line in lines if line)
+
+
+def read_upserted(spark: SparkSession, target: str, version: str | None = None) -> DataFrame:
+    """One version of an upserted table, whole: the last one that was committed, or ``version``.
+
+    Months never change under a reader: a batch writes new folders, and the version that names
+    them appears by one rename after all of them are complete.
+    """
+    known = [version] if version else versions(spark, target)
+    if not known:
+        raise FileNotFoundError(f"{target} has no version yet")
+    folders = month_folders(spark, known[-1])
+    return spark.read.parquet(*(f"{target}/{f}" for f in folders.values()))
+
+
 def upsert_days(target: str, keys: tuple[str, ...] = ("customer_id", "contract_type", "date")
                 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink that replaces the keys of a batch in a month-partitioned table.
+    """``foreachBatch`` sink that replaces the keys of a batch in a table of month folders.
 
-    Only the months of the batch are read and rewritten. The old and the new version are
-    merged into a side folder first, so a failed batch leaves the table as it was until the
-    last write; that write replaces whole month folders, and a reader at that moment can see
-    some of them replaced and others not.
+    The months of the batch are merged with their rows of the last version into new folders.
+    Then a version file that names the folder of every month is moved into place: the table
+    changes at that moment or, if a step before fails, not at all, and a repeated batch gives
+    the same rows again. One writer at a time, as a streaming query is.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        b = batch.withColumn("ym", F.date_format("date", "yyyy-MM"))
         side = work_dir(spark, f"batch-{batch_id}")
-        b.write.mode("overwrite").parquet(side)
+        batch.withColumn("ym", F.date_format("date", "yyyy-MM")).write.parquet(side)
         b = spark.read.parquet(side)
-        if b.isEmpty():
+        months = sorted(r["ym"] for r in b.select("ym").distinct().collect())  # of one batch
+        if not months:
             return
-        merged = b
-        if files.exists(spark, target):
-            months = [r["ym"] for r in b.select("ym").distinct().collect()]  # of one batch
-            old = spark.read.parquet(target).where(F.col("ym").cast("string").isin(months))
-            old = old.withColumn("ym", F.col("ym").cast("string"))
-            merged = old.join(b, list(keys), "left_anti").unionByName(b)
-        staged = work_dir(spark, f"merged-{batch_id}")
-        merged.write.mode("overwrite").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(target)
+        known = versions(spark, target)
+        folders = month_folders(spark, known[-1]) if known else {}
+        merged, old = b, [folders[m] for m in months if m in folders]
+        if old:
+            rows = spark.read.parquet(*(f"{target}/{f}" for f in old)).withColumn(
+                "ym", F.date_format("date", "yyyy-MM"))
+            merged = rows.join(b, list(keys), "left_anti").unionByName(b)
+        fresh = f"data/{uuid.uuid4().hex}"
+        merged.write.partitionBy("ym").parquet(f"{target}/{fresh}")
+        folders |= {m: f"{fresh}/ym={m}" for m in months}
+        text = "".join(f"{m}\t{f}\n" for m, f in sorted(folders.items()))
+        draft = f"{target}/{VERSIONS}/_{uuid.uuid4().hex}"
+        files.write_text(spark, draft, text)
+        last = int(known[-1].rsplit("/", 1)[1].split(".")[0]) if known else 0
+        files.rename(spark, draft, f"{target}/{VERSIONS}/{last + 1:012d}.tsv")
+        forget(spark, target)
 
     return write
 
 
+def forget(spark: SparkSession, target: str, keep: int = KEEP_VERSIONS) -> None:
+    """Remove versions but the last ``keep``, and month folders that none of those names."""
+    known = versions(spark, target)
+    needed = {f for v in known[-keep:] for f in month_folders(spark, v).values()}
+    for v in known[:-keep]:
+        gone = set(month_folders(spark, v).values()) - needed
+        files.remove(spark, v)  # the version goes before its folders do
+        for f in gone:
+            files.remove(spark, f"{target}/{f}")
+
+
 def run_upsert(stream: DataFrame, target: str, checkpoint: str) -> None:
     q = (stream.writeStream.foreachBatch(upsert_days(target)).outputMode("update")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

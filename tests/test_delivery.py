@@ -24,8 +24,9 @@ def test_meter_export(spark, tmp_path, encoding, bom):
     # a second file with commas and fewer columns
     (tmp_path / "b.csv").write_text("계약번호,검침년월일,검침시분,유효전력량계\nC3,20240105,930,7\n")
     (tmp_path / "_skip.csv").write_text("x\n1\n")
-    line = files.first_line(spark, str(tmp_path / "a.csv"))
-    assert files.layout_of(line, encoding).sep == "\t"
+    seen = files.surveys(spark, [str(tmp_path / "a.csv")])[str(tmp_path / "a.csv")]
+    assert seen.charset == encoding and seen.lines == 4 and seen.lines_damaged == 0
+    assert files.layout_of(seen.first, encoding).sep == "\t"
     cfg = src.SourceConfig("meter", str(tmp_path), src.METER_COLUMNS)
     got = {(r.customer_id, str(r.ts)): r for r in src.load(spark, cfg).collect()}
     assert len(got) == 4
@@ -110,7 +111,28 @@ def test_text_ingest_loses_nothing(spark, tmp_path):
     assert got == {"late.csv": (40_001, 0, 40_001, "cp949"), "bad.csv": (4, 2, 2, "utf-8")}
     wide = ",".join(f"column{i}" for i in range(12_000))  # a header longer than the first look
     (tmp_path / "wide.csv").write_text(f"{wide}\n1\n")
-    assert len(files.layout_of(files.first_line(spark, str(tmp_path / "wide.csv")), "utf-8").header) == 12_000
+    seen = files.surveys(spark, [str(tmp_path / "wide.csv")])[str(tmp_path / "wide.csv")]
+    assert len(files.layout_of(seen.first, "utf-8").header) == 12_000
+
+
+def test_broken_bytes_do_not_decide_about_a_file(spark, tmp_path):
+    body = [f"이름{i},{i}".encode("cp949") for i in range(50)]
+    (tmp_path / "old.csv").write_bytes(b"\r\n".join(
+        ["이름,값".encode("cp949"), b"", *body, b"x\xff\xffy,7"]) + b"\r\n")
+    (tmp_path / "new.csv").write_bytes("이름,값\n가,1\n".encode() + b"\xb0\xa1,2\n" + "나,1003\n".encode())
+    (tmp_path / "plain.csv").write_bytes(b"a,b\nx\xfe,1\n")
+    (tmp_path / "empty.csv").write_bytes(b"\n \n")
+    seen = {p.rsplit("/", 1)[1]: s for p, s in src.survey(spark, str(tmp_path)).items()}
+    assert {n: (s.charset, s.lines_damaged, s.bytes_replaced) for n, s in seen.items()} == {
+        "old.csv": ("cp949", 1, 2), "new.csv": ("utf-8", 1, 2), "plain.csv": ("utf-8", 1, 1)}
+    (tmp_path / "plain.csv").unlink()
+    d = src.read_delimited(spark, str(tmp_path))
+    assert set(d.columns) == {"이름", "값"}
+    got = {r["값"]: r["이름"] for r in d.collect()}
+    assert got["49"] == "이름49" and got["7"].startswith("x\ufffd") and got["1003"] == "나"
+    report = {r.file.rsplit("/", 1)[1]: (r.lines_read, r.lines_bad, r.lines_damaged)
+              for r in src.bad_line_report(spark, str(tmp_path)).collect()}
+    assert report == {"old.csv": (51, 0, 1), "new.csv": (3, 0, 1)}
 
 
 def readings(spark, n=3):
@@ -193,10 +215,10 @@ def test_upsert_is_idempotent(spark, tmp_path):
     write(first, 0)
     write(batch([("a", "2024-02-01", 5.0), ("b", "2024-02-02", 7.0)]), 1)
     write(batch([("a", "2024-02-01", 5.0), ("b", "2024-02-02", 7.0)]), 1)
-    got = sorted((r.customer_id, str(r.date), r.day_kwh) for r in spark.read.parquet(target).collect())
+    got = sorted((r.customer_id, str(r.date), r.day_kwh) for r in jobs.read_upserted(spark, target).collect())
     assert got == [("a", "2024-01-01", 1.0), ("a", "2024-02-01", 5.0), ("b", "2024-02-02", 7.0)]
     alarms = jobs.month_to_date_alarms(
-        spark.read.parquet(target), F.lit("2024-02-10").cast("date"),
+        jobs.read_upserted(spark, target), F.lit("2024-02-10").cast("date"),
         spark.createDataFrame([("a", "A", dt.date(2024, 1, 1), 10.0)],
                               "customer_id string, contract_type string, year_month date, "
                               "monthly_kwh double"))
@@ -204,6 +226,49 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert r["a"].pred_monthly_kwh == 5.0 * 29 and r["a"].pred_prev and not r["b"].pred_any
 
 
+def test_readers_never_see_half_a_batch(spark, tmp_path, monkeypatch):
+    target = str(tmp_path / "t")
+    write = jobs.upsert_days(target)
+
+    def batch(v, days=("2024-01-01", "2024-02-01", "2024-03-01")):
+        return spark.createDataFrame([("a", "A", dt.date.fromisoformat(d), v, 1) for d in days],
+                                     "customer_id string, contract_type string, date date, "
+                                     "day_kwh double, n_intervals bigint")
+
+    def seen(version=None):
+        return sorted(r.day_kwh for r in jobs.read_upserted(spark, target, version).collect())
+
+    with pytest.raises(FileNotFoundError):
+        jobs.read_upserted(spark, target)
+    write(batch(1.0), 0)
+    first = jobs.versions(spark, target)[-1]
+    before = jobs.read_upserted(spark, target)
+    # The commit fails after every month was written: the table is as it was, whole.
+    move, looks = files.rename, []
+
+    def broken(spark, src, dst):
+        looks.append(seen())
+        raise OSError("lost")
+
+    monkeypatch.setattr(files, "rename", broken)
+    with pytest.raises(OSError):
+        write(batch(2.0), 1)
+    assert looks == [[1.0] * 3] and seen() == [1.0] * 3
+    monkeypatch.setattr(files, "rename", move)
+    write(batch(2.0), 1)
+    assert seen() == [2.0] * 3 and seen(first) == [1.0] * 3
+    assert sorted(r.day_kwh for r in before.collect()) == [1.0] * 3  # a reader that began before
+    # Months that a batch does not touch keep their folder; old versions go in the end.
+    write(batch(3.0, ["2024-02-01"]), 2)
+    assert seen() == [2.0, 2.0, 3.0]
+    for i in range(3, 6):
+        write(batch(float(i), ["2024-02-01"]), i)
+    assert len(jobs.versions(spark, target)) == jobs.KEEP_VERSIONS and seen() == [2.0, 2.0, 5.0]
+    assert not (tmp_path / "t" / "versions" / first.rsplit("/", 1)[1]).exists()
+    write(batch(9.0, []), 6)
+    assert seen() == [2.0, 2.0, 5.0]
+
+
 def test_work_dir_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     path = work_dir(spark, "x")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,8 +123,68 @@ def test_model_round_trip_and_floor(spark, matrix):
     scored = scoring.score(f, model, spec)
     assert scored.where("est_bill_won is null").isEmpty()
     overall, by_month = studies.weather_sensitivity(f, spec, lambda d: models.predict(model, d, spec))
-    assert {r.scenario for r in overall.collect()} == {"base", "temp", "climatology"}
+    assert {r.scenario for r in overall.collect()} == {
+        "base", "temp", "rain", "solar", "climatology"}
     assert by_month.select("month").distinct().count() == 12
+    # Without a shift the scenario is the model itself; rain and radiation reach the model.
+    plain = metrics.evaluate_rows(models.predict(model, f, spec), []).first()
+    base = overall.where("scenario = 'base'").first()
+    assert base.n == plain.n and base.mape_pct == pytest.approx(plain.mape_pct)
+    assert f.where("precip_remainder is not null and solar_remainder is not null").count() > 0
+
+
+def test_patience_waits_for_a_better_round():
+    curve = [9.0, 8.0, 8.0, 8.1, 7.0, 7.5, 7.5, 7.5, 7.5]
+    assert models.best_prefix(curve, 1) == (2, True)      # one flat round ends it
+    assert models.best_prefix(curve, 3) == (5, True)      # three wait for the fifth
+    assert models.best_prefix(curve, 30) == (5, False)    # and more rounds might still matter
+    assert models.best_prefix([3.0, 2.0, 1.0], 30) == (3, False)
+
+
+def test_boosting_keeps_the_best_rounds(spark, matrix):
+    f, _ = matrix
+    spec = ft.FeatureSpec()
+    d = models.prepared(f, spec)
+    d = clean.with_suggested_split(d).where("split <> 'test'")
+    val, fit = d.where("split = 'val'"), d.where("split = 'train'")
+    build = lambda n: models._pipeline(spec, n, 0.5, 3, 0.9)
+    model = models.boosted(fit, val, build, 12, patience=2)
+    curve = models.error_curve(build(12).fit(fit), val)
+    best, turned = models.best_prefix(curve, 2)
+    assert models.rounds_of(model) == best and (turned or best == 12 or len(curve) == 12)
+    assert models.error_curve(model, val) == pytest.approx(curve[:best])
+    path = work_dir(spark, "prefix")
+    model.write().save(path)
+    from pyspark.ml import PipelineModel
+
+    assert models.rounds_of(PipelineModel.load(path)) == best
+
+
+def test_inflation_on_complete_rows(spark, matrix):
+    f, _ = matrix
+    cols = ["partial_kwh", "prev_month_kwh", "ma3_kwh", "days_observed", "month", "customer_mean_history"]
+    got = {r.feature: r for r in models.select_features(f, cols, corr_threshold=2.0, min_corr=0.0,
+                                                        vif_threshold=1e9).collect()}
+    x = f.select(*cols).dropna().toPandas().astype(float)
+    for c in cols:
+        others = np.column_stack([np.ones(len(x)), x.drop(columns=c)])
+        fit = others @ np.linalg.lstsq(others, x[c], rcond=None)[0]
+        r2 = 1 - ((x[c] - fit) ** 2).sum() / ((x[c] - x[c].mean()) ** 2).sum()
+        assert got[c].vif * (1 - r2) == pytest.approx(1, rel=1e-6)
+
+
+def test_sliding_models_share_their_rows(spark, matrix):
+    daily = rollup.daily_by_customer(t.readings(spark, SF))
+    double = {"linear": lambda d, out: d.withColumn(out, baselines.partial_linear()),
+              "twice": lambda d, out: d.withColumn(out, 2 * baselines.partial_linear())}
+    rows = models.sliding_evaluation(daily, rollup.monthly_by_customer(daily), (1, 15), double)
+    got = rows.groupBy("model", "meter_day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pred_monthly_kwh").alias("s")).collect()
+    by = {(r.model, r.meter_day): r for r in got}
+    assert len(by) == 4
+    for m in (1, 15):
+        assert by["linear", m].n == by["twice", m].n
+        assert by["twice", m].s == pytest.approx(2 * by["linear", m].s)
 
 
 def test_many_categories_and_honest_split(spark, matrix):
