@@ -9,12 +9,18 @@ bins in one of 500,000 pairs.
 
 Documents with equal sets are one class before anything else, so copies never multiply. In a
 bucket every class is paired with one centre, drawn by the bucket, and no other: candidate
-edges are stars. They are confirmed on the full sets, and links become components. A bucket that
-its star leaves in several components gets another centre, the member whose tests were links most
-often (the original among its copies), until a round joins no components. What is left outside
-the largest component of its bucket is then compared with the members of the other components
-there, so that no link inside a bucket is lost for the choice of centres. Pairs inside one
-component are never made.
+edges are stars. They are confirmed on the full sets, and links become components.
+
+Buckets that their star leaves in several components are open. Open buckets that meet form
+clusters, and each cluster gets one hub B, the member whose tests were links most often (the
+original among its copies), which is compared with all of the cluster. Every other member is
+then known by its difference to the hub, the set X ^ B. Two members X and Y that are still in
+different components, X not linked to B, can be linked only if their differences have enough in
+common: they differ in |X ^ B| + |Y ^ B| - 2 common elements, and linked sets may differ in a
+ninth of |X| + |Y| at most (at 80 percent). So only the rarest elements of a difference, as many
+as must hold a common one, are joined; what they bring together is confirmed on the full sets.
+No link inside a bucket is lost for the choice of centres, and pairs inside one component, or
+pairs that only have the common text of the cluster in common, are never made.
 
 Cases: null and empty texts, and texts of white space only, have the empty set and are linked
 with nothing. Null ids stay in the result with ``kept`` false; a component is named by its
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loadlens.llm.components import components
 from loadlens.llm.toxicity import WordHashes
@@ -124,15 +130,16 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                 ).alias("k"), F.col(text_col).alias("t"))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough; a pair that its sizes
-    alone exclude is dropped before its ``texts`` (node, n, t) meet."""
+def _sized(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs with the sizes na, nb of their sets."""
     sizes = texts.select("node", "n")
-    near = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
-        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b").filter(
-        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    near = write_and_read(near, "minhash")
-    both = near.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(
+    return pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, width: int, schema: str, row) -> DataFrame:
+    """``row(a, b, set of a, set of b)`` for each pair whose answer is not None, as ``schema``."""
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").select(
         "a", "b", "ta", "tb")
 
@@ -143,12 +150,37 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             for a, b, ta, tb in zip(*(batch[c] for c in ("a", "b", "ta", "tb"))):
                 if a != of:
                     of, mine = a, shingles(ta, hashes, width)
-                other = shingles(tb, hashes, width)
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * common >= percent * (len(mine) + len(other) - common):
-                    yield a, b
+                found = row(a, b, mine, shingles(tb, hashes, width))
+                if found is not None:
+                    yield found
+
+    return write_and_read(map_rows(both, schema, compare), "minhash")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough; a pair that its sizes
+    alone exclude is dropped before its ``texts`` (node, n, t) meet."""
+    near = write_and_read(_sized(pairs, texts).filter(
+        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "minhash")
+
+    def row(a, b, x, y):
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return (a, b) if 100 * common >= percent * (len(x) + len(y) - common) else None
+
+    return _compared(near, texts, width, "a bigint, b bigint", row)
+
+
+def differences(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(hub, node, n_hub, n, linked, diff) for pairs (a = hub, b): the elements in one set only."""
+
+    def row(a, b, x, y):
+        diff = np.setxor1d(x, y, assume_unique=True)
+        common = (len(x) + len(y) - len(diff)) // 2
+        linked = 100 * common >= percent * (common + len(diff))
+        return a, b, len(x), len(y), linked, diff.view(np.int64)
 
-    return write_and_read(map_rows(both, "a bigint, b bigint", compare), "minhash")
+    return _compared(pairs, texts, width, "hub bigint, node bigint, n_hub bigint, n bigint, "
+                                          "linked boolean, diff array<bigint>", row)
 
 
 def _texts(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
@@ -183,26 +215,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tested = write_and_read(_pairs(members.filter("node <> centre"), "node", "centre"), "minhash")
     links = confirmed(tested, texts, width, percent)
     roots = _merged(classes.select("node", F.col("node").alias("root")), links)
-    open_ = _open(members.filter("size > 2").select(
-        "key", "node", (F.col("node") == F.col("centre")).alias("used")), roots)
-    while not open_.isEmpty():
-        hubs = open_.filter("not used").join(_scores(tested, links), "node").groupBy("key").agg(
-            F.max(F.struct("score", F.col("node").bitwiseXOR(F.col("key")).alias("turned"), "node",
-                           "root")).alias("hub")).select(
-            "key", F.col("hub.node").alias("hub"), F.col("hub.root").alias("hub_root"))
-        met = open_.join(hubs, "key")
-        fresh = write_and_read(_pairs(met.filter("not used and root <> hub_root"), "node", "hub").join(
-            tested, ["a", "b"], "left_anti"), "minhash")
-        more = confirmed(fresh, texts, width, percent)
-        tested, links = tested.unionByName(fresh), links.unionByName(more)
-        if more.isEmpty():
-            break
-        roots = _merged(roots, more)
-        open_ = _open(met.select("key", "node", (F.col("used") | (F.col("node") == F.col("hub"))
-                                                 ).alias("used")), roots)
-    rest = write_and_read(_between(open_).join(tested, ["a", "b"], "left_anti"), "minhash")
-    if not rest.isEmpty():
-        roots = _merged(roots, confirmed(rest, texts, width, percent))
+    clusters = _clusters(members, roots, tested, links)
+    if not clusters.isEmpty():
+        spokes = clusters.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        known = differences(spokes, texts, width, percent)
+        roots = _merged(roots, known.filter("linked").select(F.col("hub").alias("a"),
+                                                             F.col("node").alias("b")))
+        rest = write_and_read(_between(known, roots, percent), "minhash")
+        if not rest.isEmpty():
+            roots = _merged(roots, confirmed(rest, texts, width, percent))
     named = classes.select("node", "set", "least").join(roots, "node")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(ids, "root").select("set", "component_id")
@@ -227,14 +248,21 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
         "node", F.coalesce("top", "root").alias("root")), "minhash")
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, used, root): the buckets whose members lie in several components, where two
-    of them have not been centres."""
-    placed = members.join(roots, "node")
-    several = placed.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"),
-        F.count_if(~F.col("used")).alias("new")).filter("low <> high and new > 1").select("key")
-    return write_and_read(placed.join(several, "key").select("key", "node", "used", "root"), "minhash")
+def _clusters(members: DataFrame, roots: DataFrame, tested: DataFrame,
+              links: DataFrame) -> DataFrame:
+    """(node, hub) for the members of buckets that lie in several components; members of
+    buckets that meet have one hub."""
+    placed = members.filter("size > 2").join(roots, "node")
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")
+                                        ).filter("low <> high").select("key")
+    open_ = write_and_read(placed.join(several, "key").select("key", "node"), "minhash")
+    first = open_.groupBy("key").agg(F.min("node").alias("b"))
+    met = components(open_.join(first, "key").select(F.col("node").alias("a"), "b"))
+    scored = write_and_read(met.join(_scores(tested, links), "node", "left").select(
+        "node", "root", F.coalesce("score", F.lit(0.0)).alias("score")), "minhash")
+    best = scored.groupBy("root").agg(F.max(F.struct("score", "node")).alias("m"))
+    return write_and_read(scored.join(best, "root").select("node", F.col("m.node").alias("hub")),
+                          "minhash")
 
 
 def _scores(tested: DataFrame, links: DataFrame) -> DataFrame:
@@ -245,13 +273,42 @@ def _scores(tested: DataFrame, links: DataFrame) -> DataFrame:
         (F.pow(F.sum("linked"), 2) / F.count_if(F.col("linked") == 0)).alias("score"))
 
 
-def _between(open_: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket that lie in different components, one of them outside the
-    component that has most members there, and neither of which was a centre."""
-    counts = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select(
-        "key", F.col("m.root").alias("main"))
-    own = open_.filter("not used")
-    outer = own.join(main, "key").filter("root <> main").select(
-        "key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    return _pairs(own.join(outer, "key").filter("root <> x_root"), "node", "x")
+def _between(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one cluster in different components whose differences to the
+    hub can have enough in common.
+
+    Linked sets X and Y differ in ``share * (|X| + |Y|)`` elements at most, and a set that is not
+    linked to its hub B differs from it in more than ``share * (|X| + |B|)``. With a partner that
+    is not linked to the hub, X must have ``(|X ^ B| + share * (|B| - |X|)) / 2`` elements of its
+    difference in common; a set outside the hub's component, with any partner, that many or
+    ``|X ^ B| - share * (|X| + |Y|)``, whichever is less, where |Y| is at most 100 / percent |X|.
+    Of two sets with c common elements both hold one among their first size - c + 1, in any
+    order that all sets follow; here the rarest come first.
+    """
+    share = (100 - percent) / (100 + percent)
+    own = roots.select("node", "root")
+    rows = known.join(own, "node").join(own.select(
+        F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub")
+    size, n = F.size("diff"), F.col("n")
+    half = (size + share * (F.col("n_hub") - n)) / 2
+    far = size - share * n * (1 + 100 / percent)
+    outside = F.col("root") != F.col("hub_root")
+    need = F.when(outside, F.least(half, far)).otherwise(half)
+    # A little less than the bound, against rounding.
+    need = F.greatest(F.lit(1), F.ceil(need - 1e-6)).cast("int")
+    cells = rows.select("hub", "node", "root", outside.alias("outside"), (size - need + 1).alias("first"),
+                        F.explode("diff").alias("x"))
+    cells = write_and_read(cells.filter("first > 0"), "minhash")
+    common = cells.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("df"),
+                                           F.count_if("outside").alias("out")).filter(
+        "df > 1 and out > 0")
+    # Elements of one set only come before all others, and bring nothing together.
+    seen = cells.join(common, ["hub", "x"], "left")
+    order = W.partitionBy("hub", "node").orderBy(F.coalesce("df", F.lit(1)), "x")
+    short = seen.withColumn("at", F.row_number().over(order)).filter(
+        "at <= first and df is not null").select("hub", "x", "node", "root", "outside")
+    short = write_and_read(short, "minhash")
+    outer = short.filter("outside").select("hub", "x", F.col("node").alias("o"),
+                                           F.col("root").alias("o_root"))
+    pairs = short.join(outer, ["hub", "x"]).filter("root <> o_root")
+    return _pairs(pairs, "node", "o")

@@ -352,6 +352,25 @@ def test_local_totals_on_random_trees():
         assert saved == want
 
 
+def test_fragmented_groups_equal_brute_force(spark):
+    """Chains of edits around an original: links, near links and outsiders in one cluster."""
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        base = [f"b{i}" for i in range(70)]
+        pool = [f"p{i}" for i in range(30)]
+        texts = [base]
+        for _ in range(90):
+            t = list(rng.choice(texts if rng.random() < 0.6 else [base]))
+            for _ in range(rng.randrange(1, 9)):
+                at = rng.randrange(len(t))
+                t[at:at + rng.choice([0, 1, 1, 1, 2])] = [rng.choice(pool)]
+            texts.append(t)
+        docs = [(i, " ".join(t)) for i, t in enumerate(rng.sample(texts, len(texts)))]
+        want = naive_components(docs)
+        assert 3 < len({r[2] for r in want}) < 80
+        assert near(spark, docs) == want
+
+
 def test_copies_that_only_their_original_links(spark):
     # Copies differ from each other by too much, and from the original by little.
     rng = random.Random(6)
