@@ -464,5 +464,6 @@ def source_profile(df: DataFrame, samples: int = 3) -> DataFrame:
         F.count(v).alias("n_distinct"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*picks)))).alias("samples"),
         F.min(x).alias("min"), F.max(x).alias("max"), mean.alias("mean"),
-        F.sqrt(F.greatest(ratio(F.sum(x * x * c), n) - mean * mean, F.lit(0.0))).alias("std"))
+        F.when(n > 0, F.sqrt(F.greatest(ratio(F.sum(x * x * c), n) - mean * mean, F.lit(0.0)))
+               ).alias("std"))
     return out.withColumn("suggested", suggested_name(F.col("name")))
