@@ -8,7 +8,10 @@ others refer to it. Each task writes the files of its own rows to the target fol
 The reader cuts files into byte ranges. A task looks for the gzip magic in its range, takes a
 candidate for a member if its first bytes decode to a WARC header, then follows the members;
 it owns the records whose member starts inside the range and reads past the end to finish the
-last one. Other occurrences of the magic are compressed data and are passed over. (A stored,
+last one. Where a member has to begin, at the start of a file or after another, and none can be
+read, a row of type ``damaged`` says so; ``missing`` compares what was read with a manifest.
+Records of any type are read: those without an HTTP message have their block as payload, chunked
+bodies are put together, and a digest that is stated is compared with the payload. Other occurrences of the magic are compressed data and are passed over. (A stored,
 uncompressed member that itself holds a gzipped WARC could still mislead a range that starts
 inside it; text payloads cannot hold the magic, whose second byte is not valid UTF-8.)
 
@@ -127,7 +130,7 @@ class Range:
     def __init__(self, f, start: int, end: int):
         self.f, self.start, self.end = f, start, end
         f.seek(start)
-        self.data = f.read(end - start + len(MAGIC) - 1)
+        self.data = bytearray(f.read(end - start + len(MAGIC) - 1))
 
     def more(self, n: int = 1 << 20) -> bool:
         chunk = self.f.read(n)
@@ -136,11 +139,15 @@ class Range:
 
     def inflate(self, at: int, limit: int | None = None) -> tuple[bytes, int] | None:
         """The member at ``at`` and the place after it; with ``limit`` its first bytes only."""
-        z, parts, have, step = zlib.decompressobj(31), [], 0, 1 << 15
+        z, parts, have = zlib.decompressobj(31), [], 0
+        # Steps are the same from every range, so that all ranges judge a head alike.
+        step = 64 if limit is not None else 1 << 15
         while not z.eof:
-            if at >= len(self.data) and not self.more():
+            while len(self.data) < at + step and self.more():
+                pass
+            chunk = bytes(self.data[at:at + step])
+            if not chunk:
                 return None
-            chunk = self.data[at:at + step]
             at += len(chunk)
             try:
                 parts.append(z.decompress(chunk))
@@ -151,25 +158,30 @@ class Range:
                 break
         return b"".join(parts), at - len(z.unused_data)
 
-    def members(self) -> Iterator[bytes]:
-        at, known = 0, False
+    def records(self) -> Iterator[tuple[int, bytes | None]]:
+        """(offset, record) per member; None where one has to begin and cannot be read."""
+        at, due = 0, self.start == 0
         while True:
-            if not known:
+            if not due:
                 at = self.data.find(MAGIC, at)
-            if at < 0 or at >= self.end - self.start:
+            outside = at < 0 or at >= self.end - self.start
+            if outside and not due or at >= len(self.data) and not self.more():
                 return
             head = self.inflate(at, len(VERSION))
-            if head is None or not head[0].startswith(b"WARC/1."):
-                at, known = at + 1, False
+            good = head is not None and head[0].startswith(b"WARC/1.")
+            whole = self.inflate(at) if good and not outside else None
+            if outside or whole is None:
+                if due and not good or good and not outside:
+                    yield self.start + at, None
+                if outside:
+                    return
+                at, due = at + 1, False
                 continue
-            whole = self.inflate(at)
-            if whole is None:
-                raise ValueError(f"a record is cut off at byte {self.start + at}")
-            yield whole[0]
-            at = whole[1]
-            if at + len(MAGIC) > len(self.data):
-                self.more()
-            known = self.data[at:at + len(MAGIC)] == MAGIC
+            yield self.start + at, whole[0]
+            at, due = whole[1], True
+
+    def members(self) -> Iterator[bytes]:
+        return (record for _, record in self.records() if record is not None)
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -179,13 +191,22 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
         name, _, value = line.partition(":")
         fields[name.strip().lower()] = value.strip()
-    return fields, rest[:int(fields["content-length"])]
+    size = fields.get("content-length", "")
+    return fields, rest[:int(size)] if size.isdigit() else rest
+
+
+ROW = ("record_id string, uri string, record_type string, refers_to string, payload_bytes bigint, "
+       "payload_digest string, payload binary, intact boolean, path string, at bigint")
 
 
 def read_archives(manifest: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
     """One row per record of the files of ``manifest`` (path, n_bytes): record_id, uri,
-    record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits). The
-    digest of a held payload is computed again and must equal the one in the header."""
+    record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits), intact,
+    path and at (its first byte in the file).
+
+    ``intact`` is whether the payload has the SHA-1 that its record states, null where it states
+    none or holds no payload. A payload's digest is the stated one, or else computed.
+    """
     cut = F.sequence(F.lit(0).cast("bigint"), F.col("n_bytes") - 1, F.lit(range_bytes).cast("bigint"))
     ranges = manifest.filter("n_bytes > 0").select("path", "n_bytes", F.explode(cut).alias("a"))
     ranges = ranges.select("path", "a", F.least(F.col("a") + range_bytes, "n_bytes").alias("z"))
@@ -198,24 +219,67 @@ def read_archives(manifest: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
             for path, start, end in zip(b["path"], b["a"], b["z"]):
                 system, name = fs.FileSystem.from_uri(path)
                 with system.open_input_file(name) as f:
-                    for record in Range(f, start, end).members():
-                        yield _row(*parse(record))
-
-    return map_rows(ranges, "record_id string, uri string, record_type string, refers_to string, "
-                    "payload_bytes bigint, payload_digest string, payload binary", rows, flush=128)
+                    for at, record in Range(f, start, end).records():
+                        found = DAMAGED if record is None else _row(*parse(record))
+                        yield *found, path, at
+
+    return map_rows(ranges, ROW, rows, flush=128)
+
+
+def missing(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """(path, n_records, n_read, n_damaged) of the files whose records are not all there."""
+    read = records.groupBy("path").agg(
+        F.count_if(F.col("record_type") != "damaged").alias("n_read"),
+        F.count_if(F.col("record_type") == "damaged").alias("n_damaged"))
+    none = F.lit(0).cast("bigint")
+    return manifest.select("path", "n_records").join(read, "path", "left").select(
+        "path", "n_records", F.coalesce("n_read", none).alias("n_read"),
+        F.coalesce("n_damaged", none).alias("n_damaged")).filter(
+        "n_read <> n_records or n_damaged > 0")
+
+
+DAMAGED = (None, None, "damaged", None, None, None, None, False)
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """The body of chunked pieces; None if they are not well formed."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip()
+        if end < 0 or not size or not all(c in b"0123456789abcdefABCDEF" for c in size):
+            return None
+        n = int(size, 16)
+        if n == 0:
+            return b"".join(parts)
+        piece = body[end + 2:end + 2 + n]
+        if len(piece) < n:
+            return None
+        parts.append(piece)
+        at = end + 2 + n + 2
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:
-    http, _, payload = block.partition(b"\r\n\r\n")
-    length = next(int(line.split(b":")[1]) for line in http.split(b"\r\n")
-                  if line.lower().startswith(b"content-length:"))
-    said = fields["warc-payload-digest"].removeprefix("sha1:")
-    kind = fields["warc-type"]
-    if kind == "response" and (len(payload) != length or digest_of(payload) != said):
-        raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
-    return (_id(fields["warc-record-id"]), fields.get("warc-target-uri"), kind,
-            _id(fields.get("warc-refers-to")), length, said,
-            payload if kind == "response" else None)
+    kind = fields.get("warc-type", "unknown").lower()
+    body, headers = block, {}
+    if block.startswith(b"HTTP/") or "application/http" in fields.get("content-type", "").lower():
+        http, _, body = block.partition(b"\r\n\r\n")
+        for line in http.split(b"\r\n")[1:]:
+            name, _, value = line.partition(b":")
+            headers[name.strip().lower()] = value.strip()
+    ways = [body]
+    if headers.get(b"transfer-encoding", b"").lower() == b"chunked":
+        whole = unchunked(body)
+        ways = [body] if whole is None else [whole, body]  # some writers take the digest as sent
+    stated = fields.get("warc-payload-digest", "")
+    said = stated[5:].upper() if stated.lower().startswith("sha1:") else None
+    held = kind != "revisit"
+    payload = next((w for w in ways if said and digest_of(w) == said), ways[0])
+    length = headers.get(b"content-length", b"")
+    size = int(length) if not held and length.isdigit() else len(payload)
+    return (_id(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind,
+            _id(fields.get("warc-refers-to")), size, said or (digest_of(payload) if held else None),
+            payload if held else None, digest_of(payload) == said if said and held else None)
 
 
 def _id(urn: str | None) -> str | None:

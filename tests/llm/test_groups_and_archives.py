@@ -287,6 +287,51 @@ def test_archive_ranges_pass_over_magic_in_data(tmp_path):
             f"<urn:page:{i}>" for i in range(5)] * 2
 
 
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(kind, block, **fields):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", *[f"{k.replace('_', '-')}: {v}" for k, v in fields.items()]]
+        return ("\r\n".join(lines) + f"\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\n"
+    digest = lambda b: "sha1:" + warc.digest_of(b)
+    chunked = http + b"Transfer-Encoding: chunked\r\n\r\n4;x=1\r\nabcd\r\n3\r\nefg\r\n0\r\n\r\n"
+    plain = http + b"Content-Length: 5\r\n\r\nhello"
+    records = [
+        record("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:uuid:1>"),
+        record("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        record("response", chunked, WARC_Payload_Digest=digest(b"abcdefg"), WARC_Record_ID="<urn:uuid:3>"),
+        record("response", plain), record("metadata", b"a: b"),
+        record("response", plain, WARC_Payload_Digest=digest(b"other")),
+        record("response", http + b"Transfer-Encoding: chunked\r\n\r\nzz", WARC_Payload_Digest="md5:0"),
+        record("resource", b"x" * 3_000_000)]
+    members = [warc.member(r, 6) for r in records]
+    hurt = bytearray(members[3])
+    hurt[20] ^= 0xFF
+    files = {"good": b"".join(members), "hurt": members[0] + bytes(hurt) + members[4],
+             "first": bytes(hurt) + members[0], "cut": members[0] + members[7][:-9], "none": b""}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    manifest = spark.createDataFrame(
+        [(str(tmp_path / n), len(d), {"good": 8, "hurt": 3, "first": 2, "cut": 2, "none": 0}[n])
+         for n, d in files.items()], "path string, n_bytes long, n_records long")
+    for size in (50, 4 << 20):
+        rows = warc.read_archives(manifest, size)
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r["path"].rsplit("/", 1)[1], []).append(r)
+        good = sorted(got["good"], key=lambda r: r["at"])
+        assert [(r["record_type"], r["payload_bytes"], r["intact"]) for r in good] == [
+            ("warcinfo", 13, None), ("request", 0, None), ("response", 7, True), ("response", 5, None),
+            ("metadata", 4, None), ("response", 5, False), ("response", 2, None), ("resource", 3_000_000, None)]
+        assert bytes(good[2]["payload"]) == b"abcdefg" and good[3]["payload_digest"] == warc.digest_of(b"hello")
+        kinds = {n: [r["record_type"] for r in sorted(rs, key=lambda r: r["at"])] for n, rs in got.items()}
+        assert kinds["hurt"] == ["warcinfo", "damaged", "metadata"] and kinds["first"] == ["damaged", "warcinfo"]
+        assert kinds["cut"] == ["warcinfo", "damaged"] and "none" not in kinds
+        lost = {r["path"].rsplit("/", 1)[1]: (r["n_read"], r["n_damaged"])
+                for r in warc.missing(manifest, rows).collect()}
+        assert lost == {"hurt": (2, 1), "first": (1, 1), "cut": (1, 1)}
+
+
 def test_secret_candidates_and_forest(spark):
     rng = random.Random(3)
     key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
