@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadlens.llm.workers import map_rows, ship
+from loadlens.llm.workers import map_rows, opened, share, ship
 from loadlens.session import write_and_read
 
 ship(__name__)
@@ -139,11 +139,12 @@ def _matrix(column) -> np.ndarray:
 
 
 def _index(distinct: DataFrame, tree: Tree) -> DataFrame:
-    shared = distinct.sparkSession.sparkContext.broadcast(tree)
+    shared = share(distinct.sparkSession, tree)
 
     def rows(batches: Iterator[dict]):
+        own = opened(shared)
         for b in batches:
-            leaves = shared.value.leaf_of(_matrix(b["v"]))
+            leaves = own.leaf_of(_matrix(b["v"]))
             yield from zip(leaves.tolist(), b["ids"], b["v"])
 
     return map_rows(distinct, "leaf bigint, ids array<bigint>, v array<double>", rows)
@@ -217,10 +218,10 @@ def search(table: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_i
     held = np.zeros(len(tree.children), np.int64)
     for r in index.groupBy("leaf").agg(F.sum(F.size("ids")).alias("n")).collect():
         held[r["leaf"]] = r["n"]
-    shared = spark.sparkContext.broadcast((tree, held))
+    shared = share(spark, (tree, held))
 
     def plan(batches: Iterator[dict]):
-        own, n = shared.value
+        own, n = opened(shared)
         for b in batches:
             for i, v in zip(b["id"], b["v"]):
                 for leaf in own.visits(np.array(v), visits, n, k + 1):

@@ -8,8 +8,10 @@ end of a pattern have shift zero and name a bucket of patterns, which are compar
 by word. A block in no pattern moves the search on by a whole pattern less one word, so
 most positions of a document are never looked at.
 
-Patterns are broadcast in blocks of items whose texts stay below ``block_bytes``: a larger
-test set takes more passes over the documents, never more memory.
+Distinct patterns are counted and broadcast in blocks of about ``block_windows``, dealt by a hash
+of the pattern, so an item of any length is spread over blocks and a larger test set takes more
+passes over the documents, not more memory: a pattern of ten words takes about 1.5 kB in the
+tables of a worker.
 
 Cases: null texts have no words; items without words match nothing. Repeated item ids
 count once; items with a null id are searched (their words are hit) but not named.
@@ -18,12 +20,13 @@ Repeated documents are each reported. With no items every document is clean.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from loadlens.llm.workers import map_rows, ship, words_of
+from loadlens.llm.workers import latest, map_rows, ship, words_of
 from loadlens.session import write_and_read
 
 ship(__name__)
@@ -36,6 +39,7 @@ class WuManber:
         self.length = len(next(iter(patterns)))
         self.block = min(2, self.length)
         self.rest = self.length - self.block + 1
+        self.singles = {w[0]: items for w, items in patterns.items()} if self.length == 1 else {}
         self.shift: dict[tuple[bytes, ...], int] = {}
         self.bucket: dict[tuple[bytes, ...], list] = defaultdict(list)
         for words, items in patterns.items():
@@ -50,11 +54,9 @@ class WuManber:
         get, rest, length = self.shift.get, self.rest, self.length
         end = length
         if self.block == 1:
-            singles = {w[0]: items for w, items in
-                       ((p, i) for ps in self.bucket.values() for p, i in ps)}
             for at, w in enumerate(words):
-                if w in singles:
-                    yield at, singles[w]
+                if w in self.singles:
+                    yield at, self.singles[w]
             return
         while end <= len(words):
             step = get((words[end - 2], words[end - 1]), rest)
@@ -68,26 +70,41 @@ class WuManber:
             end += 1
 
 
-def windows(items: list[tuple], window: int) -> dict[int, dict[tuple, set]]:
-    """Patterns by length: every window of an item, or the whole of a shorter item."""
-    by_length: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        words = words_of(text)
-        n = min(window, len(words))
-        for start in range(len(words) - n + 1 if n else 0):
-            by_length[n][tuple(words[start:start + n])].update([] if item is None else [str(item)])
-    return by_length
+def windows(text: str, window: int) -> list[bytes]:
+    """Patterns of an item: every window, or the whole of a shorter item; words space-joined."""
+    words = words_of(text)
+    n = min(window, len(words))
+    return [b" ".join(words[i:i + n]) for i in range(len(words) - n + 1 if n else 0)]
 
 
-def find_hits(docs: DataFrame, items: list[tuple], window: int, id_col: str,
+def patterns_of(items: DataFrame, window: int) -> DataFrame:
+    """(w, items): the distinct patterns of items (i, t), and the ids that they name."""
+
+    def rows(batches: Iterator[dict]):
+        for b in batches:
+            for i, t in zip(b["i"], b["t"]):
+                for w in set(windows(t, window)):
+                    yield w, i
+
+    found = map_rows(items, "w binary, i string", rows)
+    return write_and_read(found.groupBy("w").agg(F.collect_set("i").alias("items")), "decontaminate")
+
+
+def find_hits(docs: DataFrame, patterns: list[tuple[bytes, list]], id_col: str,
               text_col: str) -> DataFrame:
-    """Rows (id, n_words, spans, items): the word spans hit by one block of items, merged."""
-    spark = docs.sparkSession
-    patterns = {n: dict(p) for n, p in windows(items, window).items()}
-    shared = spark.sparkContext.broadcast(patterns)
+    """Rows (id, n_words, spans, items): the word spans hit by one block of patterns, merged."""
+    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+    key = uuid.uuid4().hex
+
+    def tables() -> list[WuManber]:
+        by_length: dict[int, dict[tuple, list]] = defaultdict(dict)
+        for w, items in shared.value:
+            words = tuple(w.split(b" "))
+            by_length[len(words)][words] = items
+        return [WuManber(p) for p in by_length.values()]
 
     def rows(batches: Iterator[dict]):
-        searches = [WuManber(p) for p in shared.value.values()]
+        searches = latest("wu-manber", key, tables)
         for b in batches:
             for i, text in zip(b["k"], b["t"]):
                 words = words_of(text)
@@ -96,7 +113,7 @@ def find_hits(docs: DataFrame, items: list[tuple], window: int, id_col: str,
                 for s in searches:
                     for start, named in s.search(words):
                         hit.append((start, start + s.length))
-                        found |= named
+                        found.update(named)
                 yield i, len(words), merged(hit), sorted(found)
 
     kind = docs.select(id_col).dtypes[0][1]
@@ -118,15 +135,20 @@ def merged(spans: list) -> list[dict]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+                  item_text_col: str = "text", block_windows: int = 50_000) -> DataFrame:
     """(id, n_words, n_hit, spans, items) per document; spans in words, items sorted as text."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"),
                              F.col(item_text_col).alias("t")).filter("t is not null")
-    size = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    if size <= block_bytes:
-        found = find_hits(docs, [tuple(r) for r in items.collect()], window, id_col, text_col)
+    patterns = patterns_of(items, window)
+    n = patterns.count()
+    if n <= block_windows:
+        found = find_hits(docs, _collected(patterns), id_col, text_col)
         return found.withColumn("n_hit", words_hit("spans"))
-    return _in_blocks(docs, items, window, id_col, text_col, -(-2 * size // block_bytes))
+    return _in_blocks(docs, patterns, id_col, text_col, -(-2 * n // block_windows))
+
+
+def _collected(patterns: DataFrame) -> list[tuple[bytes, list]]:
+    return [(bytes(r["w"]), r["items"]) for r in patterns.toLocalIterator()]
 
 
 def words_hit(spans: str):
@@ -134,18 +156,18 @@ def words_hit(spans: str):
                        lambda n, s: n + (s["end"] - s["start"]).cast("bigint"))
 
 
-def _in_blocks(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str,
+def _in_blocks(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str,
                blocks: int) -> DataFrame:
-    """One pass over the documents for each block of items; hits of a document meet by a key
+    """One pass over the documents for each block of patterns; hits of a document meet by a key
     of its id and text, so repeated documents with one key share their (equal) hits."""
     keyed = docs.select(F.struct(F.col(id_col).alias("id"),
                                  F.xxhash64(text_col).alias("h")).alias("row"),
                         F.col(text_col).alias("body"))
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(blocks))
+    part = F.pmod(F.xxhash64("w"), F.lit(blocks))
     found = None
     for n in range(blocks):
-        hits = find_hits(keyed, [tuple(r) for r in items.filter(part == n).collect()], window,
-                         "row", "body").filter(F.size("spans") > 0)
+        hits = find_hits(keyed, _collected(patterns.filter(part == n)), "row", "body").filter(
+            F.size("spans") > 0)
         hits = write_and_read(hits.select("row", "spans", "items"), "decontaminate")
         found = hits if found is None else found.unionByName(hits)
     united = map_rows(
@@ -156,7 +178,7 @@ def _in_blocks(docs: DataFrame, items: DataFrame, window: int, id_col: str, text
         "items array<string>",
         lambda batches: ((k, merged([(x["start"], x["end"]) for x in s]), i)
                          for b in batches for k, s, i in zip(b["row"], b["s"], b["i"])))
-    counted = find_hits(keyed, [], window, "row", "body").select("row", "n_words")
+    counted = find_hits(keyed, [], "row", "body").select("row", "n_words")
     joined = counted.join(united, counted["row"].eqNullSafe(united["row"]), "left").drop(
         united["row"])
     empty = F.array().cast("array<struct<start:int,end:int>>")

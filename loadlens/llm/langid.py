@@ -27,7 +27,7 @@ import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from loadlens.llm.workers import map_rows, ship
+from loadlens.llm.workers import map_rows, opened, share, ship
 from loadlens.session import write_and_read
 
 ship(__name__)
@@ -301,10 +301,10 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) per row: the likeliest language and its posterior probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def rows(batches: Iterator[dict]):
-        m = shared.value
+        m = opened(shared)
         scorer = Scorer(m)
         for b in batches:
             for i, like in zip(b["k"], scorer.batch(b["t"])):

@@ -22,7 +22,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from loadlens.llm.workers import map_rows, mix, ship, words_of
+from loadlens.llm.workers import map_rows, mix, opened, share, ship, words_of
 from loadlens.session import work_dir
 
 ship(__name__)
@@ -157,10 +157,10 @@ def _gradients(rows: DataFrame, known, current) -> DataFrame:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """(id, score) per row; score is the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def rows(batches: Iterator[dict]):
-        m = shared.value
+        m = opened(shared)
         weighted = np.zeros(SLOTS, np.bool_)
         weighted[m.slots] = True
         hashes = WordHashes()

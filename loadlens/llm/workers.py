@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Callable, Iterator
 
@@ -24,6 +25,16 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
+def share(spark, value):
+    """Broadcast a value of a class of this package, whole, so that executors need no install;
+    ``opened`` gives it back in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared):
+    return pickle.loads(shared.value)
+
+
 def once(key: tuple, build: Callable):
     """Value built once per worker process and kept for its later tasks."""
     kept = sys.__dict__.setdefault("_loadlens_once", {})
@@ -32,6 +43,14 @@ def once(key: tuple, build: Callable):
     return kept[key]
 
 
+def latest(slot: str, key: str, build: Callable):
+    """Value of ``key`` built once per worker process; it replaces the one kept in its slot."""
+    kept = sys.__dict__.setdefault("_loadlens_latest", {})
+    if kept.get(slot, ("", None))[0] != key:
+        kept[slot] = (key, build())
+    return kept[slot][1]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased words of letters, digits and non-ASCII characters, as UTF-8."""
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split() if text else []

@@ -100,8 +100,8 @@ def naive_hits(docs, items, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 60])
-def test_decontamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_windows", [50_000, 7])
+def test_decontamination_equals_brute_force(spark, block_windows):
     rng = random.Random(5)
     text = lambda n: " ".join(rng.choice(["a", "B", "ä", "d-e"]) for _ in range(n))
     items = [(i, text(rng.randrange(1, 9))) for i in range(12)] + [
@@ -110,7 +110,7 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
         (3, "q zz yy xx again"), (None, None), (7, ""), (3, "q zz yy xx again")]
     d = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, n_words int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate(d, b, window=5, block_bytes=block_bytes)
+    got = decontaminate.decontaminate(d, b, window=5, block_windows=block_windows)
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()),
                  key=str)
     assert got == naive_hits(docs, items, 5)
