@@ -13,7 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from loadlens.functions.joins import estimated_bytes
+
 ACCURACY = 10_000
+SMALL_BYTES = 256 * 1024 * 1024
 BUCKETS = 4096
 
 
@@ -48,14 +51,18 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     accuracy: int = ACCURACY,
+    small: int = SMALL_BYTES,
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (name -> probability).
 
     Null values are skipped and keys must not be null. Groups without a value
-    are absent.
+    are absent. A table that the optimizer estimates below ``small`` bytes is ranked by value
+    counts at once, which one task can order; the result is the same.
     """
     names = list(probs)
     keys = list(keys)
+    if estimated_bytes(df) <= small:
+        return group_quantiles(df, keys, value, probs)
     d = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull())
     margin = 5.0 / accuracy

@@ -10,6 +10,7 @@ from loadlens.functions import calendar as cal
 from loadlens.functions.joins import small_side
 from loadlens.functions.scalars import ratio
 from loadlens.operators import calendar_days, horizon as hz, rollup, weather as wx
+from loadlens.session import write_and_read
 
 KEYS = ("customer_id", "year_month", "horizon_days")
 CALENDAR = ("month", "days_in_month", "days_observed")
@@ -109,13 +110,18 @@ def build_features(
 ) -> tuple[DataFrame, FeatureSpec]:
     """Feature matrix and its spec.
 
-    The daily table is rolled up once; readings are read a second time only for
-    the load shape. Dimensions join last and are measured before a broadcast.
+    Readings are read once: days of customers with all their sums are written, and the daily
+    table and the load shape both come from them. Dimensions join last and are measured before
+    a broadcast.
     """
-    daily = rollup.daily_by_customer(readings)
+    if intraday:
+        parts = write_and_read(rollup.day_parts(readings, holidays), "days")
+        daily = rollup.daily_from_parts(parts)
+    else:
+        daily = rollup.daily_by_customer(readings)
     rows = with_base(hz.calendar_context(daily, horizons))
     if intraday:
-        rows = with_ami(rows, rollup.ami_observed(readings, horizons, holidays))
+        rows = with_ami(rows, rollup.ami_from_parts(parts, horizons))
     if holidays is not None:
         special = calendar_days.special_day_features(
             daily.select(cal.month_start(F.col("date")).alias("year_month")), holidays)

@@ -124,16 +124,13 @@ def ami_monthly(df: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     )
 
 
-def ami_observed(
-    df: DataFrame, horizons=(10, 20), holidays: DataFrame | None = None
-) -> DataFrame:
-    """Load-shape measures over the first ``h`` days of each month, one row per horizon.
+PART_SUMS = ("kwh", "n", "peak", "night", "on_peak", "pf_sum", "pf_n", "q", "p")
 
-    A (customer, day) summary is built once; the horizons are exploded on that
-    small table, not on the readings.
-    """
-    d = not_null(df, "customer_id", "ts", "p_active_kwh")
-    d = d.withColumn("date", cal.as_date(F.col("ts")))
+
+def day_parts(df: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+    """One row per customer, contract type and day with everything that the daily table and the
+    load-shape measures add up, so that both come from one pass over the readings."""
+    d = not_null(df, "customer_id", "ts").withColumn("date", cal.as_date(F.col("ts")))
     if holidays is not None:
         off = F.broadcast(holidays.select("date").distinct().withColumn("_hol", F.lit(True)))
         d = d.join(off, "date", "left")
@@ -142,7 +139,7 @@ def ami_observed(
         tou = cal.tou_with_day_rules(F.col("ts"))
     x, hour, q = F.col("p_active_kwh"), F.hour("ts"), F.abs(F.col("p_reactive_kwh"))
     in_pf = (x > 0) & q.isNotNull()
-    day = d.withColumn("_tou", tou).groupBy("customer_id", "date").agg(
+    return d.withColumn("_tou", tou).groupBy("customer_id", "contract_type", "date").agg(
         F.sum(x).alias("kwh"), F.count(x).alias("n"), F.max(x).alias("mx"),
         sum_if(_is_peak(hour, 17), x).alias("peak"),
         sum_if(_is_night(hour), x).alias("night"),
@@ -151,13 +148,33 @@ def ami_observed(
         count_if(in_pf).alias("pf_n"),
         sum_if(in_pf, q).alias("q"), sum_if(in_pf, x).alias("p"),
     )
+
+
+def daily_from_parts(parts: DataFrame) -> DataFrame:
+    """The daily table (as ``daily_by_customer``) from ``day_parts``."""
+    return not_null(parts, "contract_type").select(
+        "customer_id", "contract_type", "date", F.coalesce("kwh", F.lit(0.0)).alias("day_kwh"))
+
+
+def ami_observed(
+    df: DataFrame, horizons=(10, 20), holidays: DataFrame | None = None
+) -> DataFrame:
+    return ami_from_parts(day_parts(df, holidays), horizons)
+
+
+def ami_from_parts(parts: DataFrame, horizons=(10, 20)) -> DataFrame:
+    """Load-shape measures over the first ``h`` days of each month, one row per horizon.
+
+    The horizons are exploded on the days, not on the readings.
+    """
+    day = parts.groupBy("customer_id", "date").agg(
+        *[F.sum(c).alias(c) for c in PART_SUMS], F.max("mx").alias("mx")).where("n > 0")
     day = day.withColumn("horizon_days", F.explode(F.array(*[F.lit(h) for h in horizons])))
     day = day.where(F.dayofmonth("date") <= F.col("horizon_days"))
     weekend = cal.is_weekend(F.col("date"))
     m = day.groupBy("customer_id", cal.month_start(F.col("date")).alias("year_month"),
                     "horizon_days").agg(
-        *[F.sum(c).alias(c) for c in ("kwh", "n", "peak", "night", "on_peak",
-                                      "pf_sum", "pf_n", "q", "p")],
+        *[F.sum(c).alias(c) for c in PART_SUMS],
         F.max("mx").alias("mx"),
         F.coalesce(ratio(sum_if(weekend, F.col("kwh")), F.sum(F.when(weekend, F.col("n")))),
                    F.lit(0.0)).alias("we"),

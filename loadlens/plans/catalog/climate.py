@@ -236,6 +236,9 @@ ctes.add("tmy_scaled", """
         FROM weather GROUP BY ALL) GROUP BY ALL) USING (station_id, doy)""")
 
 
+ctes.add("tmy_forecast_month", degree_sql("station_id, month", "tmy_scaled"))
+
+
 @query("typical_year_forecast", f"station_id:i month:i {DEG}", "D27",
        degree_sql("station_id, month", "tmy_scaled"))
 def typical_year_forecast(spark, sf):

@@ -9,6 +9,7 @@ from loadlens.functions.scalars import scale_bin
 from loadlens.operators import alarm as al, baselines, horizon as hz, metrics, rollup
 from loadlens.plans.catalog import ctes
 from loadlens.plans.catalog.base import query
+from loadlens.session import write_and_read
 from loadlens.sources import tables as t
 
 
@@ -20,9 +21,9 @@ def context_of(spark, sf):
     return hz.calendar_context(daily_of(spark, sf))
 
 
-def results_of(spark, sf, model="partial_linear"):
+def results_of(spark, sf, model="partial_linear", daily=None):
     """Context with the prediction of one model and its errors."""
-    ctx = context_of(spark, sf)
+    ctx = context_of(spark, sf) if daily is None else hz.calendar_context(daily)
     return metrics.error_columns(ctx.withColumn("pred_monthly_kwh",
                                                 baselines.BASELINES[model]()))
 
@@ -207,8 +208,11 @@ def with_cold_start(results, daily):
 
 
 def dim_results(spark, sf):
-    r = results_of(spark, sf).withColumn("scale", scale_bin(F.col("full_month_kwh")))
-    return with_cold_start(r, daily_of(spark, sf))
+    # The daily table is written: the context, the first days and the last date read it, and
+    # the readings are read once.
+    daily = write_and_read(daily_of(spark, sf), "daily")
+    r = results_of(spark, sf, daily=daily).withColumn("scale", scale_bin(F.col("full_month_kwh")))
+    return with_cold_start(r, daily)
 
 
 KEYS = "dimension horizon_days:i month:i scale contract_type cold_start"

@@ -243,17 +243,21 @@ def serving_tables(spark, sf):
     return parts
 
 
-@query("weather_product", "version n:i temp:6", "A24", """
+@query("weather_product", "version n:i temp:9", "A24", """
     SELECT version, count(*) AS n, avg(temp_mean) AS temp FROM nation_all GROUP BY version
     UNION ALL SELECT 'station', count(*), avg(temp_mean) FROM weather_month
     UNION ALL SELECT 'tmy_raw', count(*), avg(temp_mean) FROM tmy_month
-    UNION ALL SELECT 'tmy_bias', count(*), avg(temp_mean) FROM tmy_bias""")
+    UNION ALL SELECT 'tmy_bias', count(*), avg(temp_mean) FROM tmy_bias
+    UNION ALL SELECT 'tmy_forecast', count(*), avg(temp_mean) FROM tmy_forecast_month""")
 def weather_product(spark, sf):
     out = work_dir(spark, "weather")
     month = month_of(spark, sf)
-    typical = wx.typical_monthly(tmy_of(spark, sf))
+    hours = tmy_of(spark, sf)
+    typical = wx.typical_monthly(hours)
+    forecast = wx.typical_monthly(wx.forecast_corrected(hours, t.weather_hourly(spark, sf)))
     publish.write_weather_versions(wx.national_versions(month), month, {
-        "tmy_raw": typical, "tmy_bias": wx.bias_corrected(typical, month)}, out)
+        "tmy_raw": typical, "tmy_bias": wx.bias_corrected(typical, month),
+        "tmy_forecast": forecast}, out)
     return spark.read.parquet(out).groupBy("version").agg(
         F.count(F.lit(1)).alias("n"), F.avg("temp_mean").alias("temp"))
 

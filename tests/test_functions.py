@@ -21,10 +21,13 @@ PROBS = {"q0": 0.0, "q001": 0.001, "q25": 0.25, "q50": 0.5, "q90": 0.9, "q1": 1.
 def check_quantiles(spark, data: dict[str, list[float]], accuracy=10_000):
     d = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs],
                               "k string, v double")
-    got = {r.k: r for r in exact_quantiles(d, ["k"], "v", PROBS, accuracy).collect()}
-    for k, vs in data.items():
-        for name, p in PROBS.items():
-            assert got[k][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12)
+    for small in (0, 1 << 40):  # by brackets, and by value counts at once
+        found = exact_quantiles(d, ["k"], "v", PROBS, accuracy, small).collect()
+        got = {r.k: r for r in found}
+        assert len(found) == len(data)
+        for k, vs in data.items():
+            for name, p in PROBS.items():
+                assert got[k][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12)
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
@@ -46,6 +49,7 @@ def test_quantiles_with_brackets(spark, kind):
 def test_quantiles_without_keys_skip_nulls(spark):
     d = spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double")
     assert exact_quantiles(d, [], "v", {"m": 0.5}).first().m == 2.0
+    assert exact_quantiles(d, [], "v", {"m": 0.5}, small=0).first().m == 2.0
 
 
 def test_skew_and_correlation(spark):
@@ -174,6 +178,6 @@ def test_quantiles_of_many_distinct_values_without_keys(spark):
     n = 1_000_000
     d = spark.range(n).select((F.col("id") * 7919 % n / 8.0).alias("v"))
     probs = {"p01": 0.01, "p50": 0.5, "p99": 0.99, "lo": 0.0, "hi": 1.0}
-    row = exact_quantiles(d, [], "v", probs).first()
+    row = exact_quantiles(d, [], "v", probs, small=0).first()
     for name, p in probs.items():
         assert abs(row[name] - p * (n - 1) / 8.0) < 1e-6
