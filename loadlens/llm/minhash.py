@@ -283,7 +283,8 @@ def _between(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     difference in common; a set outside the hub's component, with any partner, that many or
     ``|X ^ B| - share * (|X| + |Y|)``, whichever is less, where |Y| is at most 100 / percent |X|.
     Of two sets with c common elements both hold one among their first size - c + 1, in any
-    order that all sets follow; here the rarest come first.
+    order that all sets follow; here the rarest come first. A pair that meets at some element is
+    made only if the elements before and after it can be as many as that pair must have.
     """
     share = (100 - percent) / (100 + percent)
     own = roots.select("node", "root")
@@ -296,19 +297,24 @@ def _between(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     need = F.when(outside, F.least(half, far)).otherwise(half)
     # A little less than the bound, against rounding.
     need = F.greatest(F.lit(1), F.ceil(need - 1e-6)).cast("int")
-    cells = rows.select("hub", "node", "root", outside.alias("outside"), (size - need + 1).alias("first"),
-                        F.explode("diff").alias("x"))
+    cells = rows.select("hub", "node", "root", "n", outside.alias("outside"), size.alias("size"),
+                        (size - need + 1).alias("first"), F.explode("diff").alias("x"))
     cells = write_and_read(cells.filter("first > 0"), "minhash")
-    common = cells.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("df"),
+    shared = cells.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("df"),
                                            F.count_if("outside").alias("out")).filter(
         "df > 1 and out > 0")
-    # Elements of one set only come before all others, and bring nothing together.
-    seen = cells.join(common, ["hub", "x"], "left")
-    order = W.partitionBy("hub", "node").orderBy(F.coalesce("df", F.lit(1)), "x")
-    short = seen.withColumn("at", F.row_number().over(order)).filter(
-        "at <= first and df is not null").select("hub", "x", "node", "root", "outside")
-    short = write_and_read(short, "minhash")
-    outer = short.filter("outside").select("hub", "x", F.col("node").alias("o"),
-                                           F.col("root").alias("o_root"))
-    pairs = short.join(outer, ["hub", "x"]).filter("root <> o_root")
-    return _pairs(pairs, "node", "o")
+    # Elements that bring nothing together come before all others; ``held`` are those that may.
+    mine = W.partitionBy("hub", "node")
+    seen = cells.join(shared, ["hub", "x"]).withColumns({
+        "held": F.count(F.lit(1)).over(mine), "at": F.row_number().over(mine.orderBy("df", "x"))})
+    short = write_and_read(seen.filter("at + size - held <= first").select(
+        "hub", "x", "node", "root", "outside", "n", "size", "held", "at"), "minhash")
+    outer = short.filter("outside").select(
+        "hub", "x", *[F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", "size", "held", "at")])
+    # What two sets that meet at this element can have in common at most, against what they must.
+    most = F.least("at", "o_at") + F.least(F.col("held") - F.col("at"), F.col("o_held") - F.col("o_at"))
+    must = (F.col("size") + F.col("o_size") - share * (F.col("n") + F.col("o_n"))) / 2
+    pairs = short.join(outer, ["hub", "x"]).filter(
+        (F.col("root") != F.col("o_root")) & (most >= must - 1e-6)
+        & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent))
+    return _pairs(pairs, "node", "o_node")
