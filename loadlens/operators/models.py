@@ -268,8 +268,6 @@ def select_features(features: DataFrame, columns: list[str], target: str = "full
     earlier.
     """
     names = [*columns, target]
-    usable = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in columns]
-    pattern = F.concat(*[F.when(u, "1").otherwise("0") for u in usable])
 
     def choose(parts: dict[str, Moments]) -> pd.DataFrame:
         def added(keep) -> Moments:
@@ -314,7 +312,7 @@ def select_features(features: DataFrame, columns: list[str], target: str = "full
             "vif": [float(v.get(f, np.nan)) for f in columns],
             "status": [status.get(f, "selected") for f in columns]})
 
-    return solve(pair_moments(features.withColumn("_gaps", pattern), names, "_gaps"), names, choose,
+    return solve(pair_moments(features, names, gaps=len(columns)), names, choose,
                  "feature string, corr_with_target double, rank int, n_valid bigint, vif double, "
                  "status string", together=True)
 
