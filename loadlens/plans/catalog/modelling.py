@@ -16,6 +16,8 @@ from loadlens.session import work_dir, write_and_read
 
 ROUNDS = 400  # most boosting rounds; the validation months choose how many are kept
 SOLAR_ROUNDS = 200
+STUDY_ROUNDS = 100  # most rounds of each of the models that a study compares, in steps of 0.1
+TRIAL_ROUNDS = 60   # most rounds of a setting that is tried
 
 
 def info_of(spark, sf):
@@ -201,7 +203,7 @@ def sliding_evaluation(spark, sf):
 SLIDING_SPEC = ft.FeatureSpec().without(("customer_mean_history",))  # known for any meter day
 
 
-def sliding_scorers(spark, sf, daily, rounds, tuning_trials=4):
+def sliding_scorers(spark, sf, daily, rounds, tuning_trials=2):
     """Models of calendar months that score the rows of every meter day: boosted with the usual
     settings, with the best of some random settings, and corrected linearly."""
     from loadlens.operators import horizon as hz
@@ -224,7 +226,7 @@ def sliding_model_evaluation(spark, sf):
     daily = write_and_read(daily_of(spark, sf), "daily")
     rows = models.sliding_evaluation(
         daily, rollup.monthly_by_customer(daily), METER_DAYS,
-        sliding_scorers(spark, sf, daily, STUDY_ROUNDS))
+        sliding_scorers(spark, sf, daily, TRIAL_ROUNDS))
     return rows.groupBy("model", "meter_day", "horizon_days").agg(*metrics.regression_aggs())
 
 
@@ -326,7 +328,6 @@ def optimized_national_weather(spark, sf):
     return studies.weighted_series(studies.station_weights(load, month), month)
 
 
-STUDY_ROUNDS = 200
 TRIALS, TRIAL_ROWS = 50, 20_000  # settings tried, and the labelled rows that fit each
 STUDY_COLS = "variant dimension horizon_days:i rounds:i n:i mape_pct:4 rmse:4 cvrmse_median_pct:4"
 
@@ -391,7 +392,7 @@ def one_factor_ablation(spark, sf):
        "K16")
 def hyper_parameter_search(spark, sf):
     f, spec = stored_features(spark, sf)
-    return models.tune(f, spec, trials=TRIALS, rounds=STUDY_ROUNDS, fit_rows=TRIAL_ROWS,
+    return models.tune(f, spec, trials=TRIALS, rounds=TRIAL_ROUNDS, fit_rows=TRIAL_ROWS,
                        patience=studies.STUDY_PATIENCE)
 
 
