@@ -45,6 +45,16 @@ ship(__name__)
 
 BANDS, ROWS = 56, 7
 PROBES = 32
+REMEMBERED = 50_000
+
+
+class Hashes(WordHashes):
+    """Word hashes of a task; few are remembered, as every task of a worker has its own."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        return super().__missing__(word)
 
 
 def shingles(text: str | None, hashes: WordHashes, width: int = 2) -> np.ndarray:
@@ -109,7 +119,7 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, width: int, bands:
     n = bands * rows
 
     def made(batches: Iterator[dict]):
-        hashes = WordHashes()
+        hashes = Hashes()
         table = _probes(np.arange(n), 0, n, PROBES)
         factors = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
         for b in batches:
@@ -144,7 +154,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, schema: str, row)
         "a", "b", "ta", "tb")
 
     def compare(batches: Iterator[dict]):
-        hashes = WordHashes()
+        hashes = Hashes()
         of, mine = None, None
         for batch in batches:
             for a, b, ta, tb in zip(*(batch[c] for c in ("a", "b", "ta", "tb"))):
