@@ -78,11 +78,13 @@ def with_neighbours(
     d = d.withColumn("_k", F.row_number().over(w))
     d = d.withColumns({f"_seen{e}": F.when(F.col(v).isNotNull(), F.struct(
         F.col(v).alias("v"), F.col("_k").alias("k"))) for v, e in ends.items()})
-    back, ahead = (w.rowsBetween(W.unboundedPreceding, W.currentRow),
-                   w.rowsBetween(W.currentRow, W.unboundedFollowing))
-    d = d.withColumns({
-        **{f"_before{e}": F.last(f"_seen{e}", True).over(back) for e in ends.values()},
-        **{f"_after{e}": F.first(f"_seen{e}", True).over(ahead) for e in ends.values()}})
+    # Frames that end at the row, in both directions: one that starts there is read to its end
+    # again for every row, which is quadratic in the rows of a chunk or the chunks of a key.
+    so_far = (W.unboundedPreceding, W.currentRow)
+    back = w.rowsBetween(*so_far)
+    ahead = W.partitionBy(*part).orderBy(F.desc("_k")).rowsBetween(*so_far)
+    d = d.withColumns({f"_before{e}": F.last(f"_seen{e}", True).over(back) for e in ends.values()})
+    d = d.withColumns({f"_after{e}": F.last(f"_seen{e}", True).over(ahead) for e in ends.values()})
 
     at = {e: F.when(F.col(f"_seen{e}").isNotNull(), F.col("_k")) for e in ends.values()}
     summary = d.groupBy(*part).agg(
@@ -90,8 +92,8 @@ def with_neighbours(
         *[F.min_by(f"_seen{e}", at[e]).alias(f"_first{e}") for e in ends.values()],
         *[F.max_by(f"_seen{e}", at[e]).alias(f"_last{e}") for e in ends.values()])
     ws = W.partitionBy(*keys).orderBy(CHUNK) if keys else W.orderBy(CHUNK)
-    past = ws.rowsBetween(W.unboundedPreceding, -1)
-    to_come = ws.rowsBetween(1, W.unboundedFollowing)
+    wr = (W.partitionBy(*keys) if keys else W).orderBy(F.desc(CHUNK))
+    past, to_come = (x.rowsBetween(W.unboundedPreceding, -1) for x in (ws, wr))
     summary = summary.withColumn("_off", F.coalesce(F.sum("_n").over(past), F.lit(0)))
 
     def globally(edge: str) -> Column:
@@ -102,7 +104,7 @@ def with_neighbours(
                                    for s in ("_first", "_last")})
     summary = summary.select(
         *part, "_off", *[F.last(f"_last{e}", True).over(past).alias(f"_pc{e}") for e in ends.values()],
-        *[F.first(f"_first{e}", True).over(to_come).alias(f"_nc{e}") for e in ends.values()])
+        *[F.last(f"_first{e}", True).over(to_come).alias(f"_nc{e}") for e in ends.values()])
     d = d.join(summary, part, "left").withColumn("_i", F.col("_k") + F.col("_off"))
     for e in ends.values():
         for inside, edge, v, i in (("_before", "_pc", "_pv", "_pi"), ("_after", "_nc", "_nv", "_ni")):

@@ -58,6 +58,13 @@ def test_interpolation_matches_pandas_across_days(spark, limit):
         np.testing.assert_allclose(got, want.to_numpy(), equal_nan=True)
 
 
+def test_neighbours_of_long_series_are_read_once(spark):
+    """No frame starts at its row: such a frame is read to its end again for every row."""
+    d = clean.interpolate(frame(spark, {"a": [1, None, 3]}))
+    plan = d._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan
+
+
 def test_forward_fill_and_simple_methods(spark):
     d = frame(spark, {"a": [None, 1, None, None, 2, None] + [None] * 6})
     assert values(clean.handle_missing(d, "ffill"), "a") == [None, 1, 1, 1, 2, 2] + [2] * 6
