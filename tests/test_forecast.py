@@ -36,6 +36,15 @@ def test_horizon_counts_a_day_once(spark):
         ("2024-01-01", 10)] == 1
 
 
+def test_many_meter_days_are_dealt_to_many_tasks(spark):
+    """Rows multiply after the shuffle: its shares must not be merged by what they read."""
+    d = daily(spark, [(f"c{i}", "A", "2024-01-01", 1) for i in range(200)])
+    rows = hz.build_horizon_table(d, meter_days=(1, 5, 10, 15, 20, 25))
+    assert rows.rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
+    # New Year's Day is day 0, 27, 22, 17, 12 and 7 of its billing months.
+    assert rows.count() == 200 * (2 + 0 + 0 + 1 + 1 + 2)
+
+
 def test_meter_days_in_one_job(spark):
     d = daily(spark, [("a", "A", f"2024-01-{i:02d}", i) for i in range(1, 32)])
     many = hz.build_horizon_table(d, meter_days=(1, 15))
