@@ -169,6 +169,29 @@ def test_boosting_keeps_the_best_rounds(spark, matrix):
     assert models.rounds_of(PipelineModel.load(path)) == best
 
 
+def test_few_rounds_are_fitted_once_and_few_rows_in_few_tasks(spark, matrix, monkeypatch):
+    fits = []
+
+    class Build:
+        def __init__(self, n):
+            self.n = n
+
+        def fit(self, rows):
+            fits.append(self.n)
+            return self.n
+
+    monkeypatch.setattr(models, "error_curve", lambda m, rows: [float(-i) for i in range(m)])
+    monkeypatch.setattr(models, "first_rounds", lambda m, n: n)
+    f, _ = matrix
+    assert models.boosted(f, f, Build, 60, patience=10) == 60 and fits == [60]
+    fits.clear()
+    assert models.boosted(f, f, Build, 400, patience=30) == 400 and fits == [180, 400]
+    parts = models.few_tasks(spark.range(1000).repartition(7))
+    assert parts.rdd.getNumPartitions() == 1 and parts.count() == 1000
+    monkeypatch.setattr(models, "TASK_ROWS", 1)
+    assert models.few_tasks(spark.range(1000).repartition(7)).rdd.getNumPartitions() == 7
+
+
 def test_inflation_on_complete_rows(spark, matrix):
     f, _ = matrix
     cols = ["partial_kwh", "prev_month_kwh", "ma3_kwh", "days_observed", "month", "customer_mean_history"]
