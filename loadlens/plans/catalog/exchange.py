@@ -128,10 +128,18 @@ def readings_table_file(spark, sf):
     """Readings kept as parquet with a text time stamp."""
     path = work_dir(spark, "table")
     t.readings(spark, sf).drop("ingest_seq").withColumn("ts", text(F.col("ts"))).write.parquet(path)
-    d = src.load(spark, src.SourceConfig("table", path))
-    return d.groupBy("customer_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("p_active_kwh").alias("kwh"), F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"), F.first("contract_type").alias("contract_type"))
+    return totals_by_customer(src.load(spark, src.SourceConfig("table", path)))
+
+
+def totals_by_customer(d):
+    """Totals, span and a contract type per customer. The type is a group of its own first: an
+    aggregate that holds a text sorts all readings of a task, one of numbers holds its groups."""
+    each = d.groupBy("customer_id", "contract_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p_active_kwh").alias("kwh"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return each.groupBy("customer_id").agg(
+        F.sum("n").alias("n"), F.sum("kwh").alias("kwh"), F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"), F.first("contract_type").alias("contract_type"))
 
 
 @query("station_month_files", "station_id:i year_month:s temp_mean:8 cdh_total:6", "A15", """

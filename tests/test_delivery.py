@@ -275,3 +275,19 @@ def test_work_dir_follows_the_session(spark):
     assert path != work_dir(spark, "x")
     if root:
         assert path.startswith(root.rstrip("/") + "/")
+
+
+def test_totals_by_customer_hold_groups_not_readings(spark):
+    from loadlens.plans.catalog.exchange import totals_by_customer
+
+    ts = dt.datetime(2024, 1, 1)
+    d = spark.createDataFrame(
+        [("a", "A", ts, 1.0), ("a", "A", ts + dt.timedelta(hours=1), None), ("b", None, ts, None),
+         (None, "B", ts, 2.0)],
+        "customer_id string, contract_type string, ts timestamp_ntz, p_active_kwh double")
+    out = totals_by_customer(d)
+    got = {r.customer_id: (r.n, r.kwh, r.contract_type) for r in out.collect()}
+    assert got == {"a": (2, 1.0, "A"), "b": (1, None, None), None: (1, 2.0, "B")}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    first = plan[plan.rindex("functions=[partial_count"):]  # nothing that sorts lies below it
+    assert "partial_sum" in first and "SortAggregate" not in first and "Sort [" not in first
