@@ -30,6 +30,7 @@ they come. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -277,10 +278,14 @@ def _clusters(members: DataFrame, roots: DataFrame, tested: DataFrame,
 
 def _scores(tested: DataFrame, links: DataFrame) -> DataFrame:
     """(node, score): links of a node times the share of its tests that they are."""
-    ends = lambda df, w: df.select(F.explode(F.array("a", "b")).alias("node"),
-                                   F.lit(w).cast("bigint").alias("linked"))
-    return ends(tested, 0).unionByName(ends(links, 1)).groupBy("node").agg(
-        (F.pow(F.sum("linked"), 2) / F.count_if(F.col("linked") == 0)).alias("score"))
+    # Each end is counted for itself: pairs are aggregated as they are read, not doubled before.
+    parts = [df.groupBy(F.col(end).alias("node")).agg(
+        F.count(F.lit(1)).alias("n")).select("node", F.lit(kind).alias("kind"), "n")
+        for df, kind in ((tested, "tested"), (links, "linked")) for end in ("a", "b")]
+    n = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))),
+                                F.lit(0))
+    return functools.reduce(DataFrame.unionByName, parts).groupBy("node").agg(
+        (F.pow(n("linked"), F.lit(2)) / n("tested")).alias("score"))
 
 
 def _between(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:

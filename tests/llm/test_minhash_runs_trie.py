@@ -383,3 +383,11 @@ def test_copies_that_only_their_original_links(spark):
         docs.append((i, " ".join(t)))
     got = near(spark, docs)
     assert got == naive_components(docs) and {r[2] for r in got} == {0}
+
+
+def test_scores_count_the_ends_of_pairs_without_doubling_rows(spark):
+    tested = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (4, 5)], "a bigint, b bigint")
+    links = spark.createDataFrame([(1, 2), (1, 3)], "a bigint, b bigint")
+    out = minhash._scores(tested, links)
+    assert {r.node: r.score for r in out.collect()} == {1: 2.0, 2: 0.5, 3: 0.5, 4: 0.0, 5: 0.0}
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
