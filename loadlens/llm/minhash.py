@@ -8,8 +8,10 @@ signature names a bucket; at a similarity of 0.8 two sets share none of 56 bucke
 bins in one of 500,000 pairs.
 
 Documents with equal sets are one class before anything else, so copies never multiply. In a
-bucket every class is paired with one centre, drawn by the bucket, and no other: candidate
-edges are stars. They are confirmed on the full sets, and links become components.
+bucket every class is paired with one centre and no other: candidate edges are stars. The centre
+is the member whose buckets hold the most classes, so the buckets of a group of near copies agree
+on one (the original, mostly) and a class has few different tests, not one for each bucket. Edges
+are confirmed on the full sets, and links become components.
 
 Buckets that their star leaves in several components are open. Open buckets that meet form
 clusters, and each cluster gets one hub B, the member whose tests were links most often (the
@@ -141,11 +143,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                 ).alias("k"), F.col(text_col).alias("t"))
 
 
-def _sized(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with the sizes na, nb of their sets."""
+def _of_like_size(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that the sizes of their sets alone do not exclude."""
     sizes = texts.select("node", "n")
-    return pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
+    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(
         sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    return write_and_read(sized.filter(
+        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "minhash")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, width: int, schema: str, row) -> DataFrame:
@@ -169,16 +173,13 @@ def _compared(pairs: DataFrame, texts: DataFrame, width: int, schema: str, row)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough; a pair that its sizes
-    alone exclude is dropped before its ``texts`` (node, n, t) meet."""
-    near = write_and_read(_sized(pairs, texts).filter(
-        F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b"), "minhash")
+    """The pairs (a, b) of classes whose full sets, of ``texts`` (node, n, t), are similar enough."""
 
     def row(a, b, x, y):
         common = len(np.intersect1d(x, y, assume_unique=True))
         return (a, b) if 100 * common >= percent * (len(x) + len(y) - common) else None
 
-    return _compared(near, texts, width, "a bigint, b bigint", row)
+    return _compared(pairs, texts, width, "a bigint, b bigint", row)
 
 
 def differences(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -215,16 +216,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("k").alias("one"), F.min("k.id").alias("least"), F.min("n").alias("n"),
         F.any_value("bands").alias("bands")).withColumn(
         "node", F.monotonically_increasing_id()), "minhash")
-    rows_ = classes.select("node", F.explode("bands").alias("key"))
-    # The centre is the class with the least bits after a turn by the key.
-    shared = rows_.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"),
-        F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("m")).filter("size > 1")
-    members = write_and_read(rows_.join(shared, "key").select(
-        "key", "node", "size", F.col("m").bitwiseXOR(F.col("key")).alias("centre")), "minhash")
+    members = _members(classes)
     texts = _texts(members, classes, docs, id_col, text_col)
     tested = write_and_read(_pairs(members.filter("node <> centre"), "node", "centre"), "minhash")
-    links = confirmed(tested, texts, width, percent)
+    links = confirmed(_of_like_size(tested, texts, percent), texts, width, percent)
     roots = _merged(classes.select("node", F.col("node").alias("root")), links)
     clusters = _clusters(members, roots, tested, links)
     if not clusters.isEmpty():
@@ -245,6 +240,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce(F.col("k.id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, node, size, centre): the classes of every bucket that holds more than one, and the
+    one with which the others are tested."""
+    rows = classes.select("node", F.explode("bands").alias("key"))
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = write_and_read(rows.join(size, "key").select("key", "node", "size"), "minhash")
+    weight = rows.groupBy("node").agg(F.sum("size").alias("weight"))
+    centre = rows.join(weight, "node").groupBy("key").agg(
+        F.max(F.struct("weight", "node")).alias("m"))
+    return write_and_read(rows.join(centre, "key").select(
+        "key", "node", "size", F.col("m.node").alias("centre")), "minhash")
+
+
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 

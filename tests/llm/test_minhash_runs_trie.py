@@ -93,6 +93,22 @@ def test_links_that_no_star_tests(spark):
     assert len({r[2] for r in got}) < len(docs)
 
 
+def test_near_copies_have_few_different_tests(spark, monkeypatch):
+    # One original and its copies with a word changed: most buckets hold the original.
+    rng = random.Random(8)
+    first = [f"w{i}" for i in range(60)]
+    docs = [(0, " ".join(first))]
+    for i in range(1, 150):
+        t = list(first)
+        t[rng.randrange(60)] = f"x{i}"
+        docs.append((i, " ".join(t)))
+    pairs, real = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed",
+                        lambda p, *a: pairs.append(p.count()) or real(p, *a))
+    assert near(spark, docs) == naive_components(docs)
+    assert pairs[0] < 3 * len(docs)
+
+
 def test_signatures_agree_as_often_as_sets_overlap():
     rng = np.random.default_rng(3)
     n = minhash.BANDS * minhash.ROWS
