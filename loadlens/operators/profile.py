@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from loadlens.functions import calendar as cal
 from loadlens.functions.chunks import with_previous
+from loadlens.functions.joins import many_tasks
 from loadlens.functions.linear import pair_moments, solve, vif_of
 from loadlens.functions.quantiles import exact_quantiles
 from loadlens.functions.scalars import (cdd, count_if, floor_eps, hdd, power_factor, ratio,
@@ -215,25 +216,31 @@ def partial_month_stability(df: DataFrame, min_n: int = MIN_N) -> DataFrame:
     """Do the first N days stand for the month: power factor, peak share, daily spread."""
     x, hour = F.col(X), F.hour("ts")
     peak = hour.between(10, 17)
-    day = df.where(F.col("customer_id").isNotNull() & F.col("ts").isNotNull()).groupBy(
-        "customer_id", F.to_date("ts").alias("date")).agg(
-        sum0(x).alias("p"), sum0(F.abs("p_reactive_kwh")).alias("q"),
-        sum_if(peak, x).alias("peak"), count_if(peak).alias("n_peak"))
-    d = day.withColumn("_n", F.explode(F.array(*[F.lit(n) for n in (*PARTIAL_DAYS, 31)])))
-    d = d.where(F.dayofmonth("date") <= F.col("_n"))
-    p = F.sum("p")
-    m = d.groupBy("customer_id", F.trunc("date", "MM").alias("ym"), "_n").agg(
-        power_factor(p, F.sum("q")).alias("power_factor"),
-        F.when(F.sum("n_peak") > 0, F.sum("peak") / floor_eps(p)).alias("peak_ratio"),
-        F.when(F.avg("p") > 0, F.stddev_samp("p") / F.avg("p")).alias("daily_cv"))
+    # The rows of a customer's month meet in one task: days, months and their parts are summed there.
+    rows = df.where(F.col("customer_id").isNotNull() & F.col("ts").isNotNull()).select(
+        "customer_id", F.to_date("ts").alias("date"),
+        F.trunc(F.to_date("ts"), "MM").alias("ym"),
+        x.alias("x"), F.abs("p_reactive_kwh").alias("q"), peak.alias("peak"))
+    rows = rows.repartition(many_tasks(df.sparkSession), "customer_id", "ym")
+    day = rows.groupBy("customer_id", "ym", "date").agg(
+        sum0(F.col("x")).alias("p"), sum0(F.col("q")).alias("q"),
+        sum_if(F.col("peak"), F.col("x")).alias("peak"), count_if(F.col("peak")).alias("n_peak"))
     names = ("power_factor", "peak_ratio", "daily_cv")
-    full = m.where("_n = 31").select("customer_id", "ym", *[F.col(c).alias(f"{c}_full")
-                                                            for c in names])
-    both = m.where("_n < 31").join(full, ["customer_id", "ym"])
-    items = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("a"),
-                               F.col(f"{c}_full").alias("b")) for c in names])
-    r = both.select(F.col("_n").alias("n_days"), F.explode(items).alias("s")).select(
-        "n_days", "s.*")
+
+    def first(n: int) -> Column:
+        """The metrics of a month's first n days; null if it has none of them."""
+        p, q, in_peak, n_peak = (F.when(F.dayofmonth("date") <= n, F.col(c))
+                                 for c in ("p", "q", "peak", "n_peak"))
+        return F.when(F.count(p) > 0, F.struct(
+            power_factor(F.sum(p), F.sum(q)).alias("power_factor"),
+            F.when(F.sum(n_peak) > 0, F.sum(in_peak) / floor_eps(F.sum(p))).alias("peak_ratio"),
+            F.when(F.avg(p) > 0, F.stddev_samp(p) / F.avg(p)).alias("daily_cv")))
+
+    m = day.groupBy("customer_id", "ym").agg(*[first(n).alias(f"m{n}") for n in (*PARTIAL_DAYS, 31)])
+    items = F.array(*[F.when(F.col(f"m{n}").isNotNull(), F.struct(
+        F.lit(n).alias("n_days"), F.lit(c).alias("metric"), F.col(f"m{n}.{c}").alias("a"),
+        F.col(f"m31.{c}").alias("b"))) for n in PARTIAL_DAYS for c in names])
+    r = m.select(F.explode(items).alias("s")).where("s is not null").select("s.*")
     r = r.where((F.col("metric") != "daily_cv") | (F.col("a").isNotNull() & F.col("b").isNotNull()))
     g = r.groupBy("n_days", "metric").agg(
         F.count(F.lit(1)).alias("n"), safe_corr(F.col("a"), F.col("b")).alias("corr"),
