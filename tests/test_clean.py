@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loadlens import schema
 from loadlens.functions.chunks import with_previous
-from loadlens.operators import clean
+from loadlens.operators import clean, profile
 
 T0 = dt.datetime(2024, 1, 30, 22, 0)
 
@@ -168,3 +168,19 @@ def test_split_suggestions(spark):
     checks = {r.check_name: r.value for r in clean.leakage_report(
         clean.with_suggested_split(months(36))).collect()}
     assert checks == {"overlapping_months": 0, "time_inversion": 0, "cold_start_customers": 0}
+
+
+def test_rows_of_a_task_do_not_grow_with_its_split(spark):
+    d = spark.range(0, 400, 1, 1).selectExpr(
+        "concat('c', id % 3) AS customer_id", "timestamp_ntz'1998-01-01' + make_dt_interval(id % 40) AS ts",
+        "double(id) AS p_active_kwh", "double(id % 5) AS p_reactive_kwh", "id AS ingest_seq")
+    once, stable = clean.remove_duplicates(d), profile.partial_month_stability(d, min_n=1)
+    for df in (once, stable):
+        assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString()
+    # The last of each key, whatever share its copies were dealt to.
+    want = {(r.customer_id, r.ts): r.ingest_seq for r in d.orderBy("ingest_seq").collect()}
+    assert {(r.customer_id, r.ts): r.ingest_seq for r in once.collect()} == want
+    # The readings are aggregated to days once.
+    assert str(stable._jdf.queryExecution().optimizedPlan()).count("Range (0, 400") == 1
+    assert {(r.n_days, r.metric): r.n for r in stable.collect()} == {
+        (n, m): 6 for n in (10, 15, 20) for m in ("power_factor", "peak_ratio", "daily_cv")}
