@@ -291,3 +291,14 @@ def test_totals_by_customer_hold_groups_not_readings(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     first = plan[plan.rindex("functions=[partial_count"):]  # nothing that sorts lies below it
     assert "partial_sum" in first and "SortAggregate" not in first and "Sort [" not in first
+
+
+def test_files_of_whole_utf8_are_surveyed_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "new.csv").write_bytes("이름,값\n가,1\n".encode())
+    (tmp_path / "old.csv").write_bytes("이름,값\n가,1\n".encode("cp949"))
+    asked, real = [], files.korean_damage
+    monkeypatch.setattr(files, "korean_damage", lambda s, p: asked.append(p) or real(s, p))
+    paths = [str(tmp_path / n) for n in ("new.csv", "old.csv")]
+    seen = files.surveys(spark, paths)
+    assert asked == [paths[1:]]
+    assert [(s.charset, s.lines, s.lines_damaged) for s in seen.values()] == [("utf-8", 2, 0), ("cp949", 2, 0)]
