@@ -15,14 +15,17 @@ are confirmed on the full sets, and links become components.
 
 Buckets that their star leaves in several components are open. Open buckets that meet form
 clusters, and each cluster gets one hub B, the member whose tests were links most often (the
-original among its copies), which is compared with all of the cluster. Every other member is
-then known by its difference to the hub, the set X ^ B. Two members X and Y that are still in
-different components, X not linked to B, can be linked only if their differences have enough in
-common: they differ in |X ^ B| + |Y ^ B| - 2 common elements, and linked sets may differ in a
-ninth of |X| + |Y| at most (at 80 percent). So only the rarest elements of a difference, as many
-as must hold a common one, are joined; what they bring together is confirmed on the full sets.
-No link inside a bucket is lost for the choice of centres, and pairs inside one component, or
-pairs that only have the common text of the cluster in common, are never made.
+original among its copies), which is compared with all of the cluster. Every member is then
+known by its difference to the set C of the elements that most of the cluster hold, X ^ C, and the
+member that is closest to C is compared with all of the cluster too. Two members X and Y that are
+still in different components can be linked only if their differences have enough in common: they
+differ in |X ^ C| + |Y ^ C| - 2 common elements, and linked sets may differ in a ninth of
+|X| + |Y| at most (at 80 percent). Elements of C that both lack are few kinds and common by
+chance; mostly they cannot suffice, and the pair must have elements beside C in common, which are
+rare. So only the rarest of these, as many as must hold a common one, are joined; what they bring
+together is confirmed on the full sets. No link inside a bucket is lost for the choice of centres,
+and pairs inside one component, or pairs that only have the common text of the cluster in common,
+are never made.
 
 Cases: null and empty texts, and texts of white space only, have the empty set and are linked
 with nothing. Null ids stay in the result with ``kept`` false; a component is named by its
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loadlens.llm.components import components
 from loadlens.llm.toxicity import WordHashes
@@ -183,16 +186,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
 
 
 def differences(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(hub, node, n_hub, n, linked, diff) for pairs (a = hub, b): the elements in one set only."""
+    """(hub, node, n, linked, less, more) for pairs (a = hub, b): the elements that only the hub
+    holds and those that only the node holds."""
 
     def row(a, b, x, y):
-        diff = np.setxor1d(x, y, assume_unique=True)
-        common = (len(x) + len(y) - len(diff)) // 2
-        linked = 100 * common >= percent * (common + len(diff))
-        return a, b, len(x), len(y), linked, diff.view(np.int64)
+        less = np.setdiff1d(x, y, assume_unique=True)
+        more = np.setdiff1d(y, x, assume_unique=True)
+        linked = 100 * (len(x) - len(less)) >= percent * (len(x) + len(more))
+        return a, b, len(y), linked, less.view(np.int64), more.view(np.int64)
 
-    return _compared(pairs, texts, width, "hub bigint, node bigint, n_hub bigint, n bigint, "
-                                          "linked boolean, diff array<bigint>", row)
+    return _compared(pairs, texts, width, "hub bigint, node bigint, n bigint, linked boolean, "
+                                          "less array<bigint>, more array<bigint>", row)
 
 
 def _texts(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str,
@@ -223,10 +227,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = _merged(classes.select("node", F.col("node").alias("root")), links)
     clusters = _clusters(members, roots, tested, links)
     if not clusters.isEmpty():
-        spokes = clusters.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        spokes = clusters.select(F.col("hub").alias("a"), F.col("node").alias("b"))
         known = differences(spokes, texts, width, percent)
         roots = _merged(roots, known.filter("linked").select(F.col("hub").alias("a"),
                                                              F.col("node").alias("b")))
+        known = _centred(known, roots, percent)
+        apart = _placed(known, roots).filter("outside and centre <> hub")
+        roots = _merged(roots, confirmed(_pairs(apart, "node", "centre"), texts, width, percent))
         rest = write_and_read(_between(known, roots, percent), "minhash")
         if not rest.isEmpty():
             roots = _merged(roots, confirmed(rest, texts, width, percent))
@@ -296,48 +303,122 @@ def _scores(tested: DataFrame, links: DataFrame) -> DataFrame:
         (F.pow(n("linked"), F.lit(2)) / n("tested")).alias("score"))
 
 
+def _share(percent: int) -> float:
+    """Linked sets differ in this share of the sum of their sizes at most."""
+    return (100 - percent) / (100 + percent)
+
+
+def _centred(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(hub, node, n, less, more, excess, centre) for the clusters that lie in several
+    components: what a member lacks of the elements that more than half of its cluster hold, and
+    what it holds beside them, in place of its differences to the hub.
+
+    ``excess`` is the size of that difference less the share of ``n`` by which linked sets may
+    differ; ``centre`` is the member with the least. Two members whose excesses add up to no more
+    than 0 are linked with each other, and so is each of them with the centre.
+    """
+    own = roots.select("node", "root")
+    several = known.join(own, "node").groupBy("hub").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"),
+        F.count(F.lit(1)).alias("members")).filter("low <> high").select("hub", "members")
+    known = write_and_read(known.join(several, "hub"), "minhash")
+    cells = known.select("hub", "members", F.inline(_elements()))
+    most = cells.groupBy("hub", "members", "x", "added").agg(F.count(F.lit(1)).alias("df")).filter(
+        "2 * df > members")
+    turned = most.groupBy("hub").agg(F.collect_list(F.when(~F.col("added"), F.col("x"))).alias("lost"),
+                                     F.collect_list(F.when(F.col("added"), F.col("x"))).alias("won"))
+    none = F.array().cast("array<bigint>")
+    rows = known.join(turned, "hub", "left").withColumns(
+        {c: F.coalesce(c, none) for c in ("lost", "won")})
+    rows = rows.select(
+        "hub", "node", "n",
+        F.array_union(F.array_except("less", "lost"), F.array_except("won", "more")).alias("less"),
+        F.array_union(F.array_except("more", "won"), F.array_except("lost", "less")).alias("more"))
+    rows = write_and_read(rows.withColumn(
+        "excess", F.size("less") + F.size("more") - _share(percent) * F.col("n")), "minhash")
+    centre = rows.groupBy("hub").agg(F.min(F.struct("excess", "node")).alias("m"))
+    return rows.join(centre.select("hub", F.col("m.node").alias("centre")), "hub")
+
+
+def _elements() -> Column:
+    """An array of (x, added) for the elements of ``more`` and ``less``."""
+    of = lambda c, added: F.transform(c, lambda x: F.struct(
+        x.alias("x"), F.lit(added).alias("added")))
+    return F.concat(of("more", True), of("less", False))
+
+
+def _placed(known: DataFrame, roots: DataFrame) -> DataFrame:
+    """``known`` with the root of each node and whether it lies outside its centre's component."""
+    own = roots.select("node", "root")
+    return known.join(own, "node").join(own.select(
+        F.col("node").alias("centre"), F.col("root").alias("centre_root")), "centre").withColumn(
+        "outside", F.col("root") != F.col("centre_root"))
+
+
 def _between(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one cluster in different components whose differences to the
-    hub can have enough in common.
-
-    Linked sets X and Y differ in ``share * (|X| + |Y|)`` elements at most, and a set that is not
-    linked to its hub B differs from it in more than ``share * (|X| + |B|)``. With a partner that
-    is not linked to the hub, X must have ``(|X ^ B| + share * (|B| - |X|)) / 2`` elements of its
-    difference in common; a set outside the hub's component, with any partner, that many or
-    ``|X ^ B| - share * (|X| + |Y|)``, whichever is less, where |Y| is at most 100 / percent |X|.
+    """Pairs (a, b) of members of one cluster in different components whose differences can have
+    enough in common.
+
+    Linked sets X and Y have ``(excess of X + excess of Y) / 2`` elements of their differences in
+    common, and X has ``size - share * (|X| + |Y|)`` at least, where |Y| is at most 100 / percent
+    |X|. What is not among the elements that both lack is among those that both hold beside the
+    cluster's: that many less the fewest that either lacks. Pairs that must have such elements are
+    sought by them alone, the others by all elements. What a set must have in common with any
+    partner follows from the least bounds of the cluster; a set in the centre's component has
+    partners outside it only.
     Of two sets with c common elements both hold one among their first size - c + 1, in any
     order that all sets follow; here the rarest come first. A pair that meets at some element is
     made only if the elements before and after it can be as many as that pair must have.
     """
-    share = (100 - percent) / (100 + percent)
-    own = roots.select("node", "root")
-    rows = known.join(own, "node").join(own.select(
-        F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub")
-    size, n = F.size("diff"), F.col("n")
-    half = (size + share * (F.col("n_hub") - n)) / 2
-    far = size - share * n * (1 + 100 / percent)
-    outside = F.col("root") != F.col("hub_root")
-    need = F.when(outside, F.least(half, far)).otherwise(half)
-    # A little less than the bound, against rounding.
-    need = F.greatest(F.lit(1), F.ceil(need - 1e-6)).cast("int")
-    cells = rows.select("hub", "node", "root", "n", outside.alias("outside"), size.alias("size"),
-                        (size - need + 1).alias("first"), F.explode("diff").alias("x"))
-    cells = write_and_read(cells.filter("first > 0"), "minhash")
+    share, n = _share(percent), F.col("n")
+    cells = write_and_read(_placed(known, roots).select(
+        "hub", "node", "root", "n", "outside", (F.col("excess") / 2).alias("half"),
+        (F.size("less") + F.size("more") - share * n * (1 + 100 / percent)).alias("far"),
+        F.inline(_elements())), "minhash")
     shared = cells.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("df"),
                                            F.count_if("outside").alias("out")).filter(
         "df > 1 and out > 0")
-    # Elements that bring nothing together come before all others; ``held`` are those that may.
+    # ``held`` are the elements that may bring something together, ``held_more`` the added ones.
     mine = W.partitionBy("hub", "node")
-    seen = cells.join(shared, ["hub", "x"]).withColumns({
-        "held": F.count(F.lit(1)).over(mine), "at": F.row_number().over(mine.orderBy("df", "x"))})
-    short = write_and_read(seen.filter("at + size - held <= first").select(
-        "hub", "x", "node", "root", "outside", "n", "size", "held", "at"), "minhash")
-    outer = short.filter("outside").select(
-        "hub", "x", *[F.col(c).alias(f"o_{c}") for c in ("node", "root", "n", "size", "held", "at")])
-    # What two sets that meet at this element can have in common at most, against what they must.
-    most = F.least("at", "o_at") + F.least(F.col("held") - F.col("at"), F.col("o_held") - F.col("o_at"))
-    must = (F.col("size") + F.col("o_size") - share * (F.col("n") + F.col("o_n"))) / 2
-    pairs = short.join(outer, ["hub", "x"]).filter(
-        (F.col("root") != F.col("o_root")) & (most >= must - 1e-6)
-        & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent))
-    return _pairs(pairs, "node", "o_node")
+    order = mine.orderBy("df", "x")
+    seen = write_and_read(cells.join(shared, ["hub", "x"]).withColumns({
+        "held": F.count(F.lit(1)).over(mine), "held_more": F.count_if("added").over(mine),
+        "at": F.row_number().over(order),
+        "at_more": F.count_if("added").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)),
+    }).withColumn("held_less", F.col("held") - F.col("held_more")), "minhash")
+    half, beside = F.col("half"), F.col("half") - F.col("held_less")
+    least = seen.groupBy("hub").agg(
+        F.min(half).alias("half_any"), F.min(beside).alias("beside_any"),
+        F.min(F.when(F.col("outside"), half)).alias("half_out"),
+        F.min(F.when(F.col("outside"), beside)).alias("beside_out"))
+    of = lambda c: F.when(F.col("outside"), F.col(f"{c}_any")).otherwise(F.col(f"{c}_out"))
+    # A little less than the bounds, against rounding.
+    whole = lambda c: F.greatest(F.lit(1), F.ceil(c - 1e-6))
+    need = seen.join(least, "hub").withColumns({
+        "need": whole(F.greatest(half + of("half"), F.col("far"))),
+        "must_more": F.greatest(beside + of("half"), half + of("beside")) - 1e-6}).withColumn(
+        "need_more", whole(F.col("must_more"))).filter("held >= need and held_more >= must_more")
+    need = write_and_read(need.filter(
+        "added and at_more + need_more <= held_more + 1 or must_more <= 0 and at + need <= held + 1"
+        ).select("hub", "x", "node", "root", "n", "outside", "half", "added", "held", "held_more",
+                 "held_less", "at", "at_more", "need", "need_more", "must_more"), "minhash")
+    must = half + F.col("o_half") - 1e-6
+    must_more = must - F.least("held_less", "o_held_less")
+    by_more = _meeting(need.filter("added and at_more + need_more <= held_more + 1"), "at_more",
+                       "held_more", must_more, must_more > 0, percent)
+    by_all = _meeting(need.filter("must_more <= 0 and at + need <= held + 1"), "at", "held", must,
+                      must_more <= 0, percent)
+    return _pairs(by_more.unionByName(by_all), "node", "o_node")
+
+
+def _meeting(rows: DataFrame, at: str, held: str, must: Column, kind: Column, percent: int
+             ) -> DataFrame:
+    """(node, o_node) of a ``kind`` that meet at an element, the ``at``-th of ``held``, and can
+    have as many in common as they ``must``."""
+    cols = ["node", "root", "n", "half", "held_less", at, held]
+    outer = rows.filter("outside").select("hub", "x", *[F.col(c).alias(f"o_{c}") for c in cols])
+    most = F.least(at, f"o_{at}") + F.least(F.col(held) - F.col(at),
+                                            F.col(f"o_{held}") - F.col(f"o_{at}"))
+    return rows.select("hub", "x", *cols).join(outer, ["hub", "x"]).filter(
+        (F.col("root") != F.col("o_root")) & kind & (most >= must)
+        & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent)).select("node", "o_node")

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loadlens.llm import minhash, queries, runs, trie
@@ -109,6 +110,59 @@ def test_near_copies_have_few_different_tests(spark, monkeypatch):
     assert pairs[0] < 3 * len(docs)
 
 
+def in_one_bucket(spark, monkeypatch, docs, worst_hub=False):
+    """Result, and how many pairs each step confirms, if all share a bucket."""
+    pairs, real, scores = [], minhash.confirmed, minhash._scores
+    monkeypatch.setattr(minhash, "bucket_keys", lambda sig, bands, factors: np.ones(1, np.uint64))
+    monkeypatch.setattr(minhash, "confirmed",
+                        lambda p, *a: pairs.append(p.count()) or real(p, *a))
+    if worst_hub:
+        monkeypatch.setattr(minhash, "_scores", lambda t, li: scores(t, li).withColumn(
+            "score", -F.col("score")))
+    got = near(spark, docs, bands=1, rows=1)
+    monkeypatch.undo()
+    return got, pairs
+
+
+@pytest.mark.parametrize("worst_hub", [False, True])
+def test_far_copies_of_one_text_make_few_pairs(spark, monkeypatch, worst_hub):
+    # Copies with few changes are one component; those with many are linked with none, but lack
+    # the same words of the text as others do, and hold words that others hold.
+    rng = random.Random(12)
+    first = [f"w{i}" for i in range(75)]
+    docs = [(0, " ".join(first))]
+    for i in range(1, 240):
+        t = list(first)
+        for at in rng.sample(range(75), rng.randrange(1, 8) if i % 3 else rng.randrange(10, 18)):
+            t[at] = f"x{rng.randrange(60)}"
+        docs.append((i, " ".join(t)))
+    got, pairs = in_one_bucket(spark, monkeypatch, docs, worst_hub)
+    assert got == naive_components(docs)
+    assert sum(r[3] for r in got) > 50
+    assert pairs[-1] < len(docs)
+
+
+def test_any_differences_to_any_hub_equal_brute_force(spark, monkeypatch):
+    # Words changed, dropped, added and cut off, and no text that most of them come from.
+    rng = random.Random(1)
+    docs, n = [], 0
+    for _ in range(3):
+        first = [f"w{rng.randrange(90)}" for _ in range(rng.randrange(25, 60))]
+        for _ in range(45):
+            t = list(first if rng.random() < 0.7 or not docs else docs[-1][1].split())
+            for _ in range(rng.randrange(1, 2 + len(t) // 7)):
+                at = rng.randrange(len(t))
+                t[at:at + 1] = rng.choice([[], [f"w{rng.randrange(12)}"], [f"x{rng.randrange(9)}"],
+                                           [t[at], f"x{rng.randrange(9)}"]])
+            t = t[:rng.randrange(len(t) * 3 // 4, len(t) + 1)] if rng.random() < 0.3 else t
+            docs.append((n, " ".join(t + ["end"])))
+            n += 1
+    want = naive_components(docs)
+    assert len({r[2] for r in want}) < len(docs)
+    for worst_hub in (False, True):
+        assert in_one_bucket(spark, monkeypatch, docs, worst_hub)[0] == want
+
+
 def test_signatures_agree_as_often_as_sets_overlap():
     rng = np.random.default_rng(3)
     n = minhash.BANDS * minhash.ROWS
