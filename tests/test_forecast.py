@@ -192,6 +192,24 @@ def test_few_rounds_are_fitted_once_and_few_rows_in_few_tasks(spark, matrix, mon
     assert models.few_tasks(spark.range(1000).repartition(7)).rdd.getNumPartitions() == 7
 
 
+def test_every_setting_is_fitted_on_all_training_rows(spark, matrix, monkeypatch):
+    f, spec = matrix
+    seen, boost = [], models.boosted
+
+    def boosted(rows, *rest):
+        seen.append(rows.count())
+        return boost(rows, *rest)
+
+    monkeypatch.setattr(models, "boosted", boosted)
+    monkeypatch.setattr(modelling, "stored_features", lambda *_: matrix)
+    monkeypatch.setattr(modelling, "TRIALS", 2)
+    monkeypatch.setattr(modelling, "TRIAL_ROUNDS", 1)
+    monkeypatch.setattr(modelling, "TRIAL_ROWS", 5)
+    assert modelling.hyper_parameter_search(spark, SF).count() == 2
+    split = clean.with_suggested_split(models.prepared(f, spec))
+    assert seen == [split.where("split = 'train'").count()] * 2 and seen[0] > 100
+
+
 def test_inflation_on_complete_rows(spark, matrix):
     f, _ = matrix
     cols = ["partial_kwh", "prev_month_kwh", "ma3_kwh", "days_observed", "month", "customer_mean_history"]
