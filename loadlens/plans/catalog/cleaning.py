@@ -266,7 +266,7 @@ ctes.add("kept", """
 
 @query("clean_readings", READ, "B14", "SELECT * FROM kept")
 def clean_readings(spark, sf):
-    return clean.cleaned(clean.preprocess_marked(slim(spark, sf)))
+    return clean.cleaned(clean.preprocess_marked(slim(spark, sf), keep_seq=False))
 
 
 @query("clean_step_log", "step removed:i", "B14", """

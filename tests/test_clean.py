@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loadlens import schema
-from loadlens.functions.chunks import with_previous
+from loadlens.functions.chunks import with_chunk, with_previous
 from loadlens.operators import clean, profile
 
 T0 = dt.datetime(2024, 1, 30, 22, 0)
@@ -116,6 +116,52 @@ def test_gap_filling_and_step_log_add_up(spark):
     assert clean.preprocess_marked(d, missing_method="drop").where("_dropped").count() > 0
 
 
+def test_cleaning_shuffles_the_readings_once(spark, monkeypatch):
+    plans, write = {}, clean.write_and_read
+
+    def written(df, purpose, **kw):
+        plans[purpose] = str(df._jdf.queryExecution().optimizedPlan())
+        return write(df, purpose, **kw)
+
+    monkeypatch.setattr(clean, "write_and_read", written)
+    d = frame(spark, {"a": [1, 2, None, 4] * 6, "b": [None, 3, 900] + [3] * 30})
+    d = d.unionByName(d.where("ingest_seq = 3").withColumn("ingest_seq", F.lit(99)))
+    marked = clean.preprocess_marked(d, keep_seq=False)
+    # Copies go once, though filling reads the rows twice, and the ingest order goes with them.
+    assert sum(p.count("RepartitionByExpression") for p in plans.values()) == 1
+    assert "ingest_seq" not in plans["filled"] and "ingest_seq" not in marked.columns
+    whole = clean.preprocess_marked(d)
+    assert sorted(map(str, whole.drop("ingest_seq").collect())) == sorted(
+        map(str, marked.select(*[c for c in whole.columns if c != "ingest_seq"]).collect()))
+    assert not marked.where("p_active_kwh = 900 and _keep").count()
+    # The bounds, a row per customer, go to the readings and not the readings to them.
+    assert "rightHint=(strategy=broadcast)" in str(marked._jdf.queryExecution().optimizedPlan())
+    assert with_chunk(d).select("_chunk").distinct().count() == 1  # one month, two days
+
+
+@pytest.mark.parametrize("days", [0, 1])
+def test_look_back_crosses_months(spark, days):
+    """The rows begin two hours before midnight, with ``days`` the last of the month."""
+    vs = [None, 4, None, None, 7, None, None, None, None, None, None, 14, None, 3] + [None] * 12 + [1]
+    d = frame(spark, {"a": vs}).withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(days)))
+    assert with_chunk(d).select("_chunk").distinct().count() == 1 + days
+    want = pd.Series([np.nan if v is None else float(v) for v in vs])
+    np.testing.assert_allclose(
+        [np.nan if v is None else v for v in values(clean.interpolate(d, limit=9), "a")],
+        want.interpolate(method="linear", limit=9).to_numpy(), equal_nan=True)
+    prev = with_previous(d, ["customer_id"], ["ts"], {"p_active_kwh": "p"}).orderBy("ts").collect()
+    assert [r.p for r in prev] == [None, *map(lambda v: v if v is None else float(v), vs[:-1])]
+    assert [r._has_prev for r in prev] == [False] + [True] * (len(vs) - 1)
+
+
+def test_last_copy_is_one_row_also_where_the_order_is_unknown(spark):
+    d = spark.sql("""SELECT * FROM VALUES ('a', 1D, 2), ('a', 9D, 1), ('b', 5D, NULL), ('b', NULL, 3),
+                     ('c', 7D, NULL) AS t(customer_id, p_active_kwh, ingest_seq)""").withColumn(
+        "ts", F.lit(T0).cast("timestamp_ntz"))
+    assert {r.customer_id: (r.p_active_kwh, r.ingest_seq) for r in clean.remove_duplicates(d).collect()} == {
+        "a": (1.0, 2), "b": (None, 3), "c": (None, None)}
+
+
 @pytest.mark.parametrize("hours,want", [([1, 24], [0, 23]), ([0, 5], [0, 5])])
 def test_hour_ending_clock(spark, hours, want):
     base = dt.datetime(2024, 1, 1)
