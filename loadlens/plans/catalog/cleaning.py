@@ -279,7 +279,7 @@ def clean_readings(spark, sf):
     UNION ALL SELECT 'final_drop_na', 0
     UNION ALL SELECT 'final_rows', (SELECT count(*) FROM kept)""")
 def clean_step_log(spark, sf):
-    return clean.step_log(clean.preprocess_marked(slim(spark, sf)))
+    return clean.step_log(clean.preprocess_marked(slim(spark, sf), keep_seq=False))
 
 
 SPLIT_SQL = """
