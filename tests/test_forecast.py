@@ -210,6 +210,30 @@ def test_every_setting_is_fitted_on_all_training_rows(spark, matrix, monkeypatch
     assert seen == [split.where("split = 'train'").count()] * 2 and seen[0] > 100
 
 
+def test_flags_of_many_rows_are_computed_once_and_sent_to_the_features(spark, matrix, monkeypatch):
+    f, spec = matrix
+    plan = lambda d: str(d._jdf.queryExecution().optimizedPlan())
+    few = modelling.flags_of(spark, SF, f)
+    monkeypatch.setattr(studies, "FEW_ROWS", 0)
+    many = modelling.flags_of(spark, SF, f)
+    assert "lineitem" not in many.inputFiles()[0] and "Aggregate" in plan(few)
+    for name, (d, s) in studies.btm_strategy_variants(f, spec, many).items():
+        assert "Aggregate" not in plan(d) and "rightHint=(strategy=broadcast)" in plan(d), name
+    variants = [studies.btm_strategy_variants(f, spec, x) for x in (few, many)]
+    for name in variants[0]:
+        a, b = (v[name][0].select(F.sum(F.xxhash64(*sorted(v[name][0].columns)).cast("decimal(38,0)")))
+                .first()[0] for v in variants)
+        assert a == b, name
+
+
+def test_days_after_the_last_horizon_are_not_shuffled(spark):
+    parts = rollup.day_parts(t.readings(spark, SF), t.holidays(spark))
+    plan = str(rollup.ami_from_parts(parts, (10, 20))._jdf.queryExecution().optimizedPlan())
+    assert "<= 20)" in plan
+    assert rollup.ami_from_parts(parts, (10, 20)).where("horizon_days = 10").count() == \
+        rollup.ami_from_parts(parts, (10,)).count()
+
+
 def test_inflation_on_complete_rows(spark, matrix):
     f, _ = matrix
     cols = ["partial_kwh", "prev_month_kwh", "ma3_kwh", "days_observed", "month", "customer_mean_history"]
